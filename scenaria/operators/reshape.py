@@ -29,8 +29,8 @@ def unpivot(
     ids = list(ids)
     values = [c for c in df.columns if c not in ids] if values is None else list(values)
     if dtype is not None:
-        df = df.select(*ids, *[F.col(f"`{c}`").cast(dtype).alias(c) for c in values])
-    return df.unpivot(ids, values, var, val)
+        df = df.select(*[F.col(f"`{c}`") for c in ids], *[F.col(f"`{c}`").cast(dtype).alias(c) for c in values])
+    return df.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in values], var, val)
 
 
 def unpivot_range(

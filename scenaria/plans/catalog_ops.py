@@ -637,3 +637,98 @@ def q_ts_interpolate_linear(spark, d):
 @register("ts_period", O.sql("SELECT * FROM invest WHERE year BETWEEN 1995 AND 1999", ["invest"]))
 def q_ts_period(spark, d):
     return TS.restrict_period(B.invest(spark, d), "year", 1995, 1999)
+
+
+# ===================================================================================== figure tables (G)
+
+from scenaria.plans import figures as FG  # noqa: E402
+
+_REG1 = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDEAST", "World")
+_INV_ECON = ("ASIA", "EUROPE")
+
+
+def _stacked(src: str, bar: str, needs, level_case: str, value: str = "value") -> O.Stmt:
+    inner = f"SELECT *, {level_case} AS level_rank FROM ({src}) z"
+    return O.sql(_drop_sgn(_stack_sql(inner, bar, "level_rank", value)), needs)
+
+
+_SECTOR_CASE = "CASE WHEN variable = 'Fossil fuels' THEN 1 WHEN variable = 'Low carbon sources' THEN 2 END"
+_LEVEL_CASE = ("CASE WHEN variable = 'General spending' THEN 1 WHEN variable = 'Health sector spending' THEN 2 "
+               "WHEN variable = 'Liquidity support' THEN 3 WHEN variable = 'Low carbon sources' THEN 4 "
+               "WHEN variable = 'Fossil fuels' THEN 5 END")
+
+
+@register("fig_stimulus_regions", _stacked(
+    f"SELECT region, component, stimulus / 1e9 AS value FROM stim_region WHERE region IN {_in(_REG1)}",
+    "region", ["stim_region"], _CAT_RANK))
+def q_fig_stimulus_regions(spark, d):
+    return FG.fig_stimulus_regions(B.stim_region(spark, d), _REG1)
+
+
+@register("fig_stimulus_economies", _stacked(
+    f"SELECT country_code, component, stimulus / 1e9 AS value FROM stim_big WHERE country_code IN {_in(B.ECONOMIES)}",
+    "country_code", ["stim_big"], _CAT_RANK))
+def q_fig_stimulus_economies(spark, d):
+    return FG.fig_stimulus_economies(B.stim_big(spark, d), B.ECONOMIES)
+
+
+def _fig_inv_sql(regions):
+    src = (f"""SELECT region, variable, 'CPol' AS scenario, "CPol" AS value FROM shift_annual WHERE region IN {_in(regions)}
+  AND variable IN ('Fossil fuels', 'Low carbon sources')
+  UNION ALL SELECT region, variable, '1.5C', "1.5C" FROM shift_annual WHERE region IN {_in(regions)}
+  AND variable IN ('Fossil fuels', 'Low carbon sources')""")
+    return _stacked(src, "scenario, region", ["shift_annual"], _SECTOR_CASE)
+
+
+@register("fig_investment_regions", _fig_inv_sql(_REG1), ("value", "ymin", "ymax"))
+def q_fig_investment_regions(spark, d):
+    return FG.fig_investment(B.shift(spark, d, "mean"), _REG1)
+
+
+@register("fig_investment_economies", _fig_inv_sql(_INV_ECON), ("value", "ymin", "ymax"))
+def q_fig_investment_economies(spark, d):
+    return FG.fig_investment(B.shift(spark, d, "mean"), _INV_ECON)
+
+
+@register("fig_shift", _stacked(f"""SELECT region, variable, shift AS value, net FROM shift_annual
+WHERE region IN {_in(_REG1)} AND variable IN ('Fossil fuels', 'Low carbon sources')""", "region", ["shift_annual"],
+                                _SECTOR_CASE), ("value", "net", "ymin", "ymax"))
+def q_fig_shift(spark, d):
+    return FG.fig_shift(B.shift(spark, d, "mean"), _REG1)
+
+
+def _share_src(regions, measure, unit=None):
+    val = f"{measure} / {unit}" if unit else measure
+    return (f"SELECT region, invest_type, variable, {val} AS value FROM gdp_shares "
+            f"WHERE region IN {_in(regions)} AND scenario = '1.5C' AND variable IS NOT NULL")
+
+
+@register("fig_gdp_shares_economies", _stacked(
+    f"""SELECT s.*, r.type_rank FROM ({_share_src(B.ECONOMIES, 'pct_gdp')}) s JOIN (
+  SELECT invest_type, row_number() OVER (ORDER BY avg(-value), invest_type) AS type_rank
+  FROM ({_share_src(B.ECONOMIES, 'pct_gdp')}) t GROUP BY invest_type) r USING (invest_type)""",
+    "region, invest_type", ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"))
+def q_fig_gdp_shares_economies(spark, d):
+    from scenaria.plans.catalog import _gdp_shares
+    return FG.fig_gdp_shares_economies(_gdp_shares(spark, d), B.ECONOMIES)
+
+
+@register("fig_gdp_shares_panels", _stacked(_share_src(_REG1 + B.ECONOMIES, "pct_gdp"), "region, invest_type",
+                                            ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"))
+def q_fig_gdp_shares_panels(spark, d):
+    from scenaria.plans.catalog import _gdp_shares
+    return FG.fig_gdp_shares_panels(_gdp_shares(spark, d), _REG1 + B.ECONOMIES)
+
+
+@register("fig_usd_panels", _stacked(_share_src(_REG1 + B.ECONOMIES, "avg_invest", "1e9"), "region, invest_type",
+                                     ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"), 6)
+def q_fig_usd_panels(spark, d):
+    from scenaria.plans.catalog import _gdp_shares
+    return FG.fig_usd_panels(_gdp_shares(spark, d), _REG1 + B.ECONOMIES)
+
+
+@register("fig_model_spread", O.sql(f"""SELECT region, variable, {O.strict('min', 'shift')} AS ymin,
+  {O.strict('max', 'shift')} AS ymax, {O.strict_mean('shift')} AS y, {O.strict_mean('shift')} AS bar
+FROM model_spread_raw WHERE region IN {_in(_REG1)} GROUP BY 1, 2""", ["model_spread_raw"]), ("ymin", "ymax", "y", "bar"))
+def q_fig_model_spread(spark, d):
+    return FG.fig_model_spread(I.model_spread_shift(B.invest(spark, d), 1995), _REG1)

@@ -103,8 +103,9 @@ def stim_wide(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def stim_long(spark: SparkSession, d: str) -> DataFrame:
-    return S.stimulus_components(stim_wide(spark, d), region_dim(spark, d), ["country_code"])
+def stim_long(spark: SparkSession, d: str, dim: DataFrame | None = None) -> DataFrame:
+    dim = region_dim(spark, d) if dim is None else dim
+    return S.stimulus_components(stim_wide(spark, d), dim, ["country_code"])
 
 
 def july_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -182,8 +183,9 @@ def invest(spark: SparkSession, d: str) -> DataFrame:
     return I.investment_two_sector(invest_annual(spark, d), FOSSIL, LOW_CARBON)
 
 
-def shift(spark: SparkSession, d: str, stat: str = "mean") -> DataFrame:
-    return I.shift_table(invest(spark, d), 1995, 1999, 1995, stat, ANCHOR)
+def shift(spark: SparkSession, d: str, stat: str = "mean", inv: DataFrame | None = None) -> DataFrame:
+    inv = invest(spark, d) if inv is None else inv
+    return I.shift_table(inv, 1995, 1999, 1995, stat, ANCHOR)
 
 
 def gdp_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -205,9 +207,10 @@ def gdp_wide(spark: SparkSession, d: str) -> DataFrame:
                       *[f"x{y}" for y in YEARS])
 
 
-def gdp_master(spark: SparkSession, d: str) -> DataFrame:
+def gdp_master(spark: SparkSession, d: str, dim: DataFrame | None = None) -> DataFrame:
     gw = gdp_wide(spark, d)
-    return G.gdp_master(G.gdp_by_region(gw, region_dim(spark, d), GDP_YEAR, BLOC_SHEET_REGION),
+    dim = region_dim(spark, d) if dim is None else dim
+    return G.gdp_master(G.gdp_by_region(gw, dim, GDP_YEAR, BLOC_SHEET_REGION),
                         G.gdp_selected(gw, GDP_YEAR, SELECTED, "EU", EU_GDP))
 
 
@@ -215,16 +218,20 @@ def gdp_country(spark: SparkSession, d: str) -> DataFrame:
     return G.gdp_by_country(gdp_wide(spark, d), GDP_YEAR, "EU", EU_GDP)
 
 
-def stim_big(spark: SparkSession, d: str) -> DataFrame:
-    return S.stimulus_big_economies(stim_long(spark, d), BLOC_MEMBERS, "EU", ECONOMIES, BLOC_SHEET_REGION)
+def stim_big(spark: SparkSession, d: str, long: DataFrame | None = None) -> DataFrame:
+    long = stim_long(spark, d) if long is None else long
+    return S.stimulus_big_economies(long, BLOC_MEMBERS, "EU", ECONOMIES, BLOC_SHEET_REGION)
 
 
-def stim_region(spark: SparkSession, d: str) -> DataFrame:
-    return S.stimulus_by_region(stim_long(spark, d), STIM_REGION_RECODE)
+def stim_region(spark: SparkSession, d: str, long: DataFrame | None = None) -> DataFrame:
+    long = stim_long(spark, d) if long is None else long
+    return S.stimulus_by_region(long, STIM_REGION_RECODE)
 
 
-def stim_master(spark: SparkSession, d: str) -> DataFrame:
-    return S.stimulus_master(stim_big(spark, d), stim_region(spark, d))
+def stim_master(spark: SparkSession, d: str, long: DataFrame | None = None) -> DataFrame:
+    """Economies and regions; both branches share one stimulus base, so its exchanges are reused."""
+    long = stim_long(spark, d) if long is None else long
+    return S.stimulus_master(stim_big(spark, d, long), stim_region(spark, d, long))
 
 
 def stim_s1(spark: SparkSession, d: str) -> DataFrame:

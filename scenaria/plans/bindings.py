@@ -52,6 +52,32 @@ INCOME_UNMATCHED_SEGMENT = "HOUSEHOLD"
 YEARS = tuple(range(1995, 2002))
 
 
+_PLANS: dict = {}
+
+
+def _memo(fn):
+    """Build a base frame once per (session, folder, arguments) and hand out the same lazy plan.
+
+    Only the logical plan is kept (no data): later queries skip the file listing and the driver-side
+    construction, and a base used twice in one query is one subtree whose exchanges Spark reuses.
+    """
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark, d, *args):
+        key = (fn.__name__, id(spark), d, args)
+        if key not in _PLANS:
+            _PLANS[key] = fn(spark, d, *args)
+        return _PLANS[key]
+    return wrapper
+
+
+def clear_plans() -> None:
+    """Forget the remembered base plans (e.g. after the input files were replaced)."""
+    _PLANS.clear()
+
+
+@_memo
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
@@ -60,6 +86,7 @@ def cents(c: str) -> F.Column:
     return F.round(F.col(c) * F.lit(100.0)).cast("bigint")
 
 
+@_memo
 def nations(spark: SparkSession, d: str) -> DataFrame:
     """code, country, n_nationkey, region (nation and region are fixed-size TPC-H tables: broadcast)."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
@@ -68,20 +95,24 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
         F.col("n_name").alias("country"), "n_nationkey", F.col("r_name").alias("region"))
 
 
+@_memo
 def xwalk(spark: SparkSession, d: str) -> DataFrame:
     return nations(spark, d).select(F.col("country").alias("country_name"), F.col("country_code").alias("iso3"))
 
 
+@_memo
 def region_sheet(spark: SparkSession, d: str) -> DataFrame:
     nat = nations(spark, d).select("country", "region")
     eu = spark.range(1).select(F.lit("European Union").alias("country"), F.lit(BLOC_SHEET_REGION).alias("region"))
     return nat.unionByName(eu)
 
 
+@_memo
 def region_dim(spark: SparkSession, d: str) -> DataFrame:
     return S.region_dimension(region_sheet(spark, d), xwalk(spark, d), REGION_RECODE, (DROPPED_COUNTRY,))
 
 
+@_memo
 def _orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus",
                                          cents("o_totalprice").alias("cents"))
@@ -90,6 +121,7 @@ def _orders_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"))
 
 
+@_memo
 def stim_wide(spark: SparkSession, d: str) -> DataFrame:
     """country_code, health, non_health, loans_guarantees, deferrals, international_aid, total (cents)."""
     j = _orders_by_nation(spark, d)
@@ -103,11 +135,18 @@ def stim_wide(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_memo
+def _stim_long(spark: SparkSession, d: str) -> DataFrame:
+    return S.stimulus_components(stim_wide(spark, d), region_dim(spark, d), ["country_code"])
+
+
 def stim_long(spark: SparkSession, d: str, dim: DataFrame | None = None) -> DataFrame:
-    dim = region_dim(spark, d) if dim is None else dim
+    if dim is None:
+        return _stim_long(spark, d)
     return S.stimulus_components(stim_wide(spark, d), dim, ["country_code"])
 
 
+@_memo
 def july_wide(spark: SparkSession, d: str) -> DataFrame:
     """The other vintage: status F orders split by priority, status P as uncategorised."""
     j = _orders_by_nation(spark, d)
@@ -126,6 +165,7 @@ def july_wide(spark: SparkSession, d: str) -> DataFrame:
     return agg.join(F.broadcast(nat), "country_code")
 
 
+@_memo
 def income_dim(spark: SparkSession, d: str) -> DataFrame:
     """Per nation the market segment with most customers (ties: the larger name); one segment unmatched."""
     c = table(spark, d, "customer").select("c_nationkey", "c_mktsegment")
@@ -137,6 +177,7 @@ def income_dim(spark: SparkSession, d: str) -> DataFrame:
     return top.filter(F.col("incomegroup") != F.lit(INCOME_UNMATCHED_SEGMENT))
 
 
+@_memo
 def invest_cells(spark: SparkSession, d: str) -> DataFrame:
     """model, region (R5 name), scenario, variable, year, cents: line revenue by the investment roles."""
     li = table(spark, d, "lineitem").select(
@@ -162,6 +203,7 @@ def _cell_text(year: int) -> F.Column:
     return F.max(F.when(F.col("year") == F.lit(year), txt))
 
 
+@_memo
 def invest_sheet(spark: SparkSession, d: str) -> DataFrame:
     """Model, Region, Scenario, Variable, '1995', '2000', '2001' (text cells, as a workbook sheet)."""
     cells = invest_cells(spark, d).select(
@@ -171,14 +213,17 @@ def invest_sheet(spark: SparkSession, d: str) -> DataFrame:
         *[_cell_text(y).alias(str(y)) for y in (1995, 2000, 2001)])
 
 
+@_memo
 def invest_prep(spark: SparkSession, d: str) -> DataFrame:
     return I.investment_prep(invest_sheet(spark, d), "1995", "2000", SHEET_REGION_RECODE, TECHS, SCENARIO_RECODE)
 
 
+@_memo
 def invest_annual(spark: SparkSession, d: str) -> DataFrame:
     return I.investment_annual(invest_prep(spark, d))
 
 
+@_memo
 def invest(spark: SparkSession, d: str) -> DataFrame:
     return I.investment_two_sector(invest_annual(spark, d), FOSSIL, LOW_CARBON)
 
@@ -188,6 +233,7 @@ def shift(spark: SparkSession, d: str, stat: str = "mean", inv: DataFrame | None
     return I.shift_table(inv, 1995, 1999, 1995, stat, ANCHOR)
 
 
+@_memo
 def gdp_wide(spark: SparkSession, d: str) -> DataFrame:
     """country_name, country_code, indicator_name, indicator_code, x1995 ... x2001 (cents), plus WLD."""
     li = table(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").cast("int").alias("year"),
@@ -214,6 +260,7 @@ def gdp_master(spark: SparkSession, d: str, dim: DataFrame | None = None) -> Dat
                         G.gdp_selected(gw, GDP_YEAR, SELECTED, "EU", EU_GDP))
 
 
+@_memo
 def gdp_country(spark: SparkSession, d: str) -> DataFrame:
     return G.gdp_by_country(gdp_wide(spark, d), GDP_YEAR, "EU", EU_GDP)
 
@@ -238,6 +285,7 @@ def stim_s1(spark: SparkSession, d: str) -> DataFrame:
     return S.stimulus_table_s1(stim_long(spark, d), xwalk(spark, d))
 
 
+@_memo
 def map_sheet(spark: SparkSession, d: str) -> DataFrame:
     """Map regions: each nation in its region; bloc members also in BLOC (listed twice); the EU row."""
     nat = nations(spark, d)
@@ -248,6 +296,7 @@ def map_sheet(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(bloc).unionByName(bloc).unionByName(eu)
 
 
+@_memo
 def map_dim(spark: SparkSession, d: str) -> DataFrame:
     return SH.map_region_dimension(map_sheet(spark, d), xwalk(spark, d))
 

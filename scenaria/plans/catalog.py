@@ -31,8 +31,8 @@ class Entry:
 
     def run(self, spark: SparkSession, d: str) -> DataFrame:
         df = self.build(spark, d)
-        for c in self.round_cols:
-            df = df.withColumn(c, rnd(F.col(f"`{c}`"), self.digits))
+        if self.round_cols:
+            df = df.withColumns({c: rnd(F.col(f"`{c}`"), self.digits) for c in self.round_cols})
         return df
 
     def oracle(self) -> str | None:

@@ -72,6 +72,20 @@ def _memo(fn):
     return wrapper
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write a fact aggregate once to the shared checkpoint folder and read it from there.
+
+    Used on the aggregates of the big tables (size bounded by dimension cardinalities x years). Every
+    later query and every branch of a composite query reads the stored result instead of scanning the
+    fact table again (Catalyst pushes branch-specific filters into the scans, which defeats exchange
+    reuse), and the lineage stops there, so a lost executor never forces the fact scan to re-run.
+    """
+    from scenaria.session import checkpoint_root
+
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def clear_plans() -> None:
     """Forget the remembered base plans (e.g. after the input files were replaced)."""
     _PLANS.clear()
@@ -128,11 +142,11 @@ def stim_wide(spark: SparkSession, d: str) -> DataFrame:
     alloc = F.col("o_orderstatus") != F.lit("P")
     parts = [F.sum(F.when(alloc & (F.col("o_orderpriority") == F.lit(p)), F.col("cents"))).cast("double").alias(n)
              for n, p in PRIORITY_PARTS.items()]
-    return j.groupBy("country_code").agg(
+    return _materialize(j.groupBy("country_code").agg(
         *parts,
         F.sum(F.when(~alloc, F.col("cents"))).cast("double").alias("international_aid"),
         F.sum(F.when(alloc, F.col("cents"))).cast("double").alias("total"),
-    )
+    ))
 
 
 @_memo
@@ -162,7 +176,7 @@ def july_wide(spark: SparkSession, d: str) -> DataFrame:
         part("5-LOW").alias("loans_guarantees"),
         F.sum(F.when(F.col("o_orderstatus") == F.lit("P"), F.col("cents"))).cast("double").alias("uncategorized_other"),
     )
-    return agg.join(F.broadcast(nat), "country_code")
+    return _materialize(agg.join(F.broadcast(nat), "country_code"))
 
 
 @_memo
@@ -174,7 +188,7 @@ def income_dim(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("country_code").agg(F.max(F.struct("n", "c_mktsegment")).alias("t"))
     top = top.select(F.col("country_code").alias("countrycode"), F.col("t.c_mktsegment").alias("incomegroup"))
-    return top.filter(F.col("incomegroup") != F.lit(INCOME_UNMATCHED_SEGMENT))
+    return _materialize(top.filter(F.col("incomegroup") != F.lit(INCOME_UNMATCHED_SEGMENT)))
 
 
 @_memo
@@ -188,10 +202,10 @@ def invest_cells(spark: SparkSession, d: str) -> DataFrame:
     nat = nations(spark, d).select("n_nationkey", "region")
     sup_region = s.join(F.broadcast(nat), s.s_nationkey == nat.n_nationkey).select("s_suppkey", "region")
     j = li.join(p, li.l_partkey == p.p_partkey).join(sup_region, li.l_suppkey == sup_region.s_suppkey)
-    return j.groupBy(
+    return _materialize(j.groupBy(
         F.col("p_type").alias("model"), F.concat(F.lit("R5"), F.col("region")).alias("region"),
         F.col("l_linestatus").alias("scenario"), F.col("l_returnflag").alias("variable"), "year",
-    ).agg(F.sum("cents").alias("cents"))
+    ).agg(F.sum("cents").alias("cents")))
 
 
 def _cell_text(year: int) -> F.Column:
@@ -248,9 +262,9 @@ def gdp_wide(spark: SparkSession, d: str) -> DataFrame:
         *[F.max(F.when(F.col("year") == F.lit(y), F.col("cents"))).cast("double").alias(f"x{y}") for y in YEARS]
     ).select(F.lit("WLD").alias("country_code"), F.lit("World").alias("country"), *[f"x{y}" for y in YEARS])
     out = wide.unionByName(world)
-    return out.select(F.col("country").alias("country_name"), "country_code",
+    return _materialize(out.select(F.col("country").alias("country_name"), "country_code",
                       F.lit("GDP (current US$)").alias("indicator_name"), F.lit("NY.GDP.MKTP.CD").alias("indicator_code"),
-                      *[f"x{y}" for y in YEARS])
+                      *[f"x{y}" for y in YEARS]))
 
 
 def gdp_master(spark: SparkSession, d: str, dim: DataFrame | None = None) -> DataFrame:

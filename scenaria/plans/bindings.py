@@ -191,9 +191,8 @@ def income_dim(spark: SparkSession, d: str) -> DataFrame:
     return _materialize(top.filter(F.col("incomegroup") != F.lit(INCOME_UNMATCHED_SEGMENT)))
 
 
-@_memo
-def invest_cells(spark: SparkSession, d: str) -> DataFrame:
-    """model, region (R5 name), scenario, variable, year, cents: line revenue by the investment roles."""
+def invest_cells_plan(spark: SparkSession, d: str) -> DataFrame:
+    """model, region (R5 name), scenario, variable, year, cents: line revenue by the investment roles (lazy)."""
     li = table(spark, d, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag",
         F.year("l_shipdate").cast("int").alias("year"), cents("l_extendedprice").alias("cents"))
@@ -202,10 +201,16 @@ def invest_cells(spark: SparkSession, d: str) -> DataFrame:
     nat = nations(spark, d).select("n_nationkey", "region")
     sup_region = s.join(F.broadcast(nat), s.s_nationkey == nat.n_nationkey).select("s_suppkey", "region")
     j = li.join(p, li.l_partkey == p.p_partkey).join(sup_region, li.l_suppkey == sup_region.s_suppkey)
-    return _materialize(j.groupBy(
+    return j.groupBy(
         F.col("p_type").alias("model"), F.concat(F.lit("R5"), F.col("region")).alias("region"),
         F.col("l_linestatus").alias("scenario"), F.col("l_returnflag").alias("variable"), "year",
-    ).agg(F.sum("cents").alias("cents")))
+    ).agg(F.sum("cents").alias("cents"))
+
+
+@_memo
+def invest_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The investment fact aggregate, materialized once (see ``_materialize``)."""
+    return _materialize(invest_cells_plan(spark, d))
 
 
 def _cell_text(year: int) -> F.Column:

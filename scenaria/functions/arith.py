@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unit factors used by the panels.
-BILLION = 1e9
-INFLATION_2015_TO_2019 = 1.0728
+from scenaria.constants import BILLION, INFLATION_2015_TO_2019  # noqa: F401
 
 
 def _col(c: str | Column) -> Column:

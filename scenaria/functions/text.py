@@ -12,8 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The missing-value markers of the stimulus tracker files.
-NA_TOKENS = ("-", "NA", "")
+from scenaria.constants import NA_TOKENS
 
 
 def _col(c: str | Column) -> Column:

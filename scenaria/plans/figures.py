@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenaria.constants import FIG_ECONOMIES
 from scenaria.functions.nulls import strict_mean
 from scenaria.operators.aggregate import spread_summary
 from scenaria.operators.order import as_levels, order_by_stat
@@ -61,7 +62,7 @@ def _share_rows(gdp_shares: DataFrame, regions: Sequence[str], measure: str, uni
     return as_levels(rows, "variable", list(CATEGORY_LEVELS), "level_rank")
 
 
-def fig_gdp_shares_economies(gdp_shares: DataFrame, economies: Sequence[str] = ("EU", "IND", "USA", "CHN")) -> DataFrame:
+def fig_gdp_shares_economies(gdp_shares: DataFrame, economies: Sequence[str] = FIG_ECONOMIES) -> DataFrame:
     """Per economy facet, bars by investment type ordered by mean(-pct of GDP), fill by category."""
     rows = _share_rows(gdp_shares, economies, "pct_gdp")
     rows = order_by_stat(rows, "invest_type", "value", "type_rank")

@@ -15,9 +15,8 @@ from scenaria.functions.nulls import skipna_sum
 from scenaria.operators.filters import filter_first_and_pred, filter_in
 from scenaria.operators.setops import union_by_name
 
-# The constant GDP used for the EU bloc and the economies listed beside it.
-EU_GDP_2019 = 15.5e12
-SELECTED = ("USA", "CHN", "IND")
+from scenaria.constants import EU_GDP_2019
+from scenaria.constants import SELECTED_ECONOMIES as SELECTED
 
 
 def gdp_year(gdp_wide: DataFrame, year: int = 2019, prefix: str = "x") -> DataFrame:

@@ -24,17 +24,10 @@ from scenaria.operators.timeseries import interpolate_linear
 from scenaria.functions.nulls import strict_max, strict_min
 from scenaria.operators.window import attach_net
 
-# Technologies, sectors, region names and the anchor model of the reference analysis.
-TECHNOLOGIES = ("Energy Efficiency", "CCS", "Electricity - T&D and Storage", "Extraction and Conversion - Nuclear",
-                "Extraction and Conversion - Bioenergy", "Hydrogen - Non-fossil", "Electricity - Non-bio Renewables",
-                "Hydrogen - Fossil", "Electricity - Fossil Fuels w/o CCS", "Extraction and Conversion - Fossil Fuels")
-FOSSIL = ("Electricity - Fossil Fuels w/o CCS", "Hydrogen - Fossil", "Extraction and Conversion - Fossil Fuels")
-LOW_CARBON = ("Extraction and Conversion - Nuclear", "CCS", "Electricity - Non-bio Renewables", "Hydrogen - Non-fossil",
-              "Extraction and Conversion - Bioenergy", "Electricity - T&D and Storage", "Energy Efficiency")
-SECTORS = ("Fossil fuels", "Low carbon sources")
-REGION_RECODE = {"R5ASIA": "ASIA", "R5LAM": "LAM", "R5MAF": "MAF", "R5OECD90+EU": "OECD+", "R5REF": "REF"}
-ANCHOR_MODEL = "MESSAGEix-GLOBIOM"
-TARGET, BASELINE = "1.5C", "CPol"
+from scenaria.constants import (ANCHOR_MODEL, BASELINE, FOSSIL, LOW_CARBON, SECTORS, TARGET,  # noqa: F401
+                                TECHNOLOGIES)
+from scenaria.constants import MODEL_REGION_RECODE as REGION_RECODE
+
 KEYS = ("region", "variable", "scenario")
 
 

@@ -17,9 +17,7 @@ from scenaria.operators.setops import union_by_name
 from scenaria.plans.investment import BASELINE, TARGET
 from scenaria.plans.stimulus import CATEGORIES
 
-# The ordered categories of the Figure-1 table.
-CATEGORY_LEVELS = ("General spending", "Health sector spending", "Liquidity support", "Low carbon sources", "Fossil fuels")
-INVEST_TYPES = ("Energy investment", "Stimulus", "Investment shift", "Investment shift (5 years)")
+from scenaria.constants import CATEGORY_LEVELS, INVEST_TYPES  # noqa: F401
 
 
 def scenario_table(spark_df: DataFrame, scenarios: Sequence[str] = (TARGET, BASELINE)) -> DataFrame:
@@ -27,7 +25,7 @@ def scenario_table(spark_df: DataFrame, scenarios: Sequence[str] = (TARGET, BASE
     return spark.createDataFrame([(s,) for s in scenarios], "scenario string")
 
 
-def stimulus_gdp_table(s1: DataFrame, xwalk: DataFrame, gdp_country: DataFrame, factor: float = 1e11) -> DataFrame:
+def stimulus_gdp_table(s1: DataFrame, xwalk: DataFrame, gdp_country: DataFrame, factor: float = 10e10) -> DataFrame:
     """Per country total of the three categories, code from the name, GDP, ``total / gdp * factor``."""
     t = s1.withColumn("total", F.col("general_spending") + F.col("health_sector_spending") + F.col("liquidity_support"))
     t = xwalk_name_to_code(t.drop("country_code") if "country_code" in t.columns else t, "country", xwalk, "country_code")

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenaria import constants as C
 from scenaria.functions.nulls import skipna_sum, strict_sum
 from scenaria.functions.recode import recode
 from scenaria.functions.text import null_text, replace_first
@@ -25,26 +26,17 @@ from scenaria.operators.order import sort_asc
 from scenaria.operators.reshape import densify, pivot_wide, unpivot
 from scenaria.operators.setops import union_by_name
 
-# The three stimulus categories and the parts of the tracker table.
-HEALTH = "Health sector spending"
-GENERAL = "General spending"
-LIQUIDITY = "Liquidity support"
+from scenaria.constants import (BIG_ECONOMIES, EU_MEMBERS, G20, GENERAL, HEALTH, IAM_REGIONS,  # noqa: F401
+                                LIQUIDITY)
+
 CATEGORIES = (GENERAL, HEALTH, LIQUIDITY)
 CATEGORY_COLUMNS = {GENERAL: "general_spending", HEALTH: "health_sector_spending", LIQUIDITY: "liquidity_support"}
 PARTS = ("health", "non_health", "loans_guarantees", "deferrals", "international_aid", "total")
 
-# Bloc and country sets of the reference analysis.
-EU_MEMBERS = ("AUT", "BEL", "BGR", "HRV", "CYP", "CZE", "DNK", "EST", "FIN", "FRA", "DEU", "GRC", "HUN",
-              "IRL", "ITA", "LVA", "LTU", "LUX", "MLT", "NLD", "POL", "PRT", "ROM", "SVK", "SVN", "ESP", "SWE", "EU")
-BIG_ECONOMIES = ("CHN", "EU", "USA", "IND")
-IAM_REGIONS = ("ASIA", "LAM", "MAF", "OECD+", "REF", "World")
-G20 = ("CAN", "FRA", "DEU", "ITA", "JPN", "GBR", "USA", "EU", "ARG", "AUS",
-       "BRA", "CHN", "IND", "IDN", "MEX", "RUS", "SAU", "ZAF", "KOR", "TUR")
-
 
 def region_dimension(
     sheet: DataFrame, xwalk: DataFrame, region_recode: dict | None = None,
-    drop_countries: Sequence[str] = ("Netherlands Antilles",), unmatched_code: str = "EU",
+    drop_countries: Sequence[str] = C.DROPPED_COUNTRIES, unmatched_code: str = C.UNMATCHED_CODE,
     code_repair: dict | None = None, literal_first_match: bool = True,
 ) -> DataFrame:
     """Country name -> code, region names recoded, some countries dropped, unmatched names -> ``EU``.
@@ -52,8 +44,8 @@ def region_dimension(
     ``literal_first_match`` keeps the source's text edit (null -> "NA" -> first "NA" replaced), which also
     rewrites codes containing "NA" (NAM -> EUM, repaired by ``code_repair``; KNA -> KEU is not).
     """
-    region_recode = {"OECD90+EU": "OECD+"} if region_recode is None else region_recode
-    code_repair = {"EUM": "NAM"} if code_repair is None else code_repair
+    region_recode = dict(C.REGION_SHEET_RECODE) if region_recode is None else region_recode
+    code_repair = dict(C.CODE_REPAIR) if code_repair is None else code_repair
     d = xwalk_name_to_code(sheet, "country", xwalk, "country_code")
     d = d.withColumn("region", recode("region", region_recode))
     for name in drop_countries:
@@ -101,7 +93,7 @@ def stimulus_by_income(long: DataFrame, income_dim: DataFrame, eu_code: str = "E
 
 
 def stimulus_table_s1(long: DataFrame, xwalk: DataFrame | None = None, unit: float = 1e9,
-                      default_name: str = "European Union", literal_first_match: bool = True) -> DataFrame:
+                      default_name: str = C.EU_NAME, literal_first_match: bool = True) -> DataFrame:
     """Wide table per country in billions with the country name (unmatched code -> ``default_name``)."""
     scaled = long.withColumn("stimulus", F.col("stimulus") / F.lit(unit))
     wide = pivot_wide(scaled, ["country_code", "region"], "component", "stimulus",
@@ -131,7 +123,7 @@ def stimulus_big_economies(long: DataFrame, members: Sequence[str] | DataFrame =
 def stimulus_by_region(long: DataFrame, region_recode: dict | None = None, world: str = "World") -> DataFrame:
     """Region x component skip-null sums plus a strict World total per component (World includes
     rows without region); absent region x component pairs appear with null stimulus."""
-    region_recode = {"EU": "OECD+"} if region_recode is None else region_recode
+    region_recode = dict(C.STIM_REGION_RECODE) if region_recode is None else region_recode
     recoded = long.withColumn("region", recode("region", region_recode))
     sums = grouping_sets_total(recoded, "region", "component", "stimulus", world, "skipna", "strict", "stimulus")
     return densify(sums, ["component"], "region", "stimulus").select("component", "region", "stimulus")
@@ -162,7 +154,7 @@ def control_totals(big: DataFrame, by_region: DataFrame, master: DataFrame, g20:
 
 def stimulus_july_table(july: DataFrame, region_recode: dict | None = None, unit: float = 1e9) -> DataFrame:
     """July vintage: General = individuals + business + deferrals + uncategorised; empty parts count 0."""
-    region_recode = {"OECD90+EU": "OECD+"} if region_recode is None else region_recode
+    region_recode = dict(C.REGION_SHEET_RECODE) if region_recode is None else region_recode
     z = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in
          ("individuals_households", "business", "deferrals", "uncategorized_other", "health", "loans_guarantees")}
     general = z["individuals_households"] + z["business"] + z["deferrals"] + z["uncategorized_other"]

@@ -469,7 +469,7 @@ def q_sort_asc(spark, d):
     return OR.sort_asc(B.stim_master(spark, d), "region", "component")
 
 
-@register("order_by_stat", O.sql("""SELECT invest_type, row_number() OVER (ORDER BY s, invest_type) AS order_rank FROM (
+@register("order_by_stat", O.sql("""SELECT invest_type, CAST(row_number() OVER (ORDER BY s, invest_type) AS INTEGER) AS order_rank FROM (
   SELECT invest_type, avg(-pct_gdp) AS s FROM gdp_shares GROUP BY invest_type) t""", ["gdp_shares"]))
 def q_order_by_stat(spark, d):
     from scenaria.plans.catalog import _gdp_shares
@@ -705,7 +705,7 @@ def _share_src(regions, measure, unit=None):
 
 @register("fig_gdp_shares_economies", _stacked(
     f"""SELECT s.*, r.type_rank FROM ({_share_src(B.ECONOMIES, 'pct_gdp')}) s JOIN (
-  SELECT invest_type, row_number() OVER (ORDER BY avg(-value), invest_type) AS type_rank
+  SELECT invest_type, CAST(row_number() OVER (ORDER BY avg(-value), invest_type) AS INTEGER) AS type_rank
   FROM ({_share_src(B.ECONOMIES, 'pct_gdp')}) t GROUP BY invest_type) r USING (invest_type)""",
     "region, invest_type", ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"))
 def q_fig_gdp_shares_economies(spark, d):

@@ -161,7 +161,7 @@ FROM (
 # investment
 cte("invest_cells", ["nat"], f"""SELECT p_type AS model, 'R5' || nat.region AS region, l_linestatus AS scenario,
   l_returnflag AS variable, CAST(year(l_shipdate) AS INTEGER) AS year,
-  sum({CENTS.format(c='l_extendedprice')}) AS cents
+  CAST(sum({CENTS.format(c='l_extendedprice')}) AS BIGINT) AS cents
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nat ON s_nationkey = nat.n_nationkey
 GROUP BY 1, 2, 3, 4, 5""")

@@ -97,9 +97,9 @@ def densify(
     return out.select(*ids, key, F.element_at(F.col("_cells"), F.col(key)).alias(value))
 
 
-def column_to_row(df: DataFrame, row: dict, spark=None) -> DataFrame:
+def column_to_row(df: DataFrame, row: dict) -> DataFrame:
     """Append one literal row (``mutate(EU = c) %>% spread %>% gather``), matching columns by name."""
-    extra = df.limit(0).sparkSession.range(1).select(
+    extra = df.sparkSession.range(1).select(
         *[F.lit(row.get(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns]
     )
     return df.unionByName(extra)

@@ -72,18 +72,21 @@ def _memo(fn):
     return wrapper
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Write a fact aggregate once to the shared checkpoint folder and read it from there.
+def _materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a fact aggregate once as Parquet under the shared checkpoint folder and read it from there.
 
     Used on the aggregates of the big tables (size bounded by dimension cardinalities x years). Every
     later query and every branch of a composite query reads the stored result instead of scanning the
     fact table again (Catalyst pushes branch-specific filters into the scans, which defeats exchange
     reuse), and the lineage stops there, so a lost executor never forces the fact scan to re-run.
+    A plain write is one pass over the input (an RDD checkpoint of an unpersisted frame computes it
+    twice), and the stored table keeps column pruning and statistics for the readers.
     """
-    from scenaria.session import checkpoint_root
+    from scenaria.session import scratch_path
 
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, f"fact-{name}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def clear_plans() -> None:
@@ -146,7 +149,7 @@ def stim_wide(spark: SparkSession, d: str) -> DataFrame:
         *parts,
         F.sum(F.when(~alloc, F.col("cents"))).cast("double").alias("international_aid"),
         F.sum(F.when(alloc, F.col("cents"))).cast("double").alias("total"),
-    ))
+    ), "stim-wide")
 
 
 @_memo
@@ -176,7 +179,7 @@ def july_wide(spark: SparkSession, d: str) -> DataFrame:
         part("5-LOW").alias("loans_guarantees"),
         F.sum(F.when(F.col("o_orderstatus") == F.lit("P"), F.col("cents"))).cast("double").alias("uncategorized_other"),
     )
-    return _materialize(agg.join(F.broadcast(nat), "country_code"))
+    return _materialize(agg.join(F.broadcast(nat), "country_code"), "july-wide")
 
 
 @_memo
@@ -188,7 +191,7 @@ def income_dim(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("country_code").agg(F.max(F.struct("n", "c_mktsegment")).alias("t"))
     top = top.select(F.col("country_code").alias("countrycode"), F.col("t.c_mktsegment").alias("incomegroup"))
-    return _materialize(top.filter(F.col("incomegroup") != F.lit(INCOME_UNMATCHED_SEGMENT)))
+    return _materialize(top.filter(F.col("incomegroup") != F.lit(INCOME_UNMATCHED_SEGMENT)), "income")
 
 
 def invest_cells_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +213,7 @@ def invest_cells_plan(spark: SparkSession, d: str) -> DataFrame:
 @_memo
 def invest_cells(spark: SparkSession, d: str) -> DataFrame:
     """The investment fact aggregate, materialized once (see ``_materialize``)."""
-    return _materialize(invest_cells_plan(spark, d))
+    return _materialize(invest_cells_plan(spark, d), "invest-cells")
 
 
 def _cell_text(year: int) -> F.Column:
@@ -269,7 +272,7 @@ def gdp_wide(spark: SparkSession, d: str) -> DataFrame:
     out = wide.unionByName(world)
     return _materialize(out.select(F.col("country").alias("country_name"), "country_code",
                       F.lit("GDP (current US$)").alias("indicator_name"), F.lit("NY.GDP.MKTP.CD").alias("indicator_code"),
-                      *[f"x{y}" for y in YEARS]))
+                      *[f"x{y}" for y in YEARS]), "gdp-wide")
 
 
 def gdp_master(spark: SparkSession, d: str, dim: DataFrame | None = None) -> DataFrame:

@@ -61,11 +61,13 @@ def shift_prep(shift: DataFrame, gdp_master: DataFrame, scenarios: DataFrame, la
 
 
 def gdp_shares(energy_avg: DataFrame, gdp_master: DataFrame, stim_prep: DataFrame, shift_p: DataFrame,
-               shift_p5: DataFrame, keep_scenario: str = TARGET, levels: Sequence[str] = CATEGORY_LEVELS) -> DataFrame:
-    """Figure-1 table. Energy rows divide billions by GDP in units (kept as in the source)."""
+               shift_p5: DataFrame, keep_scenario: str = TARGET, levels: Sequence[str] = CATEGORY_LEVELS,
+               energy_unit: float = 1.0) -> DataFrame:
+    """Figure-1 table. By default energy rows divide billions by GDP in units, as the source does
+    (percentages 1e9 too small); ``energy_unit=1e9`` gives the corrected percentage."""
     energy = energy_avg.join(gdp_master, "region", "left").select(
         "scenario", "region", "variable", "avg_invest", "gdp",
-        pct_of("avg_invest", "gdp").alias("pct_gdp"), F.lit("Energy investment").alias("invest_type"))
+        pct_of("avg_invest", "gdp", energy_unit).alias("pct_gdp"), F.lit("Energy investment").alias("invest_type"))
     allrows = union_by_name(energy, stim_prep, shift_p, shift_p5)
     allrows = as_levels(allrows, "variable", list(levels), "variable_rank")
     return allrows.filter(F.col("scenario") == F.lit(keep_scenario)).select(

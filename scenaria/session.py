@@ -18,10 +18,12 @@ def get_spark(master: str | None = None, app: str = "scenaria", shuffle_partitio
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("SCENARIA_SHUFFLE_PARTITIONS", "8"))
+    if shuffle_partitions is None and (master or "").startswith("local"):
+        shuffle_partitions = int(os.environ.get("SCENARIA_SHUFFLE_PARTITIONS", "8"))
+    if shuffle_partitions:  # on a cluster keep its own setting; AQE coalesces small partitions anyway
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -1,8 +1,8 @@
 """Registered queries: one per operator / result table, each with the SQL statement of the same result.
 
 Every query reads the driver's tables (through ``bindings``) and runs over whole tables. Columns that
-come from order-dependent floating sums (means of non-integer values) are rounded half-up at the end,
-with the same formula on both sides; all money sums are exact (integer cents).
+come from order-dependent floating sums (means of non-integer values) are rounded half-up to 9
+significant digits at the end (``rnd_sig``), with the same formula on both sides; all money sums are exact (cents).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenaria.functions.arith import rnd
+from scenaria.functions.arith import rnd_sig
 from scenaria.plans import bindings as B
 from scenaria.plans import gdp as G
 from scenaria.plans import investment as I
@@ -27,27 +27,29 @@ class Entry:
     build: Callable[[SparkSession, str], DataFrame]
     sql: O.Stmt | str | None
     round_cols: Sequence[str] = field(default_factory=tuple)
-    digits: int = 2
+    sig: int = 8
 
     def run(self, spark: SparkSession, d: str) -> DataFrame:
         df = self.build(spark, d)
         if self.round_cols:
-            df = df.withColumns({c: rnd(F.col(f"`{c}`"), self.digits) for c in self.round_cols})
+            df = df.withColumns({c: rnd_sig(F.col(f"`{c}`"), self.sig) for c in self.round_cols})
         return df
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         text = self.sql.render() if isinstance(self.sql, O.Stmt) else self.sql
-        return O.rounded(text, self.round_cols, self.digits) if self.round_cols else text
+        return O.rounded(text, self.round_cols, self.sig) if self.round_cols else text
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(key: str, sql: str | None, round_cols: Sequence[str] = (), digits: int = 2):
+def register(key: str, sql, round_cols: Sequence[str] = ()):
+    """Register a query; ``round_cols`` come from order-dependent float sums and are rounded to 8
+    significant digits on both sides."""
     def deco(fn):
-        REGISTRY[key] = Entry(fn, sql, tuple(round_cols), digits)
+        REGISTRY[key] = Entry(fn, sql, tuple(round_cols))
         return fn
     return deco
 
@@ -69,7 +71,7 @@ def q_stimulus_components(spark, d):
   FROM (SELECT l.stimulus, CASE WHEN l.country_code = 'EU' THEN 'High income' ELSE i.incomegroup END AS incomegroup
         FROM stim_long l LEFT JOIN income_dim i ON l.country_code = i.countrycode) j GROUP BY incomegroup) a
 CROSS JOIN (SELECT CASE WHEN count(*) = count(stimulus) THEN sum(stimulus) END AS g FROM stim_long) t""",
-                                      ["stim_long", "income_dim"]), ("share",), 12)
+                                      ["stim_long", "income_dim"]), ("share",))
 def q_stimulus_by_income(spark, d):
     return S.stimulus_by_income(B.stim_long(spark, d), B.income_dim(spark, d))
 
@@ -201,7 +203,7 @@ def q_gdp_by_country(spark, d):
   s.country, s.total, x.iso3 AS country_code, g.gdp, (s.total / g.gdp) * 1e11 AS gdp_share
 FROM (SELECT *, general_spending + health_sector_spending + liquidity_support AS total FROM stim_s1) s
 LEFT JOIN (SELECT lower(trim(country_name)) AS nm, min(iso3) AS iso3 FROM xwalk GROUP BY 1) x ON lower(trim(s.country)) = x.nm
-LEFT JOIN gdp_country g ON g.country_code = x.iso3""", ["stim_s1", "xwalk", "gdp_country"]), ("gdp_share",), 12)
+LEFT JOIN gdp_country g ON g.country_code = x.iso3""", ["stim_s1", "xwalk", "gdp_country"]), ("gdp_share",))
 def q_stimulus_gdp_table(spark, d):
     return SH.stimulus_gdp_table(B.stim_s1(spark, d), B.xwalk(spark, d), B.gdp_country(spark, d))
 
@@ -210,7 +212,7 @@ def q_stimulus_gdp_table(spark, d):
 FROM (SELECT country_code, CASE WHEN count(*) = count(stimulus) THEN sum(stimulus) END AS total_stim
       FROM stim_long GROUP BY 1) t
 JOIN (SELECT country_code, arg_min(region, component) AS region FROM stim_long GROUP BY 1) r USING (country_code)
-LEFT JOIN gdp_country g USING (country_code)""", ["stim_long", "gdp_country"]), ("pct_gdp",), 12)
+LEFT JOIN gdp_country g USING (country_code)""", ["stim_long", "gdp_country"]), ("pct_gdp",))
 def q_stimulus_gdp_share(spark, d):
     return SH.stimulus_gdp_share(B.stim_long(spark, d), B.gdp_country(spark, d))
 
@@ -232,17 +234,17 @@ O.cte("shift_prep", ["shift_annual", "gdp_master"], _shift_prep_sql("shift_annua
 O.cte("shift_prep_5y", ["shift_5y", "gdp_master"], _shift_prep_sql("shift_5y", "Investment shift (5 years)"))
 
 
-@register("stimulus_prep", O.sql("SELECT * FROM stim_prep", ["stim_prep"]), ("pct_gdp",), 12)
+@register("stimulus_prep", O.sql("SELECT * FROM stim_prep", ["stim_prep"]), ("pct_gdp",))
 def q_stimulus_prep(spark, d):
     return SH.stimulus_prep(B.stim_master(spark, d), B.gdp_master(spark, d), B.scenarios(spark))
 
 
-@register("shift_prep", O.sql("SELECT * FROM shift_prep", ["shift_prep"]), ("avg_invest", "pct_gdp"), 2)
+@register("shift_prep", O.sql("SELECT * FROM shift_prep", ["shift_prep"]), ("avg_invest", "pct_gdp"))
 def q_shift_prep(spark, d):
     return SH.shift_prep(B.shift(spark, d, "mean"), B.gdp_master(spark, d), B.scenarios(spark))
 
 
-@register("shift_prep_5y", O.sql("SELECT * FROM shift_prep_5y", ["shift_prep_5y"]), ("avg_invest", "pct_gdp"), 2)
+@register("shift_prep_5y", O.sql("SELECT * FROM shift_prep_5y", ["shift_prep_5y"]), ("avg_invest", "pct_gdp"))
 def q_shift_prep_5y(spark, d):
     return SH.shift_prep(B.shift(spark, d, "sum"), B.gdp_master(spark, d), B.scenarios(spark),
                          "Investment shift (5 years)")
@@ -276,7 +278,7 @@ def _gdp_shares(spark, d):
                          SH.shift_prep(B.shift(spark, d, "sum", inv), gm, sc, "Investment shift (5 years)"))
 
 
-@register("gdp_shares", O.sql("SELECT * FROM gdp_shares", ["gdp_shares"]), ("avg_invest", "pct_gdp"), 2)
+@register("gdp_shares", O.sql("SELECT * FROM gdp_shares", ["gdp_shares"]), ("avg_invest", "pct_gdp"))
 def q_gdp_shares(spark, d):
     return _gdp_shares(spark, d)
 
@@ -305,7 +307,7 @@ def q_map_gdp(spark, d):
   FROM (SELECT l.country_code, l.component, l.stimulus, m.region, g.gdp
         FROM stim_long l LEFT JOIN (SELECT DISTINCT country_code, region FROM map_dim) m ON l.country_code = m.country_code
         LEFT JOIN gdp_country g ON l.country_code = g.country_code) j) t""",
-                                         ["stim_long", "map_dim", "gdp_country"]), ("pct_gdp",), 12)
+                                         ["stim_long", "map_dim", "gdp_country"]), ("pct_gdp",))
 def q_map_region_stimulus(spark, d):
     return SH.map_region_stimulus(B.stim_long(spark, d), B.map_dim(spark, d), B.gdp_country(spark, d))
 

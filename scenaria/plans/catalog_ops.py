@@ -369,7 +369,7 @@ def q_agg_envelope(spark, d):
 
 @register("agg_share_of_total", O.sql(f"""SELECT component, group_sum, g AS global, group_sum / g AS share FROM (
   SELECT component, {O.strict('sum', 'stimulus')} AS group_sum FROM stim_long GROUP BY component) a
-CROSS JOIN (SELECT {O.strict('sum', 'stimulus')} AS g FROM stim_long) t""", ["stim_long"]), ("share",), 12)
+CROSS JOIN (SELECT {O.strict('sum', 'stimulus')} AS g FROM stim_long) t""", ["stim_long"]), ("share",))
 def q_agg_share_of_total(spark, d):
     return A.share_of_total(B.stim_long(spark, d), "component", "stimulus")
 
@@ -532,7 +532,7 @@ def q_str_strip_percent(spark, d):
 
 @register("num_arith", O.sql("""SELECT country_code, total - (((deferrals + health) + loans_guarantees) + non_health) AS residual,
   (total - (((deferrals + health) + loans_guarantees) + non_health)) / 2 AS half_residual,
-  CASE WHEN total = 0 THEN NULL ELSE health / total END AS health_ratio FROM stim_wide""", ["stim_wide"]), ("health_ratio",), 12)
+  CASE WHEN total = 0 THEN NULL ELSE health / total END AS health_ratio FROM stim_wide""", ["stim_wide"]), ("health_ratio",))
 def q_num_arith(spark, d):
     w = B.stim_wide(spark, d)
     resid = F.col("total") - (F.col("deferrals") + F.col("health") + F.col("loans_guarantees") + F.col("non_health"))
@@ -542,7 +542,7 @@ def q_num_arith(spark, d):
 
 @register("num_pct_of", O.sql("""SELECT l.country_code, l.component, (l.stimulus / g.gdp) * 100.0 AS pct
 FROM stim_long l LEFT JOIN gdp_country g ON l.country_code = g.country_code""", ["stim_long", "gdp_country"]),
-          ("pct",), 12)
+          ("pct",))
 def q_num_pct_of(spark, d):
     j = B.stim_long(spark, d).join(B.gdp_country(spark, d), "country_code", "left")
     return j.select("country_code", "component", pct_of("stimulus", "gdp").alias("pct"))
@@ -627,7 +627,7 @@ FROM gdp_knots""")
        WHEN px IS NOT NULL AND qx IS NOT NULL THEN py + (qy - py) * (CAST(t - px AS DOUBLE) / CAST(qx - px AS DOUBLE))
   END AS DOUBLE) AS gdp, n AS knots
 FROM (SELECT *, unnest(generate_series(year, coalesce(next_x - 1, year))) AS t FROM gdp_interp_staged) g""",
-                                         ["gdp_interp_staged"]), ("gdp",), 4)
+                                         ["gdp_interp_staged"]), ("gdp",))
 def q_ts_interpolate_linear(spark, d):
     gw = B.gdp_wide(spark, d).filter(F.col("country_code") != "WLD")
     long = G.gdp_long(gw, "x1995", "x2001").filter(F.col("year").isin(1995, 1998, 2001))
@@ -721,7 +721,7 @@ def q_fig_gdp_shares_panels(spark, d):
 
 
 @register("fig_usd_panels", _stacked(_share_src(_REG1 + B.ECONOMIES, "avg_invest", "1e9"), "region, invest_type",
-                                     ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"), 6)
+                                     ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"))
 def q_fig_usd_panels(spark, d):
     from scenaria.plans.catalog import _gdp_shares
     return FG.fig_usd_panels(_gdp_shares(spark, d), _REG1 + B.ECONOMIES)

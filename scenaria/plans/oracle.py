@@ -57,10 +57,26 @@ def render(final: str, needs: Sequence[str] = ()) -> str:
     return f"WITH {parts}\n{final}"
 
 
-def rounded(statement: str, cols: Sequence[str], digits: int = 2) -> str:
-    """Half-up rounding written as ``floor(x * 10^k + 0.5) / 10^k`` (the same formula as ``rnd``)."""
-    p = f"{10.0 ** digits!r}"
-    reps = ", ".join(f'floor("{c}" * {p} + 0.5) / {p} AS "{c}"' for c in cols)
+def _rnd(x: str, digits: int) -> str:
+    from scenaria.functions.arith import SIG_HALF
+
+    p = f"CAST({10.0 ** digits!r} AS DOUBLE)"
+    return f"floor({x} * {p} + CAST({SIG_HALF!r} AS DOUBLE)) / {p}"
+
+
+def rnd_sig(x: str, sig: int = 8) -> str:
+    """The SQL form of ``functions.arith.rnd_sig`` (same thresholds, same formula)."""
+    from scenaria.functions.arith import SIG_RANGE
+
+    lo, hi = SIG_RANGE
+    whens = " ".join(f"WHEN abs({x}) >= CAST({10.0 ** k!r} AS DOUBLE) THEN {_rnd(x, sig - 1 - k)}"
+                     for k in range(hi, lo - 1, -1))
+    return f"CASE {whens} WHEN {x} = 0 THEN {x} ELSE {_rnd(x, sig - 1 - lo)} END"
+
+
+def rounded(statement: str, cols: Sequence[str], sig: int = 8) -> str:
+    """Round the listed columns to ``sig`` significant digits, as the Spark query does."""
+    reps = ", ".join(f'{rnd_sig(chr(34) + c + chr(34), sig)} AS "{c}"' for c in cols)
     return f"SELECT * REPLACE ({reps}) FROM (\n{statement}\n) _r"
 
 

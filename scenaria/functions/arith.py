@@ -37,7 +37,6 @@ def rnd(x: str | Column, digits: int, half: float = 0.5) -> Column:
     return (F.floor(_col(x) * F.lit(p) + F.lit(half)).cast("double") / F.lit(p))
 
 
-SIG_RANGE = (-15, 20)
 # Rounding boundary for comparisons across engines: slightly off one half, so that a value with a short
 # exact decimal expansion (sums of cents, halves, fifths) or a small-denominator fraction never sits on
 # it; last-bit differences from a different summation order are far smaller than the offset.
@@ -47,15 +46,14 @@ SIG_HALF = 0.5 + 3.5e-7
 def rnd_sig(x: str | Column, sig: int = 8) -> Column:
     """Rounding to ``sig`` significant digits, used to compare order-dependent float results.
 
-    The decimal exponent is chosen by exact comparisons with powers of ten (no logarithm), so the same
-    CASE written in SQL gives the same result; a value next to a power of ten rounds to that power
-    whichever side of it a last-bit difference puts it.
+    The scale is an exact power of ten (multiply for small values, divide for large ones), so every step
+    is the same IEEE operation in any engine. Next to a power of ten a last-bit difference can change
+    ``floor(log10 |x|)``, but both choices round to that power, so the result is the same.
     """
     c = _col(x)
-    a = F.abs(c)
-    lo, hi = SIG_RANGE
-    expr = None
-    for k in range(hi, lo - 1, -1):
-        cond, val = a >= F.lit(10.0 ** k), rnd(c, sig - 1 - k, SIG_HALF)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return expr.when(c == 0, c).otherwise(rnd(c, sig - 1 - lo, SIG_HALF))
+    e = F.lit(sig - 1) - F.floor(F.log10(F.abs(c)))
+    up = F.pow(F.lit(10.0), e.cast("double"))
+    down = F.pow(F.lit(10.0), (-e).cast("double"))
+    small = F.floor(c * up + F.lit(SIG_HALF)).cast("double") / up
+    large = F.floor(c / down + F.lit(SIG_HALF)).cast("double") * down
+    return F.when(c == 0, c).when(e >= 0, small).otherwise(large)

@@ -57,21 +57,16 @@ def render(final: str, needs: Sequence[str] = ()) -> str:
     return f"WITH {parts}\n{final}"
 
 
-def _rnd(x: str, digits: int) -> str:
-    from scenaria.functions.arith import SIG_HALF
-
-    p = f"CAST({10.0 ** digits!r} AS DOUBLE)"
-    return f"floor({x} * {p} + CAST({SIG_HALF!r} AS DOUBLE)) / {p}"
-
-
 def rnd_sig(x: str, sig: int = 8) -> str:
-    """The SQL form of ``functions.arith.rnd_sig`` (same thresholds, same formula)."""
-    from scenaria.functions.arith import SIG_RANGE
+    """The SQL form of ``functions.arith.rnd_sig`` (same operations in the same order)."""
+    from scenaria.functions.arith import SIG_HALF
 
-    lo, hi = SIG_RANGE
-    whens = " ".join(f"WHEN abs({x}) >= CAST({10.0 ** k!r} AS DOUBLE) THEN {_rnd(x, sig - 1 - k)}"
-                     for k in range(hi, lo - 1, -1))
-    return f"CASE {whens} WHEN {x} = 0 THEN {x} ELSE {_rnd(x, sig - 1 - lo)} END"
+    half = f"CAST({SIG_HALF!r} AS DOUBLE)"
+    e = f"({sig - 1} - floor(log10(abs({x}))))"
+    up = f"pow(CAST(10 AS DOUBLE), CAST({e} AS DOUBLE))"
+    down = f"pow(CAST(10 AS DOUBLE), CAST(-{e} AS DOUBLE))"
+    return (f"CASE WHEN {x} = 0 THEN {x} WHEN {e} >= 0 THEN floor({x} * {up} + {half}) / {up} "
+            f"ELSE floor({x} / {down} + {half}) * {down} END")
 
 
 def rounded(statement: str, cols: Sequence[str], sig: int = 8) -> str:

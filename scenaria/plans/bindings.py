@@ -154,7 +154,9 @@ def stim_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def _stim_long(spark: SparkSession, d: str) -> DataFrame:
-    return S.stimulus_components(stim_wide(spark, d), region_dim(spark, d), ["country_code"])
+    """Country x category stimulus, stored once: it feeds most stimulus, GDP-share and map queries."""
+    return _materialize(S.stimulus_components(stim_wide(spark, d), region_dim(spark, d), ["country_code"]),
+                        "stim-long")
 
 
 def stim_long(spark: SparkSession, d: str, dim: DataFrame | None = None) -> DataFrame:
@@ -247,7 +249,8 @@ def invest_annual(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def invest(spark: SparkSession, d: str) -> DataFrame:
-    return I.investment_two_sector(invest_annual(spark, d), FOSSIL, LOW_CARBON)
+    """The two-sector annual investment table, stored once: every investment query starts from it."""
+    return _materialize(I.investment_two_sector(invest_annual(spark, d), FOSSIL, LOW_CARBON), "invest")
 
 
 def shift(spark: SparkSession, d: str, stat: str = "mean", inv: DataFrame | None = None) -> DataFrame:

@@ -99,3 +99,16 @@ def test_map_regions_fanout(spark, xwalk):
     out = {(r.country_code, r.region): r for r in SH.map_region_stimulus(long, dim, gdp).collect()}
     assert out[("FRA", "EUR")].stim_reg == 5.0 and out[("FRA", "EUR")].gdp_reg == 100.0
     assert out[("FRA", "G7")].stim_reg == 2.0 and out[("FRA", "EUR")].pct_gdp == 0.05
+
+
+def test_energy_percentage_quirk_and_correction(spark):
+    energy = spark.createDataFrame([("1.5C", "ASIA", "Fossil fuels", 200.0)],
+                                   "scenario string, region string, variable string, avg_invest double")
+    gdp = spark.createDataFrame([("ASIA", 2.0e13)], "region string, gdp double")
+    empty = spark.createDataFrame([], "region string, variable string, avg_invest double, gdp double, "
+                                      "pct_gdp double, invest_type string, scenario string")
+    kept = SH.gdp_shares(energy, gdp, empty, empty, empty).collect()[0]
+    fixed = SH.gdp_shares(energy, gdp, empty, empty, empty, energy_unit=1e9).collect()[0]
+    assert kept.pct_gdp == pytest.approx(1e-9)      # billions divided by GDP in units, as in the source
+    assert fixed.pct_gdp == pytest.approx(1.0)      # corrected: 200 bn of 20 trillion is 1 %
+    assert kept.variable_rank == 5

@@ -205,6 +205,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_co
     """
     source = id_text(docs, id_col, text_col)
     rows = store(source.mapInArrow(_profile(width, percent), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "parity-rows")
+    return link_classes(source, rows, percent, width)
+
+
+def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) from stored ``rows`` (doc_id, n_shingles, h1, h2, keys) of the texts in
+    ``source``: sets that share a key are candidates, links are verified exactly."""
     key = ["n_shingles", "h1", "h2"]
     classes = store(rows.where("n_shingles > 0").groupBy(key).agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("rep"))
                     .withColumn("node", F.monotonically_increasing_id()), "parity-classes")

@@ -26,3 +26,10 @@ def op6(spark, sf_dir):
     from scenaria.llm.parity_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
+@query("op5_document_fingerprints")
+def op5(spark, sf_dir):
+    from scenaria.llm.minhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))

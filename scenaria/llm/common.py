@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenaria.llm.shingles import mix
 from scenaria.session import scratch_path
 
 #: Stands for a null id where ids are compared or joined; no table may use it as an id.
 NULL_ID = -(2**63)
+#: Bits of a map of wanted values; 2 MB whatever the input.
+MAP_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +54,39 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20
         yield start, len(size), texts.slice(start)
 
 
+def _slots(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(values.astype(np.int64).view(np.uint64))
+    return (h & np.uint64(MAP_BITS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64)
+
+
+def bit_map(df: DataFrame, column: str) -> bytes:
+    """A two-probe bit map of a long column, made by partition and merged; its size does not depend on the input.
+    It serves to leave out most rows that cannot match before an exact join, never to decide."""
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MAP_BITS, dtype=bool)
+        for batch in batches:
+            for s in _slots(batch.column(0).to_numpy(zero_copy_only=False)):
+                bits[s] = True
+        packed = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "word"])
+    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
+    got = df.select(column).mapInArrow(local, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out[got["at"].to_numpy()] = got["word"].to_numpy()
+    return out.tobytes()
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool)
+
+
+def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    one, two = _slots(values)
+    hit = bits[one]
+    hit[hit] = bits[two[hit]]
+    return hit
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): one row (node, root) per node, root being
     the smallest node reachable.

@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import NULL_ID, components, id_text, store, text_chunks
+from scenaria.llm.common import NULL_ID, bit_map, components, id_text, in_map, store, text_chunks, unpacked
 from scenaria.llm.shingles import buffers, distinct, mix, shingles, words
 
 #: Ratio of a size band's ends.
 BAND_RATIO = 1.4
 #: Rows of one side of a comparison cell.
 CELL = 1024
-#: Bits of the map that says which documents are fetched for verification; 2 MB whatever the input.
-MAP_BITS = 1 << 24
 #: Words of the sketch by which whole sets are compared.
 WORDS = 32
 _U = np.uint64
@@ -134,10 +132,10 @@ def _profile(width: int, percent: int):
 def _fetch(width: int, percent: int, wanted: bytes):
     """Sets and sketches of the documents whose id is in the bit map."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little").view(bool)
+        bits = unpacked(wanted)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bits[_slot(ids)]))
+            batch = batch.filter(pa.array(in_map(bits, ids)))
             for s, e, chunk in text_chunks(batch):
                 sets, at = _sets(chunk, width)
                 h1, h2 = _digests(sets, at)
@@ -150,25 +148,6 @@ def _fetch(width: int, percent: int, wanted: bytes):
     return run
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(_U)) & _U(MAP_BITS - 1)).astype(np.int64)
-
-
-def _map_of(ids: DataFrame) -> bytes:
-    """A bit map of the ids, built by partition and merged; its size does not depend on the input."""
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MAP_BITS, dtype=bool)
-        for batch in batches:
-            bits[_slot(batch.column("rep").to_numpy(zero_copy_only=False))] = True
-        words_ = np.packbits(bits, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words_)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words_[at])], names=["at", "word"])
-    out = np.zeros(MAP_BITS // 64, dtype=np.int64)
-    got = ids.mapInArrow(local, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    out[got["at"].to_numpy()] = got["word"].to_numpy()
-    return out.tobytes()
-
-
 def _cells(percent: int):
     """Pairs of different components in one cell of a bucket that whole sketches don't rule out."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +199,7 @@ def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -
             .where("a < z"))
     shared = store(entries.join(full.select("bucket", "a"), "bucket").select("bucket", "node", "a"), "parity-shared")
     node_rep = classes.join(shared.select("node").distinct(), "node", "left_semi")
-    wanted = _map_of(node_rep.select("rep"))
+    wanted = bit_map(node_rep, "rep")
     members = store(source.mapInArrow(_fetch(width, percent, wanted), "rep long, n_shingles long, h1 long, h2 long, members array<long>, sketch array<long>")
                     .join(node_rep, ["rep", *key]).select("node", "n_shingles", "members", "sketch"), "parity-members")
 

@@ -33,3 +33,17 @@ def op5(spark, sf_dir):
     from scenaria.llm.minhash import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    from scenaria.llm.compression_quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark, sf_dir):
+    from scenaria.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

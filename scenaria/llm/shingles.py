@@ -17,6 +17,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of words when ASCII marks and white space separate: letters, digits and all bytes of other scripts.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -47,13 +50,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word with the total at the end, byte starts, byte ends)."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64), z, z
-    inside = ~_SPACE[data]
+    inside = of[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     begins = inside.copy()
@@ -70,22 +73,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, np.searchsorted(starts, offsets).astype(np.int64), starts, ends
 
 
-def shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(h: np.ndarray, first: np.ndarray, width: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, index of each text's first shingle with the total at the end), in word order, repeats
-    included. A text of fewer words than ``width`` but at least one has its whole sequence as one shingle."""
+    included. A text of fewer words than ``width`` but at least one has its whole sequence as one shingle, or none
+    if not ``short``."""
     count = np.diff(first)
     n = len(h)
     rolled = np.zeros(n, dtype=_U)
     for j in range(width):
         rolled[: max(0, n - j)] = (rolled[: max(0, n - j)] + h[j:]) * _U(0xD6E8FEB86659FD93)
         rolled ^= rolled >> _U(32)
-    whole = np.maximum(count - width + 1, (count > 0).astype(np.int64))
+    whole = np.maximum(count - width + 1, (count > 0).astype(np.int64) if short else 0)
     at = np.concatenate([[0], np.cumsum(whole)]).astype(np.int64)
     keep = np.ones(n, dtype=bool)
     last = np.arange(n) - np.repeat(first[:-1], count)  # place in its text
     keep &= last < np.repeat(whole, count)
     out = mix(rolled[keep])
-    for i in np.flatnonzero((count > 0) & (count < width)):
+    for i in np.flatnonzero((count > 0) & (count < width) & short):
         seq = 0x5851F42D4C957F2D + int(count[i])
         for x in h[first[i]: first[i + 1]].tolist():
             seq = ((seq ^ x) * 0xD6E8FEB86659FD93 + 1) & (2**64 - 1)

@@ -47,3 +47,10 @@ def op10(spark, sf_dir):
     from scenaria.llm.decontaminate import matches
 
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_secret_scans")
+def op8(spark, sf_dir):
+    from scenaria.llm.secret_scan import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))

@@ -54,3 +54,10 @@ def op8(spark, sf_dir):
     from scenaria.llm.secret_scan import secret_spans
 
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op4_sentencepiece")
+def op4(spark, sf_dir):
+    from scenaria.llm.piece_tokens import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenaria.llm.common import NULL_ID, id_text, store, text_chunks
-from scenaria.llm.parity_join import _digests, link_classes
+from scenaria.llm.parity_join import PROFILE, link_classes, profile_batch
 from scenaria.llm.shingles import buffers, distinct, mix, shingles, words
 
 _U = np.uint64
@@ -57,17 +57,6 @@ def _hex(signatures: np.ndarray) -> list[str]:
     return [whole[i: i + width].hex() for i in range(0, len(whole), width)] if width else []
 
 
-def _windows(h: np.ndarray, first: np.ndarray, width: int, strict: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles; texts marked ``strict`` give none when they have fewer words than ``width``."""
-    sh, at = shingles(h, first, width)
-    count = np.diff(at)
-    drop = strict & (np.diff(first) < width) & (count > 0)
-    if drop.any():
-        sh = sh[~np.repeat(drop, count)]
-        at = np.concatenate([[0], np.cumsum(np.where(drop, 0, count))]).astype(np.int64)
-    return sh, at
-
-
 def _sign_with_next(ids: list, texts: list[str], a, b, width: int) -> pa.RecordBatch:
     """Rows for all of ``texts`` but the last, which only serves as the next document."""
     n = len(texts)
@@ -97,7 +86,11 @@ def _sign_with_next(ids: list, texts: list[str], a, b, width: int) -> pa.RecordB
     own = np.concatenate([np.minimum(seg[0:-1:2], seg[1:-1:2]), seg[-1:]])
     toff = np.concatenate([[0], np.cumsum([len(x) for x in tails])]).astype(np.int64)
     th, tfirst, _, _ = words(np.frombuffer(b"".join(tails), np.uint8), toff)
-    edited = np.minimum(least(*_windows(th, tfirst, width, np.array(strict, bool)), a, b), seg[0:-1:2])
+    tsh, tat = shingles(th, tfirst, width)
+    drop = np.array(strict, bool) & (np.diff(tfirst) < width)  # no shingle lies in such a tail alone
+    new = least(tsh, tat, a, b)
+    new[drop] = 0xFFFFFFFF
+    edited = np.minimum(new, seg[0:-1:2])
     near = lambda x, y: pa.array((x == y).mean(axis=1))
     return pa.RecordBatch.from_arrays(
         [pa.array(ids[: n - 1], pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array(_hex(own[:-1])), pa.array(_hex(edited)),
@@ -154,21 +147,18 @@ OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 def _banded(permutations: int, rows: int, width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = hash_functions(permutations, seed)
+        seen: set[int] = set()
         for batch in batches:
             for s, e, chunk in text_chunks(batch):
                 h, first, _, _ = words(*buffers(chunk))
                 sets, at = distinct(*shingles(h, first, width))
-                h1, h2 = _digests(sets, at)
                 sig = least(sets, at, a, b).reshape(e - s, permutations // rows, rows).astype(_U)
                 key = np.zeros(sig.shape[:2], _U) + np.arange(1, sig.shape[1] + 1, dtype=_U)
                 for j in range(rows):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, :, j])
                 full = np.diff(at) > 0
-                base = np.concatenate([[0], np.cumsum(np.where(full, key.shape[1], 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s, e - s), pa.array(np.diff(at)), pa.array(h1), pa.array(h2),
-                     pa.ListArray.from_arrays(pa.array(base), pa.array(key[full].reshape(-1).view(np.int64)))],
-                    names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+                base = np.concatenate([[0], np.cumsum(np.where(full, key.shape[1], 0))]).astype(np.int64)
+                yield profile_batch(batch.column("doc_id").slice(s, e - s), sets, at, key[full].reshape(-1).view(np.int64), base, seen)
     return run
 
 
@@ -178,5 +168,5 @@ def near_groups(docs: DataFrame, percent: int = 80, permutations: int = 128, row
     then prove to have Jaccard of ``percent`` or more are linked. At 128 places in bands of 4 a pair of similarity
     0.8 is missed with probability below 1e-7. Empty sets link with nothing."""
     source = id_text(docs, id_col, text_col)
-    profile = store(source.mapInArrow(_banded(permutations, rows, width, seed), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "minhash-rows")
+    profile = store(source.mapInArrow(_banded(permutations, rows, width, seed), PROFILE), "minhash-rows")
     return link_classes(source, profile, percent, width)

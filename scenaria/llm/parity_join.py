@@ -6,13 +6,13 @@ Jaccard >= t differ in at most D = (|a| + |b|)(1 - t)/(1 + t) members, so with m
 least one block is equal (pigeonhole). The number of blocks is fixed per size band; a set is entered
 in its own band and in each larger band that a partner can lie in.
 
-1. One row per distinct set (class): equal sets are found by (size, 128-bit set digest).
-2. Classes are keyed by (band, block, value). Buckets with one class fall away in a partial aggregate.
-3. In each bucket every class is verified exactly against the smallest class of the bucket; linked classes
-   are merged. A bucket of thousands of near copies so costs a linear number of verifications.
-4. Buckets of three or more classes that still hold different components are compared by whole sketches
-   (Hamming distance > D rules a pair out), in square cells of bounded size that may run anywhere; what is
-   left is verified exactly. No link between different sets is lost.
+1. Equal sets are one node, found by a 64-bit digest of the set (two different sets share one with probability 2**-64).
+2. Nodes are keyed by (band, block, value), the value being the block's parity bits and the XOR of its full hashes.
+   Buckets with one node fall away in a partial aggregate; a bit map spares most of their entries the next shuffle.
+3. In each bucket every node is verified against the smallest node of the bucket, by whole sketches first (Hamming
+   distance > D rules a pair out), then exactly; linked nodes are merged. A bucket of thousands of near copies so costs a linear number of verifications.
+4. Buckets of three or more nodes that still hold different components are compared by whole sketches in square
+   cells of bounded size that may run anywhere; what is left is verified exactly. No link between different sets is lost.
 
 Null or blank texts have an empty set and link with nothing, each its own component. Null doc_ids are
 carried; a component whose ids are all null has a null component_id. Repeated rows are equal sets.
@@ -70,18 +70,49 @@ def _sketch(sets: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> tuple[np.nd
     return out, base
 
 
+def _block_sums(sets: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """XOR of the full hashes in each block of each set, dealt as in ``_sketch``."""
+    count = np.diff(at)
+    base = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+    h = mix(sets ^ _U(0xA0761D6478BD642F))
+    block = ((h >> _U(32)) * np.repeat(blocks, count).astype(_U)) >> _U(32)
+    out = np.zeros(base[-1], dtype=_U)
+    np.bitwise_xor.at(out, np.repeat(base[:-1], count) + block.astype(np.int64), h * _U(0xE7037ED1A0B428DB))
+    return out
+
+
 def _sets(chunk: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     h, first, _, _ = words(*buffers(chunk))
     return distinct(*shingles(h, first, width))
 
 
-def _digests(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit sums over each set."""
-    out = []
+def set_digest(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set: two mixed sums over its members and its size."""
+    out = np.diff(at).astype(_U)
     for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
         total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(sets ^ _U(salt)), dtype=_U)])
-        out.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-    return out[0], out[1]
+        out = mix(out * _U(0x9E3779B97F4A7C15) + (total[at[1:]] - total[at[:-1]]))
+    return out.view(np.int64)
+
+
+def profile_batch(doc_ids: pa.Array, sets: np.ndarray, at: np.ndarray, key: np.ndarray, base: np.ndarray, seen: set) -> pa.RecordBatch:
+    """(doc_id, n_shingles, node, keys); a node that this task has met before needs no keys again."""
+    node = set_digest(sets, at)
+    fresh = np.ones(len(node), bool)
+    for i, x in enumerate(node.tolist()):
+        if x in seen:
+            fresh[i] = False
+        else:
+            seen.add(x)
+    count = np.where(fresh, np.diff(base), 0)
+    key = key[np.repeat(fresh, np.diff(base))]
+    return pa.RecordBatch.from_arrays(
+        [doc_ids, pa.array(np.diff(at)), pa.array(node),
+         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(key))],
+        names=["doc_id", "n_shingles", "node", "keys"])
+
+
+PROFILE = "doc_id long, n_shingles long, node long, keys array<long>"
 
 
 def _band_entries(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int]]:
@@ -104,7 +135,9 @@ def _keys(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, n
     n = len(at) - 1
     parts, owner = [], []
     for own, band, blocks in _band_entries(np.diff(at), percent):
-        s, base = _sketch(*_take(sets, at, own), np.full(len(own), blocks))
+        part, many = _take(sets, at, own), np.full(len(own), blocks)
+        s, base = _sketch(*part, many)
+        s = mix(s) ^ _block_sums(*part, many)
         place = np.arange(base[-1], dtype=_U) % _U(blocks)
         parts.append(mix(mix(s ^ _U(0x8BB84B93962EACC9)) + place * _U(0x9E3779B97F4A7C15) + _U(band + 1)))
         owner.append(np.repeat(own, blocks))
@@ -117,34 +150,45 @@ def _keys(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, n
 
 def _profile(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for s, e, chunk in text_chunks(batch):
                 sets, at = _sets(chunk, width)
-                h1, h2 = _digests(sets, at)
-                key, base = _keys(sets, at, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s, e - s), pa.array(np.diff(at)), pa.array(h1), pa.array(h2),
-                     pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(key))],
-                    names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+                yield profile_batch(batch.column("doc_id").slice(s, e - s), sets, at, *_keys(sets, at, percent), seen)
     return run
 
 
-def _fetch(width: int, percent: int, wanted: bytes):
-    """Sets and sketches of the documents whose id is in the bit map."""
+def _fetch(width: int, wanted: bytes):
+    """Sets and sketches of the documents whose id is in the bit map, each node once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpacked(wanted)
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(in_map(bits, ids)))
             for s, e, chunk in text_chunks(batch):
                 sets, at = _sets(chunk, width)
-                h1, h2 = _digests(sets, at)
                 sketch, base = _sketch(sets, at, np.full(e - s, WORDS))
+                node = set_digest(sets, at)
+                fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s, e - s).fill_null(NULL_ID), pa.array(np.diff(at)), pa.array(h1), pa.array(h2),
+                    [pa.array(node), pa.array(np.diff(at)),
                      pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(sketch.view(np.int64)))],
-                    names=["rep", "n_shingles", "h1", "h2", "members", "sketch"])
+                    names=["node", "n_shingles", "members", "sketch"]).filter(pa.array(fresh))
+    return run
+
+
+def _entries(full: bytes):
+    """(bucket, node) of the stored keys that may lie in a bucket of several nodes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = unpacked(full)
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy(zero_copy_only=False)
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+            hit = in_map(bits, key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit])], names=["bucket", "node"])
     return run
 
 
@@ -167,12 +211,16 @@ def _cells(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have the asked similarity, by exact intersection."""
-    a = members.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    b = members.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("ma") + F.size("mb") - both)).select("a", "b")
+def _verified(pairs: DataFrame, members: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets have the asked similarity: by whole sketches, then by exact intersection."""
+    def side(c: str, what: str) -> DataFrame:
+        return members.select(F.col("node").alias(c), F.col(what).alias(f"{what}_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    total = F.col("n_a") + F.col("n_b")
+    near = store(pairs.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a")
+                 .where(apart * (100 + percent) <= total * (100 - percent)).select("a", "b"), f"{name}-near")
+    both = F.size(F.array_intersect("members_a", "members_b"))
+    return near.join(side("b", "members"), "b").join(side("a", "members"), "a").where(100 * both >= percent * (total - both)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id",
@@ -183,28 +231,25 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_co
     component_id is the smallest doc_id reachable by links, the document's own included.
     """
     source = id_text(docs, id_col, text_col)
-    rows = store(source.mapInArrow(_profile(width, percent), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "parity-rows")
+    rows = store(source.mapInArrow(_profile(width, percent), PROFILE), "parity-rows")
     return link_classes(source, rows, percent, width)
 
 
 def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) from stored ``rows`` (doc_id, n_shingles, h1, h2, keys) of the texts in
-    ``source``: sets that share a key are candidates, links are verified exactly."""
-    key = ["n_shingles", "h1", "h2"]
-    classes = store(rows.where("n_shingles > 0").groupBy(key).agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("rep"))
-                    .withColumn("node", F.monotonically_increasing_id()), "parity-classes")
-    entries = (rows.where(F.size("keys") > 0).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), *key, "keys")
-               .join(classes, ["rep", *key]).select("node", F.explode("keys").alias("bucket")))
-    full = (entries.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-            .where("a < z"))
-    shared = store(entries.join(full.select("bucket", "a"), "bucket").select("bucket", "node", "a"), "parity-shared")
-    node_rep = classes.join(shared.select("node").distinct(), "node", "left_semi")
-    wanted = bit_map(node_rep, "rep")
-    members = store(source.mapInArrow(_fetch(width, percent, wanted), "rep long, n_shingles long, h1 long, h2 long, members array<long>, sketch array<long>")
-                    .join(node_rep, ["rep", *key]).select("node", "n_shingles", "members", "sketch"), "parity-members")
-
-    star = shared.where("node > a").select("a", F.col("node").alias("b")).distinct()
-    links = store(_verified(star, members, percent), "parity-links")
+    """(doc_id, n_shingles, component_id) from stored ``rows`` (PROFILE) of the texts in ``source``: sets that share
+    a key are candidates, links are verified exactly."""
+    ids = F.coalesce("doc_id", F.lit(NULL_ID))
+    full = (rows.select("node", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+            .where("a < z").select("bucket", "a"))
+    full = store(full, "parity-full")
+    shared = store(rows.select("node", "keys").mapInArrow(_entries(bit_map(full, "bucket")), "bucket long, node long")
+                   .join(full, "bucket").distinct(), "parity-shared")
+    reps = rows.groupBy("node").agg(F.min(ids).alias("rep")).join(shared.select("node").distinct(), "node", "left_semi")
+    members = store(source.mapInArrow(_fetch(width, bit_map(reps, "rep")), "node long, n_shingles long, members array<long>, sketch array<long>")
+                    .where("n_shingles > 0"), "parity-members")
+
+    star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = store(_verified(star, members, percent, "parity-star"), "parity-links")
     label = components(links, "parity-star")
 
     bucket_root = shared.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
@@ -217,11 +262,12 @@ def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -
                   .select("bucket", "node", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")))
     more = (mixed_rows.join(members.select("node", "n_shingles", "sketch"), "node").groupBy("bucket", "low", "high")
             .applyInPandas(_cells(percent), "a long, b long").distinct())
-    found = store(_verified(more, members, percent), "parity-more")
+    found = store(_verified(more, members, percent, "parity-rest"), "parity-more")
     if not found.isEmpty():
         label = components(links.union(found), "parity-all")
-    lowest = (classes.join(label, "node", "left").select("node", *key, "rep", F.coalesce("root", "node").alias("root")))
-    smallest = lowest.groupBy("root").agg(F.min(F.when(F.col("rep") != NULL_ID, F.col("rep"))).alias("component_id"))
-    by_class = lowest.join(smallest, "root").select(*key, "component_id")
-    return (rows.select("doc_id", *key).join(by_class, key, "left")
+    by_node = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left")
+    by_node = by_node.select("node", "rep", F.coalesce("root", "node").alias("root"))
+    smallest = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = by_node.join(smallest, "root").select("node", "component_id")
+    return (rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))

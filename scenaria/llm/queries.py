@@ -61,3 +61,10 @@ def op4(spark, sf_dir):
     from scenaria.llm.piece_tokens import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op7_kd_sharding")
+def op7(spark, sf_dir):
+    from scenaria.llm.kd_shards import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), shards=40)

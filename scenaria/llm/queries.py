@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scenaria.llm.common import table
+from scenaria.llm.licenses import oracle_sql as license_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,3 +69,24 @@ def op7(spark, sf_dir):
     from scenaria.llm.kd_shards import kd_shards
 
     return kd_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query("op3_html_extraction")
+def op3(spark, sf_dir):
+    from scenaria.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op1_url_filters")
+def op1(spark, sf_dir):
+    from scenaria.llm.link_trust import judged_urls
+
+    return judged_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op2_license_scans", license_sql())
+def op2(spark, sf_dir):
+    from scenaria.llm.licenses import license_ids
+
+    return license_ids(table(spark, sf_dir, "documents"))

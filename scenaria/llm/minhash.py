@@ -158,15 +158,15 @@ def _banded(permutations: int, rows: int, width: int, seed: int):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + sig[:, :, j])
                 full = np.diff(at) > 0
                 base = np.concatenate([[0], np.cumsum(np.where(full, key.shape[1], 0))]).astype(np.int64)
-                yield profile_batch(batch.column("doc_id").slice(s, e - s), sets, at, key[full].reshape(-1).view(np.int64), base, seen)
+                yield profile_batch(batch.slice(s, e - s), sets, at, key[full].reshape(-1).view(np.int64), base, seen)
     return run
 
 
 def near_groups(docs: DataFrame, percent: int = 80, permutations: int = 128, rows: int = 4, width: int = 5, seed: int = 1,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents that share a signature band of ``rows`` places and whose sets
+    """(doc_id, digest, n_shingles, component_id): documents that share a signature band of ``rows`` places and whose sets
     then prove to have Jaccard of ``percent`` or more are linked. At 128 places in bands of 4 a pair of similarity
     0.8 is missed with probability below 1e-7. Empty sets link with nothing."""
-    source = id_text(docs, id_col, text_col)
+    source = id_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
     profile = store(source.mapInArrow(_banded(permutations, rows, width, seed), PROFILE), "minhash-rows")
     return link_classes(source, profile, percent, width)

@@ -9,7 +9,7 @@ in its own band and in each larger band that a partner can lie in.
 1. Equal sets are one node, found by a 64-bit digest of the set (two different sets share one with probability 2**-64).
 2. Nodes are keyed by (band, block, value), the value being the block's parity bits and the XOR of its full hashes.
    Buckets with one node fall away in a partial aggregate; a bit map spares most of their entries the next shuffle.
-3. In each bucket every node is verified against the smallest node of the bucket, by whole sketches first (Hamming
+3. In each bucket every node is verified against its middle, the node that shares most buckets with most others, by whole sketches first (Hamming
    distance > D rules a pair out), then exactly; linked nodes are merged. A bucket of thousands of near copies so costs a linear number of verifications.
 4. Buckets of three or more nodes that still hold different components are compared by whole sketches in square
    cells of bounded size that may run anywhere; what is left is verified exactly. No link between different sets is lost.
@@ -95,8 +95,8 @@ def set_digest(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def profile_batch(doc_ids: pa.Array, sets: np.ndarray, at: np.ndarray, key: np.ndarray, base: np.ndarray, seen: set) -> pa.RecordBatch:
-    """(doc_id, n_shingles, node, keys); a node that this task has met before needs no keys again."""
+def profile_batch(rows: pa.RecordBatch, sets: np.ndarray, at: np.ndarray, key: np.ndarray, base: np.ndarray, seen: set) -> pa.RecordBatch:
+    """(doc_id, digest, n_shingles, node, keys); a node that this task has met before needs no keys again."""
     node = set_digest(sets, at)
     fresh = np.ones(len(node), bool)
     for i, x in enumerate(node.tolist()):
@@ -107,12 +107,12 @@ def profile_batch(doc_ids: pa.Array, sets: np.ndarray, at: np.ndarray, key: np.n
     count = np.where(fresh, np.diff(base), 0)
     key = key[np.repeat(fresh, np.diff(base))]
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(np.diff(at)), pa.array(node),
+        [rows.column("doc_id"), rows.column("digest"), pa.array(np.diff(at)), pa.array(node),
          pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(key))],
-        names=["doc_id", "n_shingles", "node", "keys"])
+        names=["doc_id", "digest", "n_shingles", "node", "keys"])
 
 
-PROFILE = "doc_id long, n_shingles long, node long, keys array<long>"
+PROFILE = "doc_id long, digest long, n_shingles long, node long, keys array<long>"
 
 
 def _band_entries(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int]]:
@@ -154,7 +154,7 @@ def _profile(width: int, percent: int):
         for batch in batches:
             for s, e, chunk in text_chunks(batch):
                 sets, at = _sets(chunk, width)
-                yield profile_batch(batch.column("doc_id").slice(s, e - s), sets, at, *_keys(sets, at, percent), seen)
+                yield profile_batch(batch.slice(s, e - s), sets, at, *_keys(sets, at, percent), seen)
     return run
 
 
@@ -225,30 +225,35 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int, name: str) ->
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id).
+    """One row per document: (doc_id, digest, n_shingles, component_id), digest being xxhash64 of the text.
 
     Documents link when 100 * |a & b| >= percent * |a | b| over the sets of ``width``-word shingles;
     component_id is the smallest doc_id reachable by links, the document's own included.
     """
-    source = id_text(docs, id_col, text_col)
+    source = id_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
     rows = store(source.mapInArrow(_profile(width, percent), PROFILE), "parity-rows")
     return link_classes(source, rows, percent, width)
 
 
 def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id) from stored ``rows`` (PROFILE) of the texts in ``source``: sets that share
+    """(doc_id, digest, n_shingles, component_id) from stored ``rows`` (PROFILE) of the texts in ``source``: sets that share
     a key are candidates, links are verified exactly."""
     ids = F.coalesce("doc_id", F.lit(NULL_ID))
     full = (rows.select("node", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-            .where("a < z").select("bucket", "a"))
+            .where("a < z").select("bucket"))
     full = store(full, "parity-full")
     shared = store(rows.select("node", "keys").mapInArrow(_entries(bit_map(full, "bucket")), "bucket long, node long")
-                   .join(full, "bucket").distinct(), "parity-shared")
+                   .join(full, "bucket").select("bucket", "node").distinct(), "parity-shared")
+    # the middle of a bucket is its node with most company over all its buckets: in a group of near copies, the least edited
+    company = shared.groupBy("bucket").agg(F.count("*").alias("m"))
+    score = shared.join(company, "bucket").groupBy("node").agg(F.sum("m").alias("score"))
+    middle = shared.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("middle"))
+    shared = store(shared.join(middle, "bucket"), "parity-middles")
     reps = rows.groupBy("node").agg(F.min(ids).alias("rep")).join(shared.select("node").distinct(), "node", "left_semi")
     members = store(source.mapInArrow(_fetch(width, bit_map(reps, "rep")), "node long, n_shingles long, members array<long>, sketch array<long>")
                     .where("n_shingles > 0"), "parity-members")
 
-    star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    star = shared.where("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
     links = store(_verified(star, members, percent, "parity-star"), "parity-links")
     label = components(links, "parity-star")
 
@@ -269,5 +274,19 @@ def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -
     by_node = by_node.select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = by_node.join(smallest, "root").select("node", "component_id")
-    return (rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    return (rows.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
+            .select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, unchanged, of one document of each component: the one of smallest doc_id.
+
+    Rows that share id and text are one document. Rows that share the smallest id with different texts all stay, and so
+    do the rows of a component in which every id is null."""
+    found = jaccard_components(docs, percent, width)
+    found = store(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "component_id"), "parity-found")
+    out = found.where(F.col("component_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", "_digest").distinct()
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    kept = docs.join(store(out, "parity-out"), F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    twice = found.where(F.col("_id") == F.col("component_id")).groupBy("_id", "_digest").count().where("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

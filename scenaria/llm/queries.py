@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 def op6(spark, sf_dir):
     from scenaria.llm.parity_join import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, width=3)
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=90, width=3).drop("digest")
 
 
 @query("op5_document_fingerprints")

@@ -29,6 +29,22 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from every column of ``df``."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The rows of ``docs``, unchanged, that are not in ``out`` (doc_id, digest), digest being xxhash64 of the text."""
+    i, d = unused(docs, "out_id"), unused(docs, "out_digest")
+    out = store(out.select(F.col("doc_id").alias(i), F.col("digest").alias(d)).distinct(), "without")
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col(i)) & (digest == F.col(d)), "left_anti")
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared scratch folder and read it back: cuts the lineage, survives lost
     executors, and gives the planner the true size of the table."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import bit_map, id_text, in_map, store, text_chunks, unpacked
+from scenaria.llm.common import bit_map, id_text, in_map, store, text_chunks, unpacked, without
 from scenaria.llm.shingles import LETTERS, buffers, shingles, words
 
 
@@ -133,6 +133,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 4, threshold: fl
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, unchanged, that match no item."""
-    found = store(matches(docs, benchmark, **options).select(F.col("doc_id").alias("_leak_id"), F.col("digest").alias("_leak_digest")).distinct(), "leak-found")
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (digest == F.col("_leak_digest")), "left_anti")
+    return without(docs, matches(docs, benchmark, **options))

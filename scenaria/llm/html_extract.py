@@ -224,7 +224,7 @@ def extract(source: str, winners: list[str]) -> str:
             found = {i for i, p in enumerate(page.paths) if p == path}
             if found:
                 blocks = page.under(found)
-                if 5 * sum(map(len, blocks)) >= sum(map(len, own)):
+                if 20 * sum(map(len, blocks)) >= sum(map(len, own)):
                     return " ".join(blocks)
                 break
         if own:

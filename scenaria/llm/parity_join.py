@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import NULL_ID, bit_map, components, id_text, in_map, store, text_chunks, unpacked
+from scenaria.llm.common import NULL_ID, bit_map, components, id_text, in_map, store, text_chunks, unpacked, without
 from scenaria.llm.shingles import buffers, distinct, mix, shingles, words
 
 #: Ratio of a size band's ends.
@@ -283,10 +283,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
 
     Rows that share id and text are one document. Rows that share the smallest id with different texts all stay, and so
     do the rows of a component in which every id is null."""
-    found = jaccard_components(docs, percent, width)
-    found = store(found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "component_id"), "parity-found")
-    out = found.where(F.col("component_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", "_digest").distinct()
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.join(store(out, "parity-out"), F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
-    twice = found.where(F.col("_id") == F.col("component_id")).groupBy("_id", "_digest").count().where("count > 1")
+    found = store(jaccard_components(docs, percent, width), "parity-found")
+    kept = without(docs, found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    twice = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "digest").count().where("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import id_text
+from scenaria.llm.common import id_text, unused
 
 #: The base patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,17 +107,16 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 500) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, ratios: list[float], min_llr: float = 12.0, min_mean: float = 1.5,
-               text_col: str = "text") -> DataFrame:
-    """``docs`` with two arrays of (start, kind, end): _base and _spans, the latter holding all. A token is a secret
+               base: str = "base", spans: str = "spans") -> DataFrame:
+    """``docs`` with two arrays of (start, kind, end) in new columns: ``base``, and ``spans`` which holds all. A token is a secret
     if its log-likelihood ratio reaches ``min_llr`` (which outweighs the rarity of secrets) and ``min_mean`` a character."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    apart = lambda m, base: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    apart = lambda m: ~F.exists(F.col(base), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     tokens = F.when(text.rlike(TOKEN), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     likely = lambda h: log_ratio(h, ratios) >= F.greatest(F.lit(min_llr), F.length(h) * min_mean)
     marked = F.when(F.exists(tokens, likely), _hits(text, TOKEN, 3, likely)).otherwise(F.array().cast(_SPANS))
-    return (docs.withColumn("_base", base_spans(text)).withColumn("_markov", marked)
-            .withColumn("_spans", F.array_sort(F.concat("_base", F.filter("_markov", lambda m: apart(m, F.col("_base"))))))
-            .drop("_markov"))
+    both = docs.withColumn(base, base_spans(text)).withColumn(spans, marked)
+    return both.withColumn(spans, F.array_sort(F.concat(base, F.filter(spans, apart))))
 
 
 def _joined(spans: Column) -> Column:
@@ -129,23 +128,24 @@ def secret_spans(docs: DataFrame, min_llr: float = 12.0, sample_docs: int = 500)
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document."""
     ratios = train(labelled_samples(docs, sample_docs))
     found = with_spans(id_text(docs), ratios, min_llr)
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-                        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+                        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]", min_llr: float = 12.0, sample_docs: int = 500) -> DataFrame:
     """``docs`` with every span's text replaced by ``mark`` (spans that overlap share one) and n_chars to match. Rows
     without spans come out unchanged."""
     ratios = train(labelled_samples(docs, sample_docs))
-    found = with_spans(docs, ratios, min_llr)
+    base, spans = unused(docs, "base"), unused(docs, "spans")
+    found = with_spans(docs, ratios, min_llr, base=base, spans=spans)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     def cut(text):
         def step(a, s):
             new = F.concat(a["parts"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
             return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["parts"]).alias("parts"))
-        return F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1)))
-    hit = F.size("_spans") > 0
+        return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1)))
+    hit = F.size(spans) > 0
     return (found.withColumn("text", F.when(hit, cut(F.col("text"))).otherwise(F.col("text")))
             .withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-            .drop("_base", "_spans"))
+            .drop(base, spans))

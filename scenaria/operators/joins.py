@@ -1,9 +1,7 @@
 """Joins against dimensions, crosswalks and bloc maps.
 
-Broadcast policy: a side is hinted for broadcast only when its size is bounded by construction (a
-literal table, a fixed-size dimension such as the 25 nations, a one-row aggregate). Every other side is
-left to Spark: the statistics-based ``autoBroadcastJoinThreshold`` check at planning time and AQE's
-runtime conversion using the real shuffle sizes; beyond them a shuffled join is used.
+No side is hinted for broadcast: Spark's ``autoBroadcastJoinThreshold`` decides by size at planning time, and AQE
+by the real shuffle sizes at run time; beyond them a shuffled join is used.
 """
 
 from __future__ import annotations
@@ -14,16 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
-    return F.broadcast(df) if bounded else df
-
-
 def join_left_dim(
-    fact: DataFrame, dim: DataFrame, on: str | Sequence[str], null_safe: bool = False, bounded: bool = False,
+    fact: DataFrame, dim: DataFrame, on: str | Sequence[str], null_safe: bool = False,
 ) -> DataFrame:
     """``left_join(dim, by = on)``: duplicates on the right fan out; ``null_safe`` matches null to null."""
     keys = [on] if isinstance(on, str) else list(on)
-    dim = _maybe_broadcast(dim, bounded)
     if not null_safe:
         return fact.join(dim, keys, "left")
     renamed = dim.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in dim.columns if c not in keys])
@@ -34,9 +27,8 @@ def join_left_dim(
     return fact.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def join_left_renamed(fact: DataFrame, dim: DataFrame, left_key: str, right_key: str, bounded: bool = False) -> DataFrame:
+def join_left_renamed(fact: DataFrame, dim: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """``left_join(dim, by = c(a = b))``: the right key column is dropped, as dplyr does."""
-    dim = _maybe_broadcast(dim, bounded)
     return fact.join(dim, fact[left_key] == dim[right_key], "left").drop(dim[right_key])
 
 
@@ -48,7 +40,7 @@ def join_right_distinct(df: DataFrame, keys_from: DataFrame, keys: Sequence[str]
 
 def cross_small(df: DataFrame, small: DataFrame) -> DataFrame:
     """Cartesian product with a literal table (``merge(x, s)`` with no common column)."""
-    return df.crossJoin(F.broadcast(small))
+    return df.crossJoin(small)
 
 
 def normalise_name(c: str | Column) -> Column:

@@ -3,8 +3,8 @@
 * ``unpivot`` is Spark's Expand: no shuffle.
 * ``pivot_wide`` is one grouped aggregate with one conditional cell per listed value (partial
   aggregation keeps hot id groups cheap). A second row for the same cell raises, as the source does.
-* ``densify`` adds the absent (ids, key) combinations as null rows. The key domain is a one-row
-  aggregate whose size is checked at run time before it is attached to each id group.
+* ``densify`` adds the absent (ids, key) combinations as null rows: distinct ids times distinct keys, and a
+  null-safe left join.
 """
 
 from __future__ import annotations
@@ -75,26 +75,21 @@ def pivot_difference(
 
 
 def densify(
-    df: DataFrame, ids: Sequence[str], key: str, value: str, max_domain: int = 100_000,
+    df: DataFrame, ids: Sequence[str], key: str, value: str,
 ) -> DataFrame:
     """Every (ids, key) pair whose ids and key both occur gets a row; absent ones carry a null value.
 
-    The key domain is collected by a one-row aggregate; a domain above ``max_domain`` stops the job
-    instead of being broadcast, so the attached array has a proven bound.
+    Distinct ids times distinct keys (the product is the result's own size), then a null-safe left join of the
+    values; null ids and null keys are values like others. Two rows of one cell fan out.
     """
     ids = list(ids)
-    domain = df.agg(F.array_sort(F.collect_set(F.col(key))).alias("_domain"))
-    domain = domain.select(
-        F.when(F.size("_domain") > max_domain, F.raise_error(F.lit("densify: key domain too large")))
-        .otherwise(F.col("_domain")).alias("_domain")
-    )
-    cells = df.groupBy(*ids).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("_cells")
-    )
-    out = cells.crossJoin(F.broadcast(domain)).select(
-        *ids, F.explode("_domain").alias(key), F.col("_cells")
-    )
-    return out.select(*ids, key, F.element_at(F.col("_cells"), F.col(key)).alias(value))
+    cells = df.select(*ids).distinct().crossJoin(df.select(key).distinct())
+    given = df.select(*[F.col(c).alias(f"_d_{c}") for c in [*ids, key]], F.col(value))
+    same = None
+    for c in [*ids, key]:
+        eq = cells[c].eqNullSafe(given[f"_d_{c}"])
+        same = eq if same is None else same & eq
+    return cells.join(given, same, "left").select(*ids, key, value)
 
 
 def column_to_row(df: DataFrame, row: dict) -> DataFrame:

@@ -338,7 +338,7 @@ O.cte("july", ["orders_nat", "nat"], """SELECT j.*, nat.country, nat.region FROM
     CAST(sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '3-MEDIUM' THEN cents END) AS DOUBLE) AS business,
     CAST(sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '4-NOT SPECIFIED' THEN cents END) AS DOUBLE) AS deferrals,
     CAST(sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN cents END) AS DOUBLE) AS loans_guarantees,
-    CAST(sum(CASE WHEN o_orderstatus = 'P' THEN cents END) AS DOUBLE) AS uncategorized_other
+    CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN cents END) AS DOUBLE) AS uncategorized_other
   FROM orders_nat GROUP BY country_code) j JOIN nat USING (country_code)""")
 
 

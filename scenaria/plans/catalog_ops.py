@@ -95,7 +95,7 @@ def q_literal_table(spark, d):
     lit = spark.createDataFrame([("O", "1.5C"), ("F", "CPol")], "code string, scenario string")
     li = B.table(spark, d, "lineitem").groupBy("l_linestatus").agg(
         F.sum(B.cents("l_extendedprice")).cast("double").alias("revenue"))
-    return li.join(F.broadcast(lit), li.l_linestatus == lit.code).select("l_linestatus", "scenario", "revenue")
+    return li.join(lit, li.l_linestatus == lit.code).select("l_linestatus", "scenario", "revenue")
 
 
 @register("membership_sets", O.sql(f"SELECT * FROM stim_long WHERE country_code IN {_in(B.BLOC_MEMBERS)}", ["stim_long"]))
@@ -507,11 +507,9 @@ def q_str_concat_key(spark, d):
     return B.stim_long(spark, d).select("country_code", paste0("country_code", "region", "component").alias("key"))
 
 
-@register("str_null_text", O.sql("SELECT country_code, coalesce(region, 'NA') AS region_text FROM stim_long "
-                                 "WHERE component = 'Health sector spending'", ["stim_long"]))
+@register("str_null_text", O.sql("SELECT country_code, component, coalesce(region, 'NA') AS region_text FROM stim_long", ["stim_long"]))
 def q_str_null_text(spark, d):
-    l = B.stim_long(spark, d).filter(F.col("component") == "Health sector spending")
-    return l.select("country_code", null_text("region").alias("region_text"))
+    return B.stim_long(spark, d).select("country_code", "component", null_text("region").alias("region_text"))
 
 
 @register("str_replace_first", O.sql("SELECT country_code, regexp_replace(country_code, '0', 'Z') AS replaced "
@@ -607,8 +605,9 @@ def q_pivot_difference(spark, d):
 
 # ========================================================================================= time series
 
-O.cte("gdp_knots", ["gdp_wide"], " UNION ALL ".join(
-    f"SELECT country_code, {y} AS year, x{y} AS y FROM gdp_wide WHERE country_code <> 'WLD'" for y in (1995, 1998, 2001)))
+O.cte("gdp_knots", ["gdp_wide"], "SELECT country_code, year, sum(y) AS y FROM (" + " UNION ALL ".join(
+    f"SELECT country_code, {y - (y - 1995) % 2} AS year, x{y} AS y FROM gdp_wide WHERE country_code <> 'WLD'" for y in range(1995, 2002))
+    + ") k GROUP BY 1, 2")
 O.cte("gdp_interp_staged", ["gdp_knots"], """SELECT country_code, year, y, count(y) OVER (PARTITION BY country_code) AS n,
   last_value(CASE WHEN y IS NOT NULL THEN year END IGNORE NULLS) OVER (PARTITION BY country_code ORDER BY year
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS px,
@@ -630,7 +629,9 @@ FROM (SELECT *, unnest(generate_series(year, coalesce(next_x - 1, year))) AS t F
                                          ["gdp_interp_staged"]), ("gdp",))
 def q_ts_interpolate_linear(spark, d):
     gw = B.gdp_wide(spark, d).filter(F.col("country_code") != "WLD")
-    long = G.gdp_long(gw, "x1995", "x2001").filter(F.col("year").isin(1995, 1998, 2001))
+    # a knot every second year holds the sum of its two years, so that every year counts
+    long = (G.gdp_long(gw, "x1995", "x2001").withColumn("year", (F.col("year") - (F.col("year") - 1995) % 2).cast("int"))
+            .groupBy("country_code", "year").agg(F.sum("gdp").alias("gdp")))
     return TS.interpolate_linear(long, ["country_code"], "year", "gdp", knot_count="knots")
 
 

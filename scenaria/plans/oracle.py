@@ -89,7 +89,7 @@ def skipna_sum(x: str) -> str:
 
 # --- bindings ------------------------------------------------------------------------------------------
 
-cte("nat", [], """SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS country_code, n_name AS country,
+cte("nat", [], """SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS country_code, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS country,
        n_nationkey, r_name AS region
 FROM nation JOIN region ON n_regionkey = r_regionkey""")
 
@@ -106,7 +106,7 @@ FROM (
              FROM xwalk GROUP BY 1) x
     ON lower(trim(regexp_replace(s.country, '\\s+', ' ', 'g'))) = x.nm
 ) t
-WHERE NOT (country = 'NATION_24')""")
+WHERE NOT (country = 'Nation_24')""")
 
 cte("orders_nat", ["nat"], f"""SELECT o_orderpriority, o_orderstatus, {CENTS.format(c='o_totalprice')} AS cents, nat.country_code
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nat ON c_nationkey = nat.n_nationkey""")
@@ -178,15 +178,16 @@ JOIN nat ON s_nationkey = nat.n_nationkey
 GROUP BY 1, 2, 3, 4, 5""")
 
 
-def _cell(year: int, bad: bool) -> str:
-    txt = "CASE WHEN variable = 'R' THEN CAST(cents AS VARCHAR) || '%' ELSE CAST(cents AS VARCHAR) END"
+def _cell(year: int, of: str, bad: bool) -> str:
+    cents = f"CAST(sum(CASE WHEN {of} THEN cents END) AS VARCHAR)"
+    txt = f"CASE WHEN variable = 'R' THEN {cents} || '%' ELSE {cents} END"
     if bad:
-        txt = f"CASE WHEN model = 'PROMO' AND scenario = 'F' THEN '#VALUE!' ELSE {txt} END"
-    return f'max(CASE WHEN year = {year} THEN {txt} END) AS "{year}"'
+        txt = f"CASE WHEN model = 'PROMO' AND region = 'R5ASIA' AND scenario = 'F' AND variable = 'A' THEN '#VALUE!' ELSE {txt} END"
+    return f'{txt} AS "{year}"'
 
 
 cte("invest_sheet", ["invest_cells"], f"""SELECT model AS "Model", region AS "Region", scenario AS "Scenario",
-  variable AS "Variable", {_cell(1995, False)}, {_cell(2000, True)}, {_cell(2001, False)}
+  variable AS "Variable", {_cell(1995, 'year < 2000', False)}, {_cell(2000, 'year >= 2000', True)}, {_cell(2001, 'year = 2001', False)}
 FROM invest_cells GROUP BY 1, 2, 3, 4""")
 
 _REG = {"R5AFRICA": "AFRICA", "R5AMERICA": "AMERICA", "R5ASIA": "ASIA", "R5EUROPE": "EUROPE",

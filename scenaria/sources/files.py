@@ -2,8 +2,8 @@
 
 * CSV with several missing-value markers: every column is read as text with a declared schema (no
   inference pass), markers become null, numbers go through ``try_cast`` (bad text -> null).
-* CSV with preamble lines: read with a fixed positional schema and keep only rows whose key column
-  looks like a data key. No line counting, so the file stays splittable across tasks.
+* CSV with preamble lines: read with a fixed positional schema; lines up to the header line are dropped, told by
+  their content. No line counting, so the file stays splittable across tasks.
 * Sheet tables: a workbook sheet exported as CSV or Parquet, read by sheet name with a declared schema.
 * Indexed export: a consecutive row index in an explicit order, computed per partition with offsets from
   a per-partition count table; no step funnels the rows through one task.
@@ -32,12 +32,20 @@ def read_csv_na_tokens(
     spark: SparkSession, path: str, columns: Sequence[str], numeric: Sequence[str] = (),
     na_tokens: Sequence[str] = NA_TOKENS, header: bool = True, normalise: bool = True, order_col: str | None = None,
 ) -> DataFrame:
-    """CSV with a header; ``columns`` are the header names in file order (all read as text).
+    """CSV with a header; ``columns`` are the header names to read, in any order (all read as text).
 
-    Names are normalised to snake case; ``numeric`` columns (normalised names) become doubles.
+    Columns are bound by the header's names; a name that the header lacks is an error. Names are normalised to snake case; ``numeric`` columns (normalised names) become doubles.
     """
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    df = spark.read.csv(path, header=header, schema=schema, enforceSchema=True)
+    if header:
+        # inferSchema is off: only the first line is read for the names, all columns are text
+        whole = spark.read.csv(path, header=True, inferSchema=False)
+        missing = [c for c in columns if c not in whole.columns]
+        if missing:
+            raise ValueError(f"{path}: no column {missing} in the header {whole.columns}")
+        df = whole.select(*[F.col(f"`{c}`") for c in columns])
+    else:
+        df = spark.read.csv(path, header=False, schema=schema, enforceSchema=True)
     if order_col:
         df = with_source_order(df, order_col)
     if normalise:
@@ -57,16 +65,18 @@ def read_csv_na_tokens(
 
 def read_csv_skip_preamble(
     spark: SparkSession, path: str, columns: Sequence[str], key: str, key_pattern: str = r"^[A-Z]{3}$",
-    numeric: Sequence[str] = (),
+    numeric: Sequence[str] = (), rejects: bool = False,
 ) -> DataFrame:
     """CSV whose first lines are a preamble and a header (``read.csv(skip = 3)``).
 
-    ``columns`` is the positional schema. Preamble and header lines are dropped because their ``key``
-    field does not match ``key_pattern``; lines with fewer fields are padded with nulls by the reader.
+    ``columns`` is the positional schema; lines with fewer fields are padded with nulls by the reader. Lines whose
+    ``key`` field does not match ``key_pattern`` are the preamble, the header, or bad data: with ``rejects`` these
+    lines are returned instead of the others, so that nothing vanishes unseen.
     """
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     df = spark.read.csv(path, header=False, schema=schema, mode="PERMISSIVE")
-    df = df.filter(F.col(key).rlike(key_pattern))
+    fits = F.coalesce(F.col(key).rlike(key_pattern), F.lit(False))
+    df = df.filter(~fits if rejects else fits)
     numeric = set(numeric)
     return df.select(*[to_number(c).alias(c) if c in numeric else F.col(c) for c in columns])
 
@@ -99,14 +109,17 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
     partitions are fixed; each partition numbers its own rows; the per-partition counts (one row per
     partition, broadcast) give each partition its offset.
     """
-    from scenaria.session import checkpoint_root
+    from scenaria.session import checkpoint_root, scratch_path
 
     checkpoint_root(df.sparkSession)
     order_by = list(order_by)
     rest = [c for c in df.columns if c not in order_by]
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_by + rest]
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    staged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(df.sparkSession, "to-index")
+    df.write.parquet(path)  # range partitioning samples its input: read it twice rather than compute it twice
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = stored.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     local = staged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys))
     )

@@ -42,6 +42,15 @@ def test_densify_round_trip(spark):
     assert got == {("a", "x"): 1.0, ("a", "y"): 2.0, ("b", "x"): 3.0, ("b", "y"): None}
 
 
+def test_densify_has_no_bound_and_takes_null_keys(spark):
+    df = spark.range(200_000).select(F.lit("a").alias("id"), F.col("id").cast("string").alias("k"), F.lit(1.0).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("b", None, 7.0), (None, "0", 3.0)], "id string, k string, v double"))
+    out = densify(df, ["id"], "k", "v")
+    assert out.count() == 3 * 200_001 and out.where("v is not null").count() == 200_002
+    assert out.where("id = 'b' and k is null").first().v == 7.0
+    assert out.where("id is null and k = '0'").first().v == 3.0
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.sampled_from(["x", "y", "z"]),
                           st.integers(-1000, 1000)), min_size=1, max_size=12, unique_by=lambda t: (t[0], t[1])))

@@ -12,7 +12,9 @@ from tests.conftest import SF
 
 KEYS = ["stimulus_master", "stimulus_components", "region_dimension", "investment_annual", "shift_annual",
         "gdp_shares", "map_region_stimulus", "scan_na_tokens", "scan_skip_preamble", "export_indexed",
-        "densify_keys", "win_stack_offsets", "agg_grouping_sets_world", "ts_interpolate_linear", "fig_shift"]
+        "densify_keys", "win_stack_offsets", "agg_grouping_sets_world", "ts_interpolate_linear", "fig_shift",
+        "shift_five_year", "shift_prep", "model_spread_shift", "pivot_difference", "agg_spread_summary", "fig_model_spread",
+        "stimulus_gdp_table", "xwalk_name_to_code", "stimulus_july_table", "gdp_master"]
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -39,6 +41,8 @@ def _rows(cols, rows):
 @pytest.mark.parametrize("key", KEYS)
 def test_key_matches_sql(spark, con, key):
     df = E.queries()[key](spark, SF)
+    rows = df.collect()
+    assert rows and not [c for i, c in enumerate(df.columns) if all(r[i] is None for r in rows)], "a result column is null in every row"
     rel = con.execute(E.oracle_sql()[key])
     ocols = [d[0] for d in rel.description]
     assert _rows(df.columns, df.collect()) == _rows(ocols, rel.fetchall())

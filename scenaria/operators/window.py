@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenaria.functions.nulls import strict_sum
+from scenaria.functions.nulls import skipna_sum, strict_sum
 from scenaria.operators.aggregate import attach_group_stat
 
 
@@ -16,10 +16,18 @@ def attach_net(df: DataFrame, group: str, value: str, out: str = "net") -> DataF
     return attach_group_stat(df, [group], {out: strict_sum(value)})
 
 
-def attach_two_grains(df: DataFrame, fine: Sequence[str], coarse: Sequence[str], fine_stats: dict,
-                      coarse_stats: dict) -> DataFrame:
-    """Statistics by a fine grain then by a coarse grain, both attached to every row."""
-    return attach_group_stat(attach_group_stat(df, fine, fine_stats), coarse, coarse_stats)
+def attach_two_grains(df: DataFrame, coarse: Sequence[str], fine: str, stats: dict[str, Column], value: str, total: str) -> DataFrame:
+    """Every row gets the statistics of its (coarse, fine) group and, in ``total``, the skip-null sum of ``value`` over
+    its coarse group. The coarse sum is taken over the fine groups' sums, so the rows are read once to aggregate."""
+    coarse = list(coarse)
+    per_fine = df.groupBy(*coarse, fine).agg(*[e.alias(n) for n, e in stats.items()], skipna_sum(value).alias("_part"))
+    per_fine = attach_group_stat(per_fine, coarse, {total: F.sum("_part")})
+    per_fine = per_fine.select(*[F.col(k).alias(f"_g_{k}") for k in [*coarse, fine]], *stats, total)
+    same = None
+    for k in [*coarse, fine]:
+        c = df[k].eqNullSafe(per_fine[f"_g_{k}"])
+        same = c if same is None else same & c
+    return df.join(per_fine, same, "left").drop(*[f"_g_{k}" for k in [*coarse, fine]])
 
 
 def stack_offsets(df: DataFrame, bar: Sequence[str], level_rank: str, value: str,

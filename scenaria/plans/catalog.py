@@ -126,7 +126,7 @@ def _checks_sql() -> str:
 def q_stimulus_control_totals(spark, d):
     long = B.stim_long(spark, d)
     big, reg = B.stim_big(spark, d, long), B.stim_region(spark, d, long)
-    return S.control_totals(big, reg, S.stimulus_master(big, reg), B.G20_CODES, "EU", "EUROPE", "World", "N05")
+    return S.control_totals(big, reg, B.G20_CODES, "EU", "EUROPE", "World", "N05")
 
 
 @register("investment_prep", O.sql("SELECT model, region, scenario, variable, year, investment FROM invest_prep",

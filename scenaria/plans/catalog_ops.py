@@ -432,8 +432,8 @@ def q_win_first_per_key(spark, d):
   SELECT *, CASE WHEN count(*) OVER w = count(stimulus) OVER w THEN sum(stimulus) OVER w END AS stim_reg
   FROM stim_long WINDOW w AS (PARTITION BY region, component)) t""", ["stim_long"]))
 def q_win_two_grains(spark, d):
-    return W.attach_two_grains(B.stim_long(spark, d), ["region", "component"], ["region"],
-                               {"stim_reg": strict_sum("stimulus")}, {"total_reg": skipna_sum("stimulus")})
+    return W.attach_two_grains(B.stim_long(spark, d), ["region"], "component", {"stim_reg": strict_sum("stimulus")},
+                               "stimulus", "total_reg")
 
 
 def _stack_sql(src: str, bar: str, rank: str, value: str) -> str:

@@ -49,8 +49,9 @@ def gdp_by_region(gdp_wide: DataFrame, region_dim: DataFrame, year: int = 2019,
                   world: str = "World", order_by: Sequence[str] = ("country_code",)) -> DataFrame:
     """Skip-null GDP sum per region plus World (= sum of the regional sums). Codes whose first
     region is null or ``exclude_region`` (aggregates such as WLD) drop out."""
-    j = gdp_year(gdp_wide, year).join(region_dim.select("country_code", "region"), "country_code", "left")
-    first = filter_first_and_pred(j, ["country_code"], list(order_by) + ["region"],
+    sheet = [c for c in ("sheet_order",) if c in region_dim.columns]
+    j = gdp_year(gdp_wide, year).join(region_dim.select("country_code", "region", *sheet), "country_code", "left")
+    first = filter_first_and_pred(j, ["country_code"], list(order_by) + sheet + ["region"],
                                   ~(F.col("region") == F.lit(exclude_region)))
     per_region = first.groupBy("region").agg(skipna_sum("gdp").alias("gdp"))
     total = per_region.agg(skipna_sum("gdp").alias("gdp")).select(F.lit(world).alias("region"), "gdp")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from scenaria.functions.arith import pct_of
 from scenaria.functions.nulls import skipna_sum, strict_sum
-from scenaria.operators.aggregate import attach_group_stat
 from scenaria.operators.filters import first_per_key
 from scenaria.operators.joins import cross_small, join_fanout, xwalk_name_to_code
 from scenaria.operators.order import as_levels
 from scenaria.operators.setops import union_by_name
+from scenaria.operators.window import attach_two_grains
 from scenaria.plans.investment import BASELINE, TARGET
 from scenaria.plans.stimulus import CATEGORIES
 
@@ -35,9 +35,9 @@ def stimulus_gdp_table(s1: DataFrame, xwalk: DataFrame, gdp_country: DataFrame,
 
 def stimulus_gdp_share(long: DataFrame, gdp_country: DataFrame) -> DataFrame:
     """One row per country: strict total stimulus, GDP and percent of GDP."""
-    tot = long.groupBy("country_code").agg(strict_sum("stimulus").alias("total_stim"))
-    reg = first_per_key(long.select("country_code", "region", "component"), ["country_code"], ["component"])
-    j = tot.join(reg.select("country_code", "region"), "country_code").join(gdp_country, "country_code", "left")
+    tot = long.groupBy("country_code").agg(strict_sum("stimulus").alias("total_stim"),
+                                           F.min(F.struct("component", "region"))["region"].alias("region"))
+    j = tot.join(gdp_country, "country_code", "left")
     return j.withColumn("pct_gdp", pct_of("total_stim", "gdp")).select(
         "country_code", "region", "total_stim", "gdp", "pct_gdp")
 
@@ -80,14 +80,14 @@ def map_region_dimension(sheet: DataFrame, xwalk: DataFrame, bloc_name: str = "E
     d = xwalk_name_to_code(sheet, "country", xwalk, "country_code")
     d = d.withColumn("country_code", F.when(F.col("country") == F.lit(bloc_name), F.lit(bloc_code))
                      .otherwise(F.col("country_code")))
-    return first_per_key(d, ["country_code", "region"], ["country"])
+    return first_per_key(d, ["country_code", "region"], [c for c in ("sheet_order", "country") if c in d.columns])
 
 
 def map_region_stimulus(long: DataFrame, map_dim: DataFrame, gdp_country: DataFrame) -> DataFrame:
     """Every country row with regional stimulus per component, regional GDP, regional total and ratio."""
     j = join_fanout(long.drop("region"), map_dim, "country_code", "region").join(gdp_country, "country_code", "left")
-    j = attach_group_stat(j, ["region", "component"], {"stim_reg": strict_sum("stimulus"), "gdp_reg": skipna_sum("gdp")})
-    j = attach_group_stat(j, ["region"], {"total_stim_reg": skipna_sum("stimulus")})
+    j = attach_two_grains(j, ["region"], "component", {"stim_reg": strict_sum("stimulus"), "gdp_reg": skipna_sum("gdp")},
+                          "stimulus", "total_stim_reg")
     return j.withColumn("pct_gdp", F.try_divide(F.col("total_stim_reg"), F.col("gdp_reg")))
 
 

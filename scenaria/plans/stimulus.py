@@ -19,7 +19,7 @@ from scenaria import constants as C
 from scenaria.functions.nulls import skipna_sum, strict_sum
 from scenaria.functions.recode import recode
 from scenaria.functions.text import null_text, replace_first
-from scenaria.operators.aggregate import attach_global_stat, grouping_sets_total, share_of_total
+from scenaria.operators.aggregate import attach_group_stat, grouping_sets_total, share_of_total
 from scenaria.operators.filters import filter_in, first_per_key
 from scenaria.operators.joins import rollup_bloc, xwalk_code_to_name, xwalk_name_to_code
 from scenaria.operators.order import sort_asc
@@ -29,6 +29,8 @@ from scenaria.operators.setops import union_by_name
 from scenaria.constants import (BIG_ECONOMIES, EU_MEMBERS, G20, GENERAL, HEALTH, IAM_REGIONS,  # noqa: F401
                                 LIQUIDITY)
 
+#: Column with a sheet's row order, for first-of-key rules; carried along by ``region_dimension``.
+SHEET_ORDER = "sheet_order"
 CATEGORIES = (GENERAL, HEALTH, LIQUIDITY)
 CATEGORY_COLUMNS = {GENERAL: "general_spending", HEALTH: "health_sector_spending", LIQUIDITY: "liquidity_support"}
 PARTS = ("health", "non_health", "loans_guarantees", "deferrals", "international_aid", "total")
@@ -61,14 +63,15 @@ def region_dimension(
 def stimulus_components(wide: DataFrame, region_dim: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Country x {Health, General, Liquidity}; see the module notes for the residual rule.
 
-    The first row of each code wins (dedupe), empty parts count 0, ``total - parts`` is added to
+    The first row of each code wins (by ``order_by``, then by the sheet's order if the dimension carries it in
+    ``sheet_order``, else by value), empty parts count 0, ``total - parts`` is added to
     non-health spending, General = non-health + deferrals, Liquidity = loans and guarantees; international
     aid is not a part (but enters through the residual when the total includes it).
     """
     dim_cols = [c for c in region_dim.columns if c != "country_code"]
     base_cols = [c for c in wide.columns if c not in dim_cols]
     j = wide.select(*base_cols).join(region_dim, "country_code", "left")
-    first = first_per_key(j, ["country_code"], list(order_by) + dim_cols)
+    first = first_per_key(j, ["country_code"], list(order_by) + sorted(dim_cols, key=lambda c: c != SHEET_ORDER))
     z = {p: F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in PARTS}
     total2 = z["deferrals"] + z["health"] + z["loans_guarantees"] + z["non_health"]
     non_health = z["non_health"] + (z["total"] - total2)
@@ -135,21 +138,19 @@ def stimulus_master(big: DataFrame, by_region: DataFrame) -> DataFrame:
     return sort_asc(union_by_name(econ, by_region).select("region", "component", "stimulus"), "region")
 
 
-def control_totals(big: DataFrame, by_region: DataFrame, master: DataFrame, g20: Sequence[str] = G20,
+def control_totals(big: DataFrame, by_region: DataFrame, g20: Sequence[str] = G20,
                    bloc: str = "EU", region_total: str = "OECD+", world: str = "World",
                    single: str = "USA") -> DataFrame:
     """The five check totals: G20 economies, bloc, one region, World, one economy (strict sums)."""
-    econ = big.select(F.col("country_code").alias("region"), "component", "stimulus")
-    checks = [
-        ("g20", econ.filter(F.col("region").isin(list(g20)))),
-        ("bloc", econ.filter(F.col("region") == F.lit(bloc))),
-        ("region", by_region.filter(F.col("region") == F.lit(region_total)).select("region", "component", "stimulus")),
-        ("world", by_region.filter(F.col("region") == F.lit(world)).select("region", "component", "stimulus")),
-        ("single", master.filter(F.col("region") == F.lit(single))),
-    ]
-    parts = [attach_global_stat(d, {"total": strict_sum("stimulus")}).withColumn("check", F.lit(name))
-             for name, d in checks]
-    return union_by_name(*parts).select("check", "region", "component", "stimulus", "total")
+    rows = union_by_name(big.select(F.col("country_code").alias("region"), "component", "stimulus", F.lit(True).alias("_econ")),
+                         by_region.select("region", "component", "stimulus", F.lit(False).alias("_econ")))
+    is_ = lambda v: F.col("region") == F.lit(v)
+    # master holds the rows of both, so each check is a condition on one frame
+    checks = {"g20": F.col("_econ") & F.col("region").isin(list(g20)), "bloc": F.col("_econ") & is_(bloc),
+              "region": ~F.col("_econ") & is_(region_total), "world": ~F.col("_econ") & is_(world), "single": is_(single)}
+    held = F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()])
+    rows = rows.withColumn("check", F.explode(F.filter(held, lambda x: x.isNotNull()))).drop("_econ")
+    return attach_group_stat(rows, ["check"], {"total": strict_sum("stimulus")}).select("check", "region", "component", "stimulus", "total")
 
 
 def stimulus_july_table(july: DataFrame, region_recode: dict | None = None, unit: float = 1e9) -> DataFrame:

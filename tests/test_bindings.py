@@ -70,3 +70,22 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
                                 sparkContext=types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(off)
+
+
+def test_first_row_of_the_sheet_wins(spark):
+    from scenaria.plans import gdp as G
+    from scenaria.plans import shares as SH
+    from scenaria.plans import stimulus as S
+
+    sheet = spark.createDataFrame([("European Union", "OECD+", 0), ("Another Union", "ASIA", 1), ("Land", "ASIA", 2)],
+                                  "country string, region string, sheet_order long")
+    xwalk = spark.createDataFrame([("Land", "LND")], "country_name string, iso3 string")
+    dim = S.region_dimension(sheet, xwalk, {}, ())
+    wide = spark.createDataFrame([("EU", 1.0, 1.0, 1.0, 1.0, 0.0, 5.0)],
+                                 "country_code string, health double, non_health double, loans_guarantees double, deferrals double, "
+                                 "international_aid double, total double")
+    assert {r.region for r in S.stimulus_components(wide, dim, ["country_code"]).collect()} == {"OECD+"}
+    gdp = spark.createDataFrame([("EU", 7.0)], "country_code string, x2019 double")
+    assert {r.region: r.gdp for r in G.gdp_by_region(gdp, dim, 2019, "none").collect()} == {"OECD+": 7.0, "World": 7.0}
+    twice = sheet.unionByName(spark.createDataFrame([("  LAND", "ASIA", -1)], sheet.schema))
+    assert {r.country for r in SH.map_region_dimension(twice, xwalk).where("country_code = 'LND'").collect()} == {"  LAND"}

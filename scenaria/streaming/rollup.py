@@ -5,8 +5,9 @@ values: a state whose size is the number of groups, whatever the number of input
 that state into the same rows as ``stimulus_by_region`` before densifying: skip-null regional sums, and a
 strict World total per component that includes rows without region.
 
-On a cluster, ``start`` writes each micro-batch's updated groups through ``foreachBatch`` into a table
-under the shared checkpoint folder; tests use the memory sink.
+On a cluster, ``start`` writes each micro-batch's state through ``foreachBatch`` into a folder of its own
+(``epoch=N``) beside the shared checkpoint folder; ``latest_state`` reads the newest one. A batch that is run again
+writes its own folder again, and readers never meet a missing table. Tests use the memory sink.
 """
 
 from __future__ import annotations
@@ -48,6 +49,13 @@ def start(spark: SparkSession, source_dir: str, schema: StructType, sink: str =
     target = f"{checkpoint}-table"
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return writer.foreachBatch(write_batch).start()
+
+
+def latest_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state after the newest finished micro-batch of a query started with ``sink`` other than memory."""
+    state = spark.read.parquet(f"{checkpoint}-table")
+    newest = state.agg(F.max("epoch")).first()[0]
+    return state.where(F.col("epoch") == newest).drop("epoch")

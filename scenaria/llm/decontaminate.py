@@ -8,8 +8,9 @@ punctuation play no part. Every run of ``width`` words of a test item is a seed.
 2. A seed is rare when it occurs in the corpus at most ``common`` times as often as the item's middle seed, or
    at most ``floor`` times. Only stretches with a rare seed of an item are aligned with it. The measure is relative to the
    item, so a passage copied into any number of documents keeps its seeds.
-3. Word-level Smith-Waterman (match 1, mismatch and gap -1) aligns item and stretch; the best local score divided by
-   the item's words is the score: 1 for a verbatim copy, lower for edited, paraphrased or partial ones.
+3. Word-level Smith-Waterman (match 2, mismatch and gap -1) aligns item and stretch; the best local score divided by
+   that of the whole item is the score: 1 for a verbatim copy, lower for edited, paraphrased or partial ones (a copy
+   with three words of ten replaced scores 0.55, one half of an item 0.5).
 
 Items with fewer than ``width`` words have no seed and are not searched. Null or empty texts match nothing.
 Repeated document rows share one result. Several items with equal texts are each reported.
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from scenaria.llm.common import bit_map, id_text, in_map, store, text_chunks, unpacked, without
 from scenaria.llm.shingles import LETTERS, buffers, shingles, words
 
+#: Score of a matching word; a word replaced, left out or put in costs 1.
+MATCH = 2
+
 
 def _items(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +85,7 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     best, at = 0, 0
     for w in item:
         new = np.maximum(row - 1, 0)
-        np.maximum(new[1:], row[:-1] + np.where(text == w, 1, -1), out=new[1:])
+        np.maximum(new[1:], row[:-1] + np.where(text == w, MATCH, -1), out=new[1:])
         new = np.maximum.accumulate(new + step) - step  # gaps along the text
         j = int(new.argmax())
         if new[j] > best:
@@ -97,7 +101,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = (x.values.to_numpy(zero_copy_only=False) for x in (item, text))
             best, end = smith_waterman(a, b)
             back, length = smith_waterman(a[::-1], b[:end][::-1])
-            out.append((best / max(1, len(a)), end - length, end))
+            out.append((best / max(1, MATCH * len(a)), end - length, end))
         score, begin, end = (np.array(x) for x in zip(*out)) if out else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
         start = batch.column("start").to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays(
@@ -106,7 +110,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "digest", "item_id", "score", "first_word", "end_word"])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 4, threshold: float = 0.5, common: int = 8,
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 4, threshold: float = 0.45, common: int = 8,
             floor: int = 1000, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """(doc_id, digest, item_id, score, first_word, end_word): the best alignment of each document (told apart by id and
     xxhash64 of its text) with each item, where the score reaches ``threshold``."""

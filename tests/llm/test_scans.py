@@ -104,7 +104,7 @@ def plain_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
-            h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
     return h.max()
 
 
@@ -122,7 +122,7 @@ def test_copies_edits_and_parts_of_items_are_found(spark):
     planted = []
     for k, w in enumerate(items):
         variants = [w, [x.upper() + "," for x in w], [x if i % 7 else f"q{i}" for i, x in enumerate(w)], [x for i, x in enumerate(w) if i % 9 != 4],
-                    w[: len(w) * 3 // 4]]
+                    w[: len(w) * 3 // 4], [x if i % 4 != 1 else f"z{i}" for i, x in enumerate(w)] if k else w]
         planted += [(k, noise(rng.randrange(0, 300)) + v + noise(rng.randrange(0, 300))) for v in variants]
     clean = [noise(200) + items[k % 3][:5] for k in range(12)]
     texts = [" ".join(w) for _, w in planted] + [" ".join(w) for w in clean]
@@ -130,7 +130,7 @@ def test_copies_edits_and_parts_of_items_are_found(spark):
     df = frame(spark, texts)
     got = {(r.doc_id, r.item_id): r for r in matches(df, bench).collect()}
     assert set(got) == {(i, k) for i, (k, _) in enumerate(planted)}
-    assert all(got[5 * k, k].score == 1.0 for k in range(3))
+    assert all(got[6 * k, k].score == 1.0 for k in range(3))
     assert {r.doc_id for r in decontaminated(df, bench).collect()} == set(range(len(planted), len(texts)))
     # a passage in very many documents is found in each of them
     many = frame(spark, [" ".join(noise(20) + items[1] + noise(20)) for _ in range(1500)])

@@ -140,7 +140,8 @@ def region_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def region_dim(spark: SparkSession, d: str) -> DataFrame:
-    return S.region_dimension(region_sheet(spark, d), xwalk(spark, d), REGION_RECODE, (DROPPED_COUNTRY,))
+    """Stored once: nearly every stimulus and GDP query joins it."""
+    return _materialize(S.region_dimension(region_sheet(spark, d), xwalk(spark, d), REGION_RECODE, (DROPPED_COUNTRY,)), "region-dim")
 
 
 @_memo
@@ -270,9 +271,10 @@ def invest(spark: SparkSession, d: str) -> DataFrame:
     return _materialize(I.investment_two_sector(invest_annual(spark, d), FOSSIL, LOW_CARBON), "invest")
 
 
-def shift(spark: SparkSession, d: str, stat: str = "mean", inv: DataFrame | None = None) -> DataFrame:
-    inv = invest(spark, d) if inv is None else inv
-    return I.shift_table(inv, 1995, 1999, 1995, stat, ANCHOR)
+@_memo
+def shift(spark: SparkSession, d: str, stat: str = "mean") -> DataFrame:
+    """Stored once for each statistic: the shift tables, charts and shares of GDP start from it."""
+    return _materialize(I.shift_table(invest(spark, d), 1995, 1999, 1995, stat, ANCHOR), f"shift-{stat}")
 
 
 @_memo
@@ -298,11 +300,12 @@ def gdp_wide(spark: SparkSession, d: str) -> DataFrame:
                       *[f"x{y}" for y in YEARS]), "gdp-wide")
 
 
-def gdp_master(spark: SparkSession, d: str, dim: DataFrame | None = None) -> DataFrame:
-    gw = gdp_wide(spark, d)
-    dim = region_dim(spark, d) if dim is None else dim
-    return G.gdp_master(G.gdp_by_region(gw, dim, GDP_YEAR, BLOC_SHEET_REGION),
-                        G.gdp_selected(gw, GDP_YEAR, SELECTED, "EU", EU_GDP))
+@_memo
+def gdp_master(spark: SparkSession, d: str) -> DataFrame:
+    """GDP of regions and economies, stored once: every percentage of GDP joins it."""
+    gw, dim = gdp_wide(spark, d), region_dim(spark, d)
+    return _materialize(G.gdp_master(G.gdp_by_region(gw, dim, GDP_YEAR, BLOC_SHEET_REGION),
+                        G.gdp_selected(gw, GDP_YEAR, SELECTED, "EU", EU_GDP)), "gdp-master")
 
 
 @_memo
@@ -310,20 +313,20 @@ def gdp_country(spark: SparkSession, d: str) -> DataFrame:
     return G.gdp_by_country(gdp_wide(spark, d), GDP_YEAR, "EU", EU_GDP)
 
 
-def stim_big(spark: SparkSession, d: str, long: DataFrame | None = None) -> DataFrame:
-    long = stim_long(spark, d) if long is None else long
-    return S.stimulus_big_economies(long, BLOC_MEMBERS, "EU", ECONOMIES, BLOC_SHEET_REGION)
+@_memo
+def stim_big(spark: SparkSession, d: str) -> DataFrame:
+    """Economies x component, stored once (result-sized)."""
+    return _materialize(S.stimulus_big_economies(stim_long(spark, d), BLOC_MEMBERS, "EU", ECONOMIES, BLOC_SHEET_REGION), "stim-big")
 
 
-def stim_region(spark: SparkSession, d: str, long: DataFrame | None = None) -> DataFrame:
-    long = stim_long(spark, d) if long is None else long
-    return S.stimulus_by_region(long, STIM_REGION_RECODE)
+@_memo
+def stim_region(spark: SparkSession, d: str) -> DataFrame:
+    """Region x component, stored once (result-sized)."""
+    return _materialize(S.stimulus_by_region(stim_long(spark, d), STIM_REGION_RECODE), "stim-region")
 
 
-def stim_master(spark: SparkSession, d: str, long: DataFrame | None = None) -> DataFrame:
-    """Economies and regions; both branches share one stimulus base, so its exchanges are reused."""
-    long = stim_long(spark, d) if long is None else long
-    return S.stimulus_master(stim_big(spark, d, long), stim_region(spark, d, long))
+def stim_master(spark: SparkSession, d: str) -> DataFrame:
+    return S.stimulus_master(stim_big(spark, d), stim_region(spark, d))
 
 
 def stim_s1(spark: SparkSession, d: str) -> DataFrame:

@@ -124,8 +124,7 @@ def _checks_sql() -> str:
 
 @register("stimulus_control_totals", _checks_sql())
 def q_stimulus_control_totals(spark, d):
-    long = B.stim_long(spark, d)
-    big, reg = B.stim_big(spark, d, long), B.stim_region(spark, d, long)
+    big, reg = B.stim_big(spark, d), B.stim_region(spark, d)
     return S.control_totals(big, reg, B.G20_CODES, "EU", "EUROPE", "World", "N05")
 
 
@@ -269,13 +268,12 @@ FROM (
 def _gdp_shares(spark, d):
     """Figure-1 table; the investment, region and GDP bases are built once and shared by all branches."""
     inv = B.invest(spark, d)
-    dim = B.region_dim(spark, d)
-    gm = B.gdp_master(spark, d, dim)
+    gm = B.gdp_master(spark, d)
     sc = B.scenarios(spark)
     energy = I.energy_average(inv, 1995, 2000, 1995, B.ANCHOR)
     return SH.gdp_shares(energy, gm, SH.stimulus_prep(B.stim_master(spark, d), gm, sc),
-                         SH.shift_prep(B.shift(spark, d, "mean", inv), gm, sc),
-                         SH.shift_prep(B.shift(spark, d, "sum", inv), gm, sc, "Investment shift (5 years)"))
+                         SH.shift_prep(B.shift(spark, d, "mean"), gm, sc),
+                         SH.shift_prep(B.shift(spark, d, "sum"), gm, sc, "Investment shift (5 years)"))
 
 
 @register("gdp_shares", O.sql("SELECT * FROM gdp_shares", ["gdp_shares"]), ("avg_invest", "pct_gdp"))

@@ -110,7 +110,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "digest", "item_id", "score", "first_word", "end_word"])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 4, threshold: float = 0.45, common: int = 8,
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float = 0.45, common: int = 8,
             floor: int = 1000, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """(doc_id, digest, item_id, score, first_word, end_word): the best alignment of each document (told apart by id and
     xxhash64 of its text) with each item, where the score reaches ``threshold``."""

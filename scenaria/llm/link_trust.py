@@ -99,7 +99,8 @@ def judged_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
     counted = store(base.groupBy("host").agg(F.count("*").alias("n")), "trust-hosts")
     hosts = counted.select("host").union(edges.select("dst")).distinct()
     ruled = store(rules_of_hosts(hosts, rules), "trust-rules")
-    decided = (base.join(ruled, "host").withColumn("r", chosen_rule(F.col("rules"), F.col("path"))).groupBy("host")
+    at = F.when(F.col("path") == "", "/").otherwise(F.col("path"))  # for seeds, a url without a path stands for the host's root
+    decided = (base.join(ruled, "host").withColumn("r", chosen_rule(F.col("rules"), at)).groupBy("host")
                .agg(F.count(F.when(F.col("r.verdict") == "allow", 1)).alias("allowed"),
                     F.count(F.when((F.col("r.verdict") == "block") & (F.col("r.path") == "/"), 1)).alias("blocked")))
     # a host known from links only has the seeds of the rules for whole hosts

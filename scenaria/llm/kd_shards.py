@@ -43,7 +43,8 @@ def _points(docs: DataFrame, dimensions: list[str], overhead: int) -> DataFrame:
                              F.xxhash64(text).alias("h"), *dims)
                  .withColumn("row", F.monotonically_increasing_id()), "kd-rows")
     names = [f"d{i}" for i in range(len(dimensions))]
-    first = rows.groupBy("h", "size").agg(F.min(F.struct(*reversed(names))).alias("first"))
+    # stored, so that the join below has plain sides and a hot text's rows can be split among tasks
+    first = store(rows.groupBy("h", "size").agg(F.min(F.struct(*reversed(names))).alias("first")), "kd-first")
     return store(rows.drop(*names).join(first, ["h", "size"])
                  .select("doc_id", "size", "text_crc32", "row", F.col("h").bitwiseAND((1 << TEXT_BITS) - 1).alias("t"),
                          *[F.col(f"first.{d}").alias(d) for d in names]), "kd-points")

@@ -190,10 +190,13 @@ def q_cast_lenient(spark, d):
                     F.col("2000").try_cast("double").alias("v2000"))
 
 
-@register("null_to_zero", O.sql("SELECT country_code, " + ", ".join(f"coalesce({p}, 0.0) AS {p}" for p in _PARTS)
-                                + " FROM stim_wide", ["stim_wide"]))
+@register("null_to_zero", O.sql("SELECT o_custkey, " + ", ".join(
+    f"coalesce(CAST(sum(CASE WHEN o_orderpriority = '{p}' THEN {O.CENTS.format(c='o_totalprice')} END) AS DOUBLE), 0.0) AS {n}"
+    for n, p in B.PRIORITY_PARTS.items()) + " FROM orders GROUP BY o_custkey"))
 def q_null_to_zero(spark, d):
-    return B.stim_wide(spark, d).fillna(0.0, subset=list(_PARTS))
+    """Order totals by customer and priority; most customers lack some priority."""
+    parts = [F.sum(F.when(F.col("o_orderpriority") == p, B.cents("o_totalprice"))).cast("double").alias(n) for n, p in B.PRIORITY_PARTS.items()]
+    return B.table(spark, d, "orders").groupBy("o_custkey").agg(*parts).fillna(0.0, subset=list(B.PRIORITY_PARTS))
 
 
 @register("rowwise_sum", O.sql("""SELECT country_code, ((health + non_health) + loans_guarantees) + deferrals AS parts_sum
@@ -225,12 +228,13 @@ def q_filter_not_equal(spark, d):
     return FL.filter_not_equal(B.region_dim(spark, d), "region", "AFRICA").select("country", "region", "country_code")
 
 
-@register("filter_first_and_pred", O.sql("""SELECT g.country_code, g.x2000 AS gdp, d.region FROM gdp_wide g
-LEFT JOIN region_dim d ON g.country_code = d.country_code WHERE NOT (d.region = 'BLOC')""", ["gdp_wide", "region_dim"]))
+@register("filter_first_and_pred", O.sql("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) o
+WHERE rn = 1 AND NOT (o_orderstatus = 'F')"""))
 def q_filter_first_and_pred(spark, d):
-    j = G.gdp_year(B.gdp_wide(spark, d), B.GDP_YEAR).join(B.region_dim(spark, d).select("country_code", "region"),
-                                                         "country_code", "left")
-    return FL.filter_first_and_pred(j, ["country_code"], ["region"], ~(F.col("region") == F.lit("BLOC")))
+    """Customers whose first order is not finished; customers have many orders."""
+    o = B.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return FL.filter_first_and_pred(o, ["o_custkey"], ["o_orderkey"], ~(F.col("o_orderstatus") == F.lit("F")))
 
 
 @register("drop_null_rows", O.sql("""SELECT w.country_code, d.region, w.total FROM stim_wide w
@@ -240,10 +244,15 @@ def q_drop_null_rows(spark, d):
     return FL.drop_null_rows(j, "region").select("country_code", "region", "total")
 
 
-@register("filter_anchor_member", O.sql("""SELECT region, variable, scenario, year, m AS member_mean FROM stage_mean_s1
-WHERE has_anchor = 1""", ["stage_mean_s1"]), ("member_mean",))
+O.cte("invest_part_anchor", ["invest"], "SELECT * FROM invest WHERE NOT (model = 'ECONOMY' AND region = 'ASIA')")
+O.two_stage_sql("part_anchor", 1995, 1999, 1995, "mean", src="invest_part_anchor")
+
+
+@register("filter_anchor_member", O.sql("""SELECT region, variable, scenario, year, m AS member_mean FROM part_anchor_s1
+WHERE has_anchor = 1""", ["part_anchor_s1"]), ("member_mean",))
 def q_filter_anchor_member(spark, d):
-    inv = B.invest(spark, d).filter(F.col("year").between(1995, 1999))
+    """The anchor model has no rows in one region, whose groups drop out."""
+    inv = B.invest(spark, d).filter(F.col("year").between(1995, 1999) & ~((F.col("model") == B.ANCHOR) & (F.col("region") == "ASIA")))
     return A.member_stats(inv, _INV_KEYS, "year", "model", "investment", B.ANCHOR).withColumnRenamed(
         "member_mean", "member_mean")
 
@@ -289,11 +298,12 @@ def q_xwalk_name_to_code(spark, d):
 
 
 @register("xwalk_code_to_name", O.sql("""SELECT l.country_code, l.component, coalesce(x.nm, 'European Union') AS country
-FROM stim_long l LEFT JOIN (SELECT iso3, min(country_name) AS nm FROM xwalk GROUP BY iso3) x ON l.country_code = x.iso3""",
+FROM stim_long l LEFT JOIN (SELECT iso3, min(country_name) AS nm FROM xwalk WHERE iso3 <> 'N07' GROUP BY iso3) x ON l.country_code = x.iso3""",
                                       ["stim_long", "xwalk"]))
 def q_xwalk_code_to_name(spark, d):
+    """One code is missing from the crosswalk and takes the default name."""
     l = B.stim_long(spark, d).select("country_code", "component")
-    return J.xwalk_code_to_name(l, "country_code", B.xwalk(spark, d), "country", "European Union")
+    return J.xwalk_code_to_name(l, "country_code", B.xwalk(spark, d).filter(F.col("iso3") != "N07"), "country", "European Union")
 
 
 @register("rollup_bloc", O.sql(f"""SELECT country_code, CASE WHEN country_code IN {_in(B.BLOC_MEMBERS)} THEN 'EU'
@@ -322,9 +332,11 @@ def q_agg_sum_strict(spark, d):
     return B.invest_prep(spark, d).groupBy("region", "variable", "year").agg(strict_sum("investment").alias("total"))
 
 
-@register("agg_sum_skipna", _prep_agg(O.skipna_sum("investment"), "total"))
+@register("agg_sum_skipna", O.sql(f"""SELECT model, region, variable, scenario, year, {O.skipna_sum('investment')} AS total
+FROM invest_prep GROUP BY 1, 2, 3, 4, 5""", ["invest_prep"]))
 def q_agg_sum_skipna(spark, d):
-    return B.invest_prep(spark, d).groupBy("region", "variable", "year").agg(skipna_sum("investment").alias("total"))
+    """By model too, so that the group of the bad knot is all null and sums to 0."""
+    return B.invest_prep(spark, d).groupBy("model", "region", "variable", "scenario", "year").agg(skipna_sum("investment").alias("total"))
 
 
 @register("agg_mean_strict", _prep_agg(O.strict_mean("investment"), "mean"))
@@ -454,11 +466,12 @@ _CAT_RANK = ("CASE WHEN component = 'General spending' THEN 1 WHEN component = '
 
 
 @register("win_stack_offsets", O.sql(_drop_sgn(_stack_sql(
-    f"SELECT region, component, stimulus, {_CAT_RANK} AS level_rank FROM stim_region", "region", "level_rank",
-    "stimulus")), ["stim_region"]))
+    f"SELECT region, component, CASE WHEN component = 'Liquidity support' THEN -stimulus ELSE stimulus END AS stimulus, "
+    f"{_CAT_RANK} AS level_rank FROM stim_region", "region", "level_rank", "stimulus")), ["stim_region"]))
 def q_win_stack_offsets(spark, d):
     from scenaria.plans.stimulus import CATEGORIES
-    r = OR.as_levels(B.stim_region(spark, d), "component", list(CATEGORIES), "level_rank")
+    turned = F.when(F.col("component") == "Liquidity support", -F.col("stimulus")).otherwise(F.col("stimulus"))  # stacks below zero
+    r = OR.as_levels(B.stim_region(spark, d).withColumn("stimulus", turned), "component", list(CATEGORIES), "level_rank")
     return W.stack_offsets(r, ["region"], "level_rank", "stimulus")
 
 

@@ -14,6 +14,10 @@ in its own band and in each larger band that a partner can lie in.
 4. Buckets of three or more nodes that still hold different components are compared by whole sketches in square
    cells of bounded size that may run anywhere; what is left is verified exactly. No link between different sets is lost.
 
+An empty block is equal in most sets and tells nothing. It is keyed only in size bands where a linked pair might have no
+other equal block: the chance that all common members fall into blocks that differ is computed for each band, and
+where it is below LOSS (larger sets) empty blocks are left out.
+
 Null or blank texts have an empty set and link with nothing, each its own component. Null doc_ids are
 carried; a component whose ids are all null has a null component_id. Repeated rows are equal sets.
 """
@@ -35,6 +39,8 @@ from scenaria.llm.shingles import buffers, distinct, mix, shingles, words
 BAND_RATIO = 1.4
 #: Rows of one side of a comparison cell.
 CELL = 1024
+#: Chance, for a linked pair, of having only empty blocks in common, below which they are not keyed.
+LOSS = 1e-12
 #: Words of the sketch by which whole sets are compared.
 WORDS = 32
 _U = np.uint64
@@ -59,6 +65,25 @@ def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
     return out
 
 
+_known: dict[tuple[int, int, int], bool] = {}
+
+
+def empty_blocks_matter(low: int, blocks: int, percent: int) -> bool:
+    """Whether a linked pair whose larger set has ``low`` members or more may share only empty blocks, with chance
+    LOSS or more: at most blocks - 1 members differ, and all common members would have to fall into the blocks they hit."""
+    if low >= 1000:
+        return False
+    if (low, blocks, percent) in _known:
+        return _known[low, blocks, percent]
+    hit = np.zeros(blocks + 1)  # distribution of the number of blocks hit
+    hit[0] = 1.0
+    n = np.arange(blocks + 1)
+    for _ in range(blocks - 1):
+        hit = hit * n / blocks + np.concatenate([[0.0], hit[:-1] * (blocks - n[:-1]) / blocks])
+    _known[low, blocks, percent] = float((hit * (n / blocks) ** (low * percent // 100)).sum()) >= LOSS
+    return _known[low, blocks, percent]
+
+
 def _sketch(sets: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parity sketches of ``blocks[i]`` words for set i: (all words, index of each set's first word)."""
     count = np.diff(at)
@@ -115,12 +140,12 @@ def profile_batch(rows: pa.RecordBatch, sets: np.ndarray, at: np.ndarray, key: n
 PROFILE = "doc_id long, digest long, n_shingles long, node long, keys array<long>"
 
 
-def _band_entries(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int]]:
-    """(indices of sets, band, blocks): each set in its own band and those larger partners may be in."""
+def _band_entries(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, int, int, int]]:
+    """(indices of sets, band, blocks, smallest size of the band): each set in its own band and those larger partners may be in."""
     out = []
     for b, (low, high, blocks) in enumerate(bands(percent, int(size.max(initial=0)) * 100 // percent + 1)):
         if len(own := np.flatnonzero((size <= high) & (size * 100 // percent >= low) & (size > 0))):
-            out.append((own, b, blocks))
+            out.append((own, b, blocks, low))
     return out
 
 
@@ -134,13 +159,18 @@ def _keys(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, n
     """Bucket keys of each set: a hash of (band, block, value) for each block."""
     n = len(at) - 1
     parts, owner = [], []
-    for own, band, blocks in _band_entries(np.diff(at), percent):
+    empty = mix(np.zeros(1, _U))[0]  # the value of a block without members
+    for own, band, blocks, low in _band_entries(np.diff(at), percent):
         part, many = _take(sets, at, own), np.full(len(own), blocks)
         s, base = _sketch(*part, many)
         s = mix(s) ^ _block_sums(*part, many)
         place = np.arange(base[-1], dtype=_U) % _U(blocks)
-        parts.append(mix(mix(s ^ _U(0x8BB84B93962EACC9)) + place * _U(0x9E3779B97F4A7C15) + _U(band + 1)))
-        owner.append(np.repeat(own, blocks))
+        key = mix(mix(s ^ _U(0x8BB84B93962EACC9)) + place * _U(0x9E3779B97F4A7C15) + _U(band + 1))
+        of = np.repeat(own, blocks)
+        if not empty_blocks_matter(low, blocks, percent):
+            key, of = key[s != empty], of[s != empty]
+        parts.append(key)
+        owner.append(of)
     if not parts:
         return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
     key, owner = np.concatenate(parts), np.concatenate(owner)

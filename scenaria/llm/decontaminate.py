@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
 Words are runs of letters and digits (A-Z lower-cased, bytes of other scripts count as letters), so that case and
 punctuation play no part. Every run of ``width`` words of a test item is a seed.
 
 1. Documents are searched for seeds in one pass; stretches around hits are cut out (as word hashes) with a margin
    of the longest item. A fixed-size bit map leaves out other n-grams before the exact join on the seed.
-2. A seed is rare when it occurs in the corpus at most ``common`` times as often as the item's middle seed, or
-   at most ``floor`` times. Only stretches with a rare seed of an item are aligned with it. The measure is relative to the
-   item, so a passage copied into any number of documents keeps its seeds.
+2. Each stretch is taken with every item it shares a seed with, however often the seed occurs in the corpus, so that
+   edited and partial copies repeated any number of times are found. Stretches of equal words are aligned once. A pair
+   is spared its alignment only where the item's words that occur in the stretch cannot add up to the threshold.
 3. Word-level Smith-Waterman (match 2, mismatch and gap -1) aligns item and stretch; the best local score divided by
    that of the whole item is the score: 1 for a verbatim copy, lower for edited, paraphrased or partial ones (a copy
    with three words of ten replaced scores 0.55, one half of an item 0.5).
@@ -94,44 +94,53 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for item, text in zip(batch.column("item"), batch.column("words")):
-            a, b = (x.values.to_numpy(zero_copy_only=False) for x in (item, text))
-            best, end = smith_waterman(a, b)
-            back, length = smith_waterman(a[::-1], b[:end][::-1])
-            out.append((best / max(1, MATCH * len(a)), end - length, end))
-        score, begin, end = (np.array(x) for x in zip(*out)) if out else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
-        start = batch.column("start").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("digest"), batch.column("item_id"), pa.array(score.astype(float)),
-             pa.array((start + begin).astype(np.int64)), pa.array((start + end).astype(np.int64))],
-            names=["doc_id", "digest", "item_id", "score", "first_word", "end_word"])
+def _align(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, (item, text) in enumerate(zip(batch.column("item"), batch.column("words"))):
+                a, b = (x.values.to_numpy(zero_copy_only=False) for x in (item, text))
+                whole = MATCH * len(a)
+                if MATCH * np.isin(a, b).sum() / whole < threshold:  # no alignment has more matches
+                    continue
+                best, end = smith_waterman(a, b)
+                if best / whole < threshold:
+                    continue
+                back, length = smith_waterman(a[::-1], b[:end][::-1])
+                out.append((k, best / whole, end - length, end))
+            k, score, begin, end = (np.array(x) for x in zip(*out)) if out else [np.zeros(0, int)] * 4
+            rows = pa.array(k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("stretch").take(rows), batch.column("item_id").take(rows), pa.array(score.astype(float)),
+                 pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64))],
+                names=["stretch", "item_id", "score", "begin", "end"])
+    return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float = 0.45, common: int = 8,
             floor: int = 1000, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """(doc_id, digest, item_id, score, first_word, end_word): the best alignment of each document (told apart by id and
-    xxhash64 of its text) with each item, where the score reaches ``threshold``."""
+    xxhash64 of its text) with each item, where the score reaches ``threshold``. ``common`` and ``floor`` are accepted
+    from earlier callers and have no effect: no seed is dropped for its frequency."""
     items = store(id_text(benchmark, item_col).mapInArrow(_items(width), "item_id long, words array<long>, seeds array<long>"), "leak-items")
     seeds = store(items.select("item_id", F.explode("seeds").alias("seed")).distinct(), "leak-seeds")
     margin = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     source = id_text(docs, id_col).withColumn("digest", F.xxhash64("text"))
     stretches = store(source.mapInArrow(_stretches(width, margin, bit_map(seeds, "seed")),
                                         "doc_id long, digest long, start long, words array<long>, hits array<long>")
-                      .withColumn("stretch", F.monotonically_increasing_id()), "leak-stretches")
-    hits = stretches.select("stretch", F.explode("hits").alias("seed"))
-    often = store(seeds.join(hits.groupBy("seed").agg(F.count("*").alias("n")), "seed"), "leak-often")
-    middle = often.groupBy("item_id").agg(F.percentile_approx("n", 0.5, 1000).alias("middle"))
-    rare = often.join(middle, "item_id").where(F.col("n") <= F.greatest(F.col("middle") * common, F.lit(floor))).select("item_id", "seed")
-    pairs = hits.join(rare, "seed").select("stretch", "item_id").distinct()
+                      .withColumn("stretch", F.xxhash64("words")), "leak-stretches")
+    # equal words have equal hits
+    texts = store(stretches.groupBy("stretch").agg(F.first("words").alias("words"), F.first("hits").alias("hits")), "leak-texts")
+    hits = texts.select("stretch", F.explode(F.array_distinct("hits")).alias("seed"))
+    pairs = hits.join(seeds, "seed").select("stretch", "item_id").distinct()
     rows = (pairs.join(items.select("item_id", F.col("words").alias("item")), "item_id")
-            .join(stretches.drop("hits"), "stretch")
-            .select("doc_id", "digest", "start", "item_id", "item", "words"))
-    found = rows.mapInArrow(_align, "doc_id long, digest long, item_id long, score double, first_word long, end_word long")
+            .join(texts.drop("hits"), "stretch").select("stretch", "item_id", "item", "words"))
+    found = store(rows.mapInArrow(_align(threshold), "stretch long, item_id long, score double, begin long, end long"), "leak-found")
+    found = (stretches.select("doc_id", "digest", "start", "stretch").join(found, "stretch")
+             .select("doc_id", "digest", "item_id", "score", (F.col("start") + F.col("begin")).alias("first_word"),
+                     (F.col("start") + F.col("end")).alias("end_word")))
     best = F.max(F.struct("score", -F.col("first_word"), "first_word", "end_word"))
-    return (found.where(F.col("score") >= threshold).groupBy("doc_id", "digest", "item_id").agg(best.alias("b"))
+    return (found.groupBy("doc_id", "digest", "item_id").agg(best.alias("b"))
             .select("doc_id", "digest", "item_id", "b.score", "b.first_word", "b.end_word"))
 
 

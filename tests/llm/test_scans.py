@@ -137,6 +137,19 @@ def test_copies_edits_and_parts_of_items_are_found(spark):
     assert matches(many, bench, floor=10).count() == 1500
 
 
+def test_edited_and_partial_copies_repeated_very_often_are_found(spark):
+    rng = random.Random(16)
+    items = [words(rng, 60, 10**6), words(rng, 60, 10**6)]
+    noise = lambda n: words(rng, n, 10**6)
+    fifth = [x if i % 5 != 4 else f"q{i}" for i, x in enumerate(items[0])]
+    texts = [" ".join(noise(5) + w + noise(5)) for w in items]  # one verbatim copy of each
+    texts += [" ".join(noise(5) + fifth + noise(5)) for _ in range(1600)] + [" ".join(noise(5) + items[1][:29] + noise(5)) for _ in range(1600)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in matches(frame(spark, texts).repartition(4), bench).collect()}
+    assert set(got) == {(i, 0 if i == 0 or 2 <= i < 1602 else 1) for i in range(len(texts))}
+    assert got[0, 0] == got[1, 1] == 1.0 and {round(got[i, 0], 2) for i in range(2, 1602)} == {0.71}
+
+
 def test_decontamination_of_odd_rows(spark):
     df = odd(spark)
     bench = spark.createDataFrame([(1, "same text here now")], "item_id long, text string")

@@ -4,11 +4,14 @@ A text gets a leading word mark, its spaces become marks, and it falls into unit
 the next mark. No piece of the vocabulary reaches over a unit's end (checked), so units are encoded on their own.
 
 In a unit an agenda holds every pair of neighbouring symbols that make up a piece, best score first, leftmost
-first among equals. A pair taken from the agenda is skipped when a hash keyed by (seed, variant, unit, place,
-piece) says so, with probability ``dropout``; else it is merged and its new neighbours enter. A skipped pair
-enters again only if one of its symbols changes. Each text has one of ``variants`` variants, chosen by a hash
-keyed by the seed, so the same word is cut in different ways across texts, the same text always in the same way.
-With dropout 0 the result is the model's own.
+first among equals. A pair taken from the agenda is skipped when a hash keyed by (seed, text, unit, number of the
+unit in its text, place, piece) says so, with probability ``dropout``; else it is merged and its new neighbours enter.
+A skipped pair enters again only if one of its symbols changes. So each occurrence of a word is drawn on its own,
+the same text always in the same way. With dropout 0 the result is the model's own.
+
+What is remembered between occurrences is only what follows from a unit and the pairs skipped in it: the pairs that
+come up next if nothing more is skipped, and the pieces. An occurrence walks from one such trace to the next, at each
+skip, so that its own draws decide alone.
 
 Characters without a piece, and a word mark that stands in the text itself, become byte pieces; decoding so gives
 back every text. A null text counts as empty; an empty text has no pieces.
@@ -36,8 +39,8 @@ _U = np.uint64
 _NONE = np.int64(2**62)
 #: Units of more characters are encoded one by one.
 LONG = 48
-#: Units remembered for each variant in a task.
-REMEMBERED = 150_000
+#: Traces remembered in a task; at more, all are forgotten.
+REMEMBERED = 600_000
 
 
 class Vocabulary:
@@ -72,6 +75,7 @@ class Vocabulary:
         self.merged = np.array([i for _, i in pairs], np.int64)
         self.rank = np.full(n, _NONE)
         self.rank[list(rank)] = list(rank.values())
+        self.by_rank = np.array([*order, -1], np.int64)
         self.single = np.array(sorted((ord(p), i) for p, i in normal.items() if len(p) == 1), np.int64).reshape(-1, 2)
 
     def symbols(self, code_points: np.ndarray) -> np.ndarray:
@@ -86,12 +90,14 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.merged[at], -1)
 
-    def ranks(self, pieces: np.ndarray) -> np.ndarray:
-        return np.where(pieces >= 0, self.rank[pieces], _NONE)
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the piece made of two neighbours, the number of ranks if there is none."""
+        made = self.merge(left.astype(np.int64), right.astype(np.int64))
+        return np.where(made >= 0, self.rank[made], len(self.by_rank) - 1)
 
 
-def _skips(unit: np.ndarray, place: np.ndarray, piece: np.ndarray, key: int, dropout: float) -> np.ndarray:
-    h = mix(unit + _U(key) + mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + piece.astype(_U)))
+def _skips(unit: np.ndarray, place: np.ndarray, piece: np.ndarray, key: int | np.ndarray, dropout: float) -> np.ndarray:
+    h = mix(unit + np.asarray(key, _U) + mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + piece.astype(_U)))
     return (h >> _U(11)).astype(np.float64) * 2.0**-53 < dropout
 
 
@@ -104,51 +110,74 @@ def _unit_hash(points: np.ndarray) -> np.ndarray:
     return h
 
 
-def _cut_many(v: Vocabulary, units: list[str], key: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (count[0] of them), start[1], ..."""
+    base = np.cumsum(count) - count
+    return np.repeat(start - base, count) + np.arange(int(count.sum()))
+
+
+def _points(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all units, number of each)."""
+    return (np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32),
+            np.fromiter(map(len, units), np.int64, len(units)))
+
+
+def _rows(points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A row of code points for each unit; -1 fills up."""
+    out = np.full((len(size), int(size.max())), -1, np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = points[_ragged(start, size)]
+    return out
+
+
+def _cut_many(v: Vocabulary, units: list[str], key: int | np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all units, number of each); all agendas advance together, one pair of each unit a round."""
-    size = np.array([len(u) for u in units])
-    width = int(size.max())
-    points = np.full((len(units), width), -1, np.int64)
-    points[np.arange(width) < size[:, None]] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-    unit = _unit_hash(points)
-    sym = np.where(points >= 0, v.symbols(points), -1)
-    place = np.tile(np.arange(width), (len(units), 1))
-    made = np.full((len(units), width), -1, np.int64)
-    made[:, :-1] = v.merge(sym[:, :-1], sym[:, 1:])
-    rank = v.ranks(made)
-    rows = np.arange(len(units))
-    cols = np.arange(width)
+    points, size = _points(units)
+    points = _rows(points, np.cumsum(size) - size, size)
+    unit, key = _unit_hash(points), np.broadcast_to(np.asarray(key, _U), len(units))
+    return _cut_rows(v, points, lambda turn, rows, place, piece: _skips(unit[rows], place, piece, key[rows], dropout))
+
+
+def _cut_rows(v: Vocabulary, points: np.ndarray, skips) -> tuple[np.ndarray, np.ndarray]:
+    """_cut_many of rows of code points; ``skips`` (round, rows, places, pieces) tells the pairs to skip."""
+    n, width = points.shape
+    # symbols, places and the ranks of pairs with the right neighbour, which tell the pieces
+    sym, place, rank = state = np.zeros((3, n, width), np.int32)
+    none = np.int32(len(v.by_rank) - 1)
+    fill = np.array([-1, 0, none], np.int32)[:, None]
+    sym[:] = np.where(points >= 0, v.symbols(points), -1)
+    place[:] = np.arange(width)
+    rank[:] = none
+    rank[:, :-1] = v.pair_ranks(sym[:, :-1], sym[:, 1:])
+    rows = np.arange(n)
+    cols = np.arange(width - 1)
+    turn = 0
     while len(rows):
-        j = rank[rows].argmin(axis=1)
-        open_ = rank[rows, j] < _NONE
-        rows, j = rows[open_], j[open_]
+        now = rank[rows]
+        j = now.argmin(axis=1)
+        best = now[np.arange(len(rows)), j]
+        open_ = best < none
+        rows, j, best = rows[open_], j[open_], best[open_]
         if not len(rows):
             break
-        skip = _skips(unit[rows], place[rows, j], made[rows, j], key, dropout)
-        rank[rows[skip], j[skip]] = _NONE
+        piece = v.by_rank[best]
+        skip = skips(turn, rows, place[rows, j], piece)
+        turn += 1
+        rank[rows[skip], j[skip]] = none
         r, k = rows[~skip], j[~skip]
         if len(r):
-            sym[r, k] = made[r, k]
-            shift = np.minimum(cols + (cols > k[:, None]), width - 1)
-            last = np.zeros((len(r), width), bool)
-            last[:, -1] = True
-            for x, fill in ((sym, -1), (place, 0)):
-                y = np.take_along_axis(x[r], shift, axis=1)
-                y[last] = fill
-                x[r] = y
-            # pairs right of the merged one move along; the two it is part of are looked up anew
-            for x, fill in ((made, -1), (rank, _NONE)):
-                y = np.take_along_axis(x[r], shift, axis=1)
-                y[last] = fill
-                x[r] = y
+            sym[r, k] = piece[~skip]
+            # what is right of the merged pair moves along; the two pairs it is part of are looked up anew
+            x = state[:, r]
+            np.copyto(x[:, :, :-1], x[:, :, 1:], where=cols > k[:, None])
+            x[:, :, -1] = fill
+            state[:, r] = x
             for side in (0, -1):
                 at = k + side
                 ok = (at >= 0) & (at < width - 1)
                 rr, aa = r[ok], at[ok]
-                made[rr, aa] = v.merge(sym[rr, aa], sym[rr, aa + 1])
-                rank[rr, aa] = v.ranks(made[rr, aa])
+                rank[rr, aa] = v.pair_ranks(sym[rr, aa], sym[rr, aa + 1])
     keep = sym >= 0
-    return sym[keep], keep.sum(axis=1)
+    return sym[keep].astype(np.int64), keep.sum(axis=1)
 
 
 def _cut_one(v: Vocabulary, unit: str, key: int, dropout: float) -> np.ndarray:
@@ -191,83 +220,171 @@ def _cut_one(v: Vocabulary, unit: str, key: int, dropout: float) -> np.ndarray:
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate([self.held[:self.n], np.zeros(max(n, 2 * len(self.held)) - self.n, self.held.dtype)])
+        self.held[self.n: n] = values
+        self.n = n
+
+    def __getitem__(self, at):
+        return self.held[at]
+
+
+class _Traces:
+    """What follows from a unit and the turns of its agenda at which the pair was skipped: the pairs of the later turns if
+    none of them is skipped (with the trace to go on with if it is; -1 where not known yet), and the pieces."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.root: dict[str, int] = {}
+        self.points = _Column(np.int32)
+        # of each trace: its unit, the trace it leaves and the turn after that, its pairs, its pieces
+        self.unit, self.size, self.hash = _Column(np.int64), _Column(np.int64), _Column(_U)
+        self.parent, self.turn = _Column(np.int64), _Column(np.int64)
+        self.start, self.count = _Column(np.int64), _Column(np.int64)
+        self.at, self.length = _Column(np.int64), _Column(np.int64)
+        self.place, self.piece, self.child, self.ids = _Column(np.int16), _Column(np.int32), _Column(np.int32), _Column(np.int32)
+
+    def __len__(self) -> int:
+        return self.parent.n
+
+    def _learn(self, unit: np.ndarray, size: np.ndarray, parent: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Numbers of the new traces that leave ``parent`` (-1: none) when the pair before ``turn`` is skipped."""
+        number = np.zeros(len(unit), np.int64)
+        order = np.argsort(size, kind="stable")
+        bound = np.searchsorted(size[order], (0, 6, 8, 10, 12, 16, 24, LONG), "right")
+        for s, e in zip(bound[:-1].tolist(), bound[1:].tolist()):
+            for lo in range(s, e, 8_000):
+                part = order[lo: min(e, lo + 8_000)]
+                number[part] = self._cut(unit[part], size[part], parent[part], turn[part])
+        return number
+
+    def _cut(self, unit: np.ndarray, size: np.ndarray, parent: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        n, new = len(unit), len(self)
+        forced = np.zeros((n, int(turn.max()) + 1), bool)
+        row, up, last = np.arange(n), parent, turn
+        while len(row := row[(go := up >= 0)]):
+            up, last = up[go], last[go]
+            forced[row, last - 1] = True
+            up, last = self.parent[up], self.turn[up]
+        log: list = []
+
+        def skips(k, rows, place, piece):
+            later = turn[rows] <= k
+            log.append((rows[later], place[later], piece[later]))
+            return forced[rows, k] if k < forced.shape[1] else np.zeros(len(rows), bool)
+        points = _rows(self.points.held, unit, size)
+        flat, length = _cut_rows(self.v, points, skips)
+        row, place, piece = (np.concatenate([x[c] for x in log]) if log else np.zeros(0, np.int64) for c in range(3))
+        order = np.argsort(row, kind="stable")
+        count = np.bincount(row, minlength=n)
+        ids, wide = spelled(self.v, flat)
+        first = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(length)])]
+        for column, values in ((self.unit, unit), (self.size, size), (self.hash, _unit_hash(points)), (self.parent, parent), (self.turn, turn),
+                               (self.start, self.place.n + np.cumsum(count) - count), (self.count, count), (self.at, self.ids.n + first[:-1]),
+                               (self.length, np.diff(first)), (self.place, place[order]), (self.piece, piece[order]),
+                               (self.child, np.full(len(order), -1, np.int32)), (self.ids, ids)):
+            column.add(values)
+        return np.arange(new, new + n)
+
+    def walk(self, units: list[str], keys: np.ndarray, dropout: float) -> np.ndarray:
+        """The trace at which each occurrence ends; the same pieces as _cut_many with its key."""
+        new = list(set(units).difference(self.root))
+        if new:
+            points, size = _points(new)
+            begin = self.points.n + np.cumsum(size) - size
+            self.points.add(points)
+            self.root.update(zip(new, self._learn(begin, size, np.full(len(new), -1), np.zeros(len(new), np.int64)).tolist()))
+        node = np.fromiter(map(self.root.__getitem__, units), np.int64, len(units))
+        who = np.arange(len(units) if dropout > 0 else 0)
+        while len(who):
+            at = node[who]
+            count = self.count[at]
+            pair = _ragged(self.start[at], count)
+            mine = np.repeat(np.arange(len(who)), count)
+            hit = np.flatnonzero(_skips(self.hash[at][mine], self.place[pair], self.piece[pair], keys[who][mine], dropout))
+            first = np.ones(len(hit), bool)
+            first[1:] = mine[hit[1:]] != mine[hit[:-1]]
+            hit = hit[first]
+            pair, at, who = pair[hit], at[mine[hit]], who[mine[hit]]
+            dark = np.flatnonzero(self.child[pair] < 0)
+            if len(dark):
+                unknown, one = np.unique(pair[dark], return_index=True)
+                leaves = at[dark[one]]
+                turns = self.turn[leaves] + unknown - self.start[leaves] + 1
+                known = self._learn(self.unit[leaves], self.size[leaves], leaves, turns)
+                self.child.held[unknown] = known
+            node[who] = self.child[pair]
+        return node
+
+
+def spelled(v: Vocabulary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces of symbols, number of each): a character without a piece gives its UTF-8 bytes' pieces."""
+    c = symbols - v.size
+    wide = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+    if (c < 0).all():
+        return symbols.astype(np.int32), wide
+    c, n = np.repeat(c, wide), np.repeat(wide, wide)
+    k = _ragged(np.zeros(len(wide), np.int64), wide)
+    low = np.maximum(c, 0) >> 6 * (n - 1 - k)
+    byte = np.where(n == 1, low & 127, np.where(k == 0, (0xF00 >> n) & 255 | low, 128 | low & 63)) & 255
+    return np.where(c < 0, c + v.size, v.bytes[byte]).astype(np.int32), wide
+
+
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int):
-        self.v, self.dropout, self.variants = vocabulary, dropout, variants
-        salt = hashlib.blake2b(f"pieces:{seed}".encode(), digest_size=16).digest()
-        self.salt = salt
-        self.keys = [int.from_bytes(hashlib.blake2b(bytes([k & 255, k >> 8]), key=salt, digest_size=8).digest(), "little") for k in range(variants)]
-        self.memory: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def variant(self, text: str) -> int:
-        return int.from_bytes(hashlib.blake2b(text.encode(), key=self.salt, digest_size=8).digest(), "little") % self.variants
-
-    def _spell(self, symbols: np.ndarray) -> bytes:
-        out = []
-        for s in symbols.tolist():
-            if s < self.v.size:
-                out.append(s)
-            else:
-                out.extend(self.v.bytes[list(chr(s - self.v.size).encode())].tolist())
-        return np.array(out, "<i4").tobytes()
+    """``variants`` is accepted from earlier callers and has no effect: every occurrence is drawn on its own."""
+
+    def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int = 4):
+        self.v, self.dropout = vocabulary, dropout
+        self.salt = hashlib.blake2b(f"pieces:{seed}".encode(), digest_size=16).digest()
+        self.own = vocabulary.bytes[list(MARK.encode())].astype(np.int32)
+        self.traces = _Traces(vocabulary)
+
+    def units(self, text: str) -> list[str | None]:
+        """The text's units; None for a mark that stands in the text itself."""
+        if not text:
+            return []
+        if MARK not in text:
+            return _UNIT.findall(MARK + text.replace(" ", MARK))
+        out: list[str | None] = []
+        for i, run in enumerate(text.split(MARK)):
+            out += ([None] if i else []) + _UNIT.findall(("" if i else MARK) + run.replace(" ", MARK))
+        return out
+
+    def keys(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
+        """A key for each unit: of the seed, its text and its number there."""
+        of = np.array([int.from_bytes(hashlib.blake2b(t.encode(), key=self.salt, digest_size=8).digest(), "little") for t in texts], _U)
+        return mix(np.repeat(of, counts) + _ragged(np.ones(len(counts), np.int64), counts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text."""
-        units, which, special = [], [], []
-        wanted: list[dict[str, None]] = [{} for _ in self.keys]
-        for t in texts:
-            k = self.variant(t)
-            own = MARK in t
-            u = _UNIT.findall(MARK + t.replace(" ", MARK)) if t and not own else []
-            units.append(u)
-            which.append(k)
-            special.append(own)
-            if not own:
-                have = self.memory[k]
-                wanted[k].update(dict.fromkeys(x for x in set(u) if x not in have))
-        for k, new in enumerate(wanted):
-            if len(self.memory[k]) + len(new) > REMEMBERED:
-                self.memory[k] = {}
-                new = dict.fromkeys(x for u, w, s in zip(units, which, special) if w == k and not s for x in u)
-            self._learn(k, list(new), self.memory[k])
-        out = []
-        for t, u, k, own in zip(texts, units, which, special):
-            if own:
-                out.append(self._marked(t, k))
-            else:
-                out.append(np.frombuffer(b"".join(map(self.memory[k].__getitem__, u)), "<i4"))
-        return out
-
-    def _learn(self, k: int, new: list[str], into: dict[str, bytes]) -> None:
-        new.sort(key=len)
-        at = 0
-        for width in (6, 10, 16, 24, LONG):
-            end = at
-            while end < len(new) and len(new[end]) <= width:
-                end += 1
-            for lo in range(at, end, 20_000):
-                part = new[lo: min(end, lo + 20_000)]
-                flat, count = _cut_many(self.v, part, self.keys[k], self.dropout)
-                ends = np.cumsum(count)
-                raw, odd = flat.astype("<i4").tobytes(), np.add.reduceat(flat >= self.v.size, ends - count) if len(part) else []
-                for u, s, e, x in zip(part, (ends - count).tolist(), ends.tolist(), odd.tolist()):
-                    into[u] = self._spell(flat[s:e]) if x else raw[4 * s: 4 * e]
-            at = end
-        for u in new[at:]:
-            into[u] = self._spell(_cut_one(self.v, u, self.keys[k], self.dropout))
-
-    def _marked(self, text: str, k: int) -> np.ndarray:
-        """A text that holds the mark itself: cut around the marks, which become bytes."""
-        parts, own = [], self.v.bytes[list(MARK.encode())].astype("<i4").tobytes()
-        for i, run in enumerate(text.split(MARK)):
-            if i:
-                parts.append(own)
-            s = (MARK if i == 0 else "") + run.replace(" ", MARK)
-            u = _UNIT.findall(s)
-            learned: dict[str, bytes] = {}
-            self._learn(k, list(dict.fromkeys(u)), learned)
-            parts.extend(learned[x] for x in u)
-        return np.frombuffer(b"".join(parts), "<i4")
+        if len(self.traces) > REMEMBERED:
+            self.traces = _Traces(self.v)
+        cut = [self.units(t) for t in texts]
+        counts = np.array([len(u) for u in cut], np.int64)
+        keys = self.keys(texts, counts)
+        units = [x for u in cut for x in u]
+        alone = np.fromiter((x is None or len(x) > LONG for x in units), bool, len(units))
+        start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        node = self.traces.walk([x for x, a in zip(units, alone.tolist()) if not a] if alone.any() else units, keys[~alone], self.dropout)
+        start[~alone], length[~alone] = self.traces.at[node], self.traces.length[node]
+        ids = [self.traces.ids.held[:self.traces.ids.n]]
+        at = len(ids[0])
+        for i in np.flatnonzero(alone).tolist():
+            x = units[i]
+            ids.append(self.own if x is None else spelled(self.v, _cut_one(self.v, x, int(keys[i]), self.dropout))[0])
+            start[i], length[i] = at, len(ids[-1])
+            at += len(ids[-1])
+        whole = (np.concatenate(ids) if len(ids) > 1 else ids[0])[_ragged(start, length)]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
+        return [whole[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def decode(v: Vocabulary, ids: np.ndarray) -> str:
@@ -306,7 +423,7 @@ def _encode(v: Vocabulary, seed: int, dropout: float, variants: int, names: list
 
 def encoded(docs: DataFrame, model_file: str = MODEL, seed: int = 1, dropout: float = 0.1, variants: int = 4,
             column: str = "tokens") -> DataFrame:
-    """``docs`` with its text's piece ids in ``column`` (an input column of that name gives way)."""
+    """``docs`` with its text's piece ids in ``column`` (an input column of that name gives way). ``variants`` has no effect."""
     rest = docs.drop(column)
     v = Vocabulary(model_file)
     schema = rest.select("*", F.lit(None).cast("array<int>").alias("tokens")).schema

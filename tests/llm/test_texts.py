@@ -47,6 +47,25 @@ def test_agendas_together_and_alone_agree(vocabulary):
             assert part.tolist() == P._cut_one(vocabulary, u, 99, dropout).tolist()
 
 
+def test_each_occurrence_of_a_word_is_drawn_on_its_own(vocabulary):
+    texts = ["the responsibility " * 300 + str(k) for k in range(3)]
+    encoder = P.Encoder(vocabulary, 1, 0.1)
+    got = encoder.encode(texts)
+    ways = {x.tolist() and tuple(x.tolist()) for t, ids in zip(texts, got) for x in np.split(ids, np.flatnonzero(
+        [vocabulary.spelled[i].startswith(b" ") for i in ids.tolist()]))[1:] if b"".join(vocabulary.spelled[i] for i in x.tolist()) == b" responsibility"}
+    assert len(ways) > 12
+    assert (got[0][:200] != got[1][:200]).any()
+    # the remembered traces give what each occurrence's own agenda gives
+    texts += [t * 3 for t in ODD]
+    counts = np.array([len(encoder.units(t)) for t in texts])
+    keys = np.split(encoder.keys(texts, counts), np.cumsum(counts)[:-1])
+    for dropout in (0.1, 0.5):
+        for t, own, ids in zip(texts, keys, P.Encoder(vocabulary, 1, dropout).encode(texts)):
+            parts = [encoder.own if u is None else P.spelled(vocabulary, P._cut_one(vocabulary, u, int(k), dropout))[0]
+                     for u, k in zip(encoder.units(t), own)]
+            assert ids.tolist() == [i for x in parts for i in x.tolist()]
+
+
 def test_tokens_of_odd_rows(spark, vocabulary):
     df = odd(spark)
     got = P.token_digests(df).collect()

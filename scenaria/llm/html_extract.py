@@ -2,11 +2,13 @@
 
 1. Each page is read into blocks of text, each under a chain of containers. A container's score is the text below it
    outside links and outside boilerplate (by tag, role, class or id). From the body the page descends as long as one child
-   container holds most of the score; where it stops is the page's vote: its path of tags and generalised classes
-   (digits and long hexadecimal runs replaced).
+   container holds most of the score and what it leaves behind is no running text (an article or main is entered whatever
+   is beside it); where it stops is the page's vote: its path of tags and generalised classes (digits and long
+   hexadecimal runs replaced).
 2. Votes are summed per host in Spark; paths with a fair share win.
-3. Each page is read again with its host's winning paths: the blocks under the most voted path it has, boilerplate left
-   out, in page order. A page that has none of them, or next to nothing there, goes by its own choice.
+3. Each page is read again with its host's winning paths: the blocks under the one whose share of the votes times its
+   text on this page is largest, boilerplate left out, in page order. The page's own choice stands among them with the
+   least share that wins, so a path with few votes has to hold nearly all of the page's text, one with all votes a tenth.
 
 References are decoded, white space in a block becomes one space, blocks are joined by one space. Markup may be broken
 or cut off anywhere. A null html, or one without text, gives an empty text. Pages without a host share an empty one.
@@ -52,6 +54,8 @@ BOILER_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumb
 BROAD = {"html", "body", "main", "article"}
 BROAD_WORDS = {"comment", "comments", "reply", "replies", "ad", "advert", "advertisement", "sponsored", "promo", "related", "teaser"}
 _CLOSED_BY_BLOCK = {"p"}
+#: Running text: a block of so many characters outside links, right in a container and in the containers beside.
+OWN, BESIDE = 20, 60
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
          "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 
@@ -93,6 +97,7 @@ class Page:
         self.paths: list[str] = ["html"]  # of each container
         self.parents: list[int] = [-1]
         self.scores: list[float] = [0.0]
+        self.running: list[float] = [0.0]  # score of the longest block right in it
         self.blocks: list[tuple[int, str]] = []  # (container, text) outside boilerplate
         self._pieces: list[str] = []
         self._linked = 0
@@ -103,7 +108,9 @@ class Page:
             text = " ".join("".join(self._pieces).split())
             if text and not boiler:
                 self.blocks.append((container, text))
-                self.scores[container] += max(0, len(text) - 2 * self._linked)
+                score = max(0, len(text) - 2 * self._linked)
+                self.scores[container] += score
+                self.running[container] = max(self.running[container], score)
             self._pieces = []
         self._linked = 0
 
@@ -182,6 +189,7 @@ class Page:
                 self.paths.append(f"{self.paths[container]}/{path}")
                 self.parents.append(container)
                 self.scores.append(0.0)
+                self.running.append(0.0)
                 container = len(self.paths) - 1
             stack.append((tag, container, boiler))
             open_[tag] += 1
@@ -194,17 +202,22 @@ class Page:
 
     def choice(self, most: float = 0.7) -> int:
         """The container the page votes for."""
-        total = self.scores[:]
+        total, running = self.scores[:], self.running[:]
         children: list[list[int]] = [[] for _ in total]
         for i in range(len(total) - 1, 0, -1):
             total[self.parents[i]] += total[i]
+            running[i] = max([running[i], *(running[k] for k in children[i])])
             children[self.parents[i]].append(i)
-        at = 0
+        at, inside = 0, False
         while children[at] and total[at] > 0:
             best = max(children[at], key=lambda i: (total[i], -i))
             if total[best] < most * total[at]:
                 break
-            at = best
+            enters = self.paths[best].rpartition("/")[2].partition(".")[0] in ("article", "main")
+            beside = max((running[i] for i in children[at] if i != best), default=0)
+            if not enters and (self.running[at] >= OWN or beside >= (1 if inside else BESIDE)):
+                break
+            at, inside = best, inside or enters
         return at
 
     def under(self, wanted: set[int]) -> list[str]:
@@ -215,20 +228,18 @@ class Page:
         return [t for c, t in self.blocks if inside[c]]
 
 
-def extract(source: str, winners: list[str]) -> str:
-    """The page's text by the first of ``winners`` (paths, most voted first) that it has."""
+def extract(source: str, winners: list[tuple[str, float]], least: float = 0.1) -> str:
+    """The page's text by its host's ``winners`` (path, share of the votes) and its own choice, which counts ``least``."""
     for by_hints in (True, False):
         page = Page(source, by_hints)
-        own = page.under({page.choice()})
-        for path in winners:
+        blocks = page.under({page.choice()})
+        most = least * sum(map(len, blocks))
+        for path, share in winners:
             found = {i for i, p in enumerate(page.paths) if p == path}
-            if found:
-                blocks = page.under(found)
-                if 20 * sum(map(len, blocks)) >= sum(map(len, own)):
-                    return " ".join(blocks)
-                break
-        if own:
-            return " ".join(own)
+            if found and share * sum(map(len, there := page.under(found))) > most:
+                blocks, most = there, share * sum(map(len, there))
+        if blocks:
+            return " ".join(blocks)
     return ""
 
 
@@ -244,12 +255,15 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["host", "path", "votes"])
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [extract(s or "", w or []) for s, w in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-            names=["page_id", "url", "text", "n_chars"])
+def _extracted(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [extract(s or "", [(x["path"], x["share"]) for x in w or []], least)
+                     for s, w in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"])
+    return run
 
 
 def main_text(pages: DataFrame, share: float = 0.1) -> DataFrame:
@@ -262,7 +276,7 @@ def main_text(pages: DataFrame, share: float = 0.1) -> DataFrame:
     of_host = votes.groupBy("host").agg(F.sum("votes").alias("cast"))
     # at most 1 / share paths for each host
     winners = store(votes.join(of_host, "host").where(F.col("votes") >= share * F.col("cast")).groupBy("host")
-                    .agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w"))
-                    .select("host", F.col("w.path").alias("winners")), "html-winners")
+                    .agg(F.sort_array(F.collect_list(F.struct((F.col("votes") / F.col("cast")).alias("share"), "path")), asc=False).alias("winners")),
+                    "html-winners")
     return (pages.join(winners, "host", "left").select("page_id", "url", "html", "winners")
-            .mapInArrow(_extracted, "page_id long, url string, text string, n_chars long"))
+            .mapInArrow(_extracted(share), "page_id long, url string, text string, n_chars long"))

@@ -134,6 +134,21 @@ def test_host_consensus_leaves_unmarked_boxes_out(spark):
     assert H.main_text(df.limit(0)).collect() == []
 
 
+def test_nested_articles_and_hosts_with_two_templates_keep_their_text(spark):
+    rng = random.Random(15)
+    say = lambda n: " ".join(words(rng, n))
+    lead, body, end = say(30), say(300), say(20)
+    for outer in ("article", 'div class="post"'):
+        page = f"<body><nav>x</nav><{outer}><h1>Title</h1><p>{lead}</p><div class=body><p>{body}</p></div><div class=end><p>{end}</p></div></{outer.split()[0]}>"
+        assert H.extract(page, []) == f"Title {lead} {body} {end}"
+    # twelve pages of one template, eight of another that has a small box at the path of the first
+    box, text = [say(20) for _ in range(20)], [say(200) for _ in range(20)]
+    pages = [(i, f"http://t.example/{i}", f"<body><div class=a><p>{text[i]}</p></div>" if i < 12 else
+              f"<body><div class=a><p>{box[i]}</p></div><div class=w><div class=b><p>{text[i]}</p></div></div>") for i in range(20)]
+    for r in H.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert text[r.page_id] in r.text
+
+
 def test_extraction_of_given_pages_equals_their_articles(spark):
     import html
 

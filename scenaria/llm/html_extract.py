@@ -29,7 +29,7 @@ from scenaria.llm.common import store
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
                         |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|[^<>]*>?)""", re.S | re.X)
-_CLASS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NUMBER = re.compile(r"[0-9a-f]{8,}|\d+")
@@ -50,6 +50,15 @@ BOILER_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumb
                 "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related",
                 "recommended", "recommendations", "comment", "comments", "disqus", "reply", "replies", "respond", "discussion", "pagination",
                 "pager", "paging", "toolbar", "search", "form", "skip", "sponsors", "paywall"}
+#: Words that an article's own parts are named by as well; they count only where nothing but them and PLAIN words is in the name.
+TOPICS = {"discussion", "related", "social", "search", "notice", "notices", "notification", "alert", "banner", "overlay", "header", "form",
+          "menu", "navigation", "promotion", "recommended", "recommendations", "respond", "reply", "replies", "comment", "comments", "share",
+          "sharing", "login", "signup", "subscription", "subscribe", "consent", "skip", "paging", "ad", "advertising", "advertisement", "widget",
+          "widgets", "cookie", "cookies", "sponsor", "sponsors", "sponsored", "modal", "popup", "toolbar", "footer"}
+PLAIN = {"area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "group", "icons", "inner", "items", "link", "links", "list",
+         "main", "media", "panel", "post", "posts", "row", "section", "site", "slot", "top", "bottom", "left", "right", "unit", "us", "wrap", "wrapper", ""}
+#: Lists and tables, which can be boxes as a whole; other blocks of running text and inline tags are none.
+LISTS = {"ul", "ol", "dl", "table"}
 #: On these only a whole class counts, as their classes often tell what the page has.
 BROAD = {"html", "body", "main", "article"}
 BROAD_WORDS = {"comment", "comments", "reply", "replies", "ad", "advert", "advertisement", "sponsored", "promo", "related", "teaser"}
@@ -60,33 +69,27 @@ _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 
 
-def _hints(rest: str) -> tuple[list[str], set[str], bool]:
-    """(classes, classes and id, marked as boilerplate by role or hidden)."""
-    classes: list[str] = []
-    names: set[str] = set()
-    off = False
-    for name, a, b, c in _CLASS.findall(rest):
-        name, value = name.lower(), a or b or c
-        if name == "class":
-            classes = value.split()
-            names.update(classes)
-        elif name == "id":
-            names.add(value)
-        elif name == "role":
-            off = off or value.lower() in BOILER_ROLES
-        elif name == "hidden" or value.lower() == "true":
-            off = True
-    return classes, names, off
-
-
-def _boiler(tag: str, names: set[str]) -> bool:
-    for n in names:
+def _hints(rest: str) -> tuple[list[str], str, bool]:
+    """(classes, id, marked as boilerplate by role or hidden); of an attribute given twice the first counts."""
+    have: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        have.setdefault(name.lower(), a or b or c.strip("\"'"))
+    off = "hidden" in have or have.get("aria-hidden", "").strip().lower() == "true" or have.get("role", "").strip().lower() in BOILER_ROLES
+    return have.get("class", "").split(), have.get("id", ""), off
+
+
+def _boiler(tag: str, classes: list[str], own_id: str) -> bool:
+    """Whether the names of a container make it boilerplate; ids of sections, and any of running text, are its topics."""
+    if tag in INLINE or tag in TEXT and tag not in LISTS:
+        return False
+    for n in classes if tag == "section" else [*classes, own_id]:
         words = _SPLIT.split(_CAMEL.sub("-", n).lower())
         if tag in BROAD:
             if n.lower() in BROAD_WORDS or words[0] == "comment":
                 return True
-        elif words[0] not in ("has", "with", "without", "no", "is", "hide", "show") and not BOILER_WORDS.isdisjoint(words):
-            return True
+        elif words[0] not in ("has", "with", "without", "no", "is", "hide", "show") and (found := BOILER_WORDS.intersection(words)):
+            if found - TOPICS or all(w in BOILER_WORDS or w in PLAIN or w.isdigit() for w in words):
+                return True
     return False
 
 
@@ -181,8 +184,8 @@ class Page:
             if tag in VOID or tag == "html":
                 continue
             _, container, boiler = stack[-1]
-            classes, names, off = _hints(rest) if rest and "=" in rest or "hidden" in rest else ([], set(), False)
-            if tag not in BROAD and (tag in BOILER_TAGS or off) or by_hints and names and _boiler(tag, names):
+            classes, own_id, off = _hints(rest) if len(rest) > 1 else ([], "", False)
+            if tag not in BROAD and (tag in BOILER_TAGS or off) or by_hints and (classes or own_id) and _boiler(tag, classes, own_id):
                 boiler = True
             if tag not in INLINE and tag not in TEXT:
                 path = tag + "".join(f".{c}" for c in sorted({_NUMBER.sub("#", c.lower()) for c in classes}))

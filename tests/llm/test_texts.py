@@ -149,6 +149,18 @@ def test_nested_articles_and_hosts_with_two_templates_keep_their_text(spark):
         assert text[r.page_id] in r.text
 
 
+def test_attribute_values_and_topics_of_an_article_are_no_boilerplate():
+    for mark in ('style="overflow:hidden"', 'title="Hidden gems"', 'data-x="role=alert" data-hidden="true"', 'aria-hidden="false"', 'data-state=hidden'):
+        assert H.extract(f"<body><div {mark}><p>Some words of the article.</p></div>", []) == "Some words of the article."
+    assert H.extract('<body><a href="/hidden/y">gems</a> and words', []) == "gems and words"
+    for off in ("hidden", "HIDDEN", 'hidden=""', "aria-hidden='true'", "role=search"):
+        assert H.extract(f"<body><p>Words.</p><div {off}>gone</div>", []) == "Words."
+    page = """<article><h1>T</h1><section id="discussion"><h2 id="related-work">Related work</h2><p>One two.</p></section><div class="search-results-article">
+    Three.</div><section id="social-history"><p class="notice">Four.</p></section><div class="related-posts">x</div><ul class="share-buttons"><li>y</ul>
+    <div id="cookie-notice">z</div></article>"""
+    assert H.extract(page, []) == "T Related work One two. Three. Four."
+
+
 def test_extraction_of_given_pages_equals_their_articles(spark):
     import html
 

@@ -150,6 +150,17 @@ def test_edited_and_partial_copies_repeated_very_often_are_found(spark):
     assert got[0, 0] == got[1, 1] == 1.0 and {round(got[i, 0], 2) for i in range(2, 1602)} == {0.71}
 
 
+def test_short_items_scripts_without_spaces_and_null_ids_are_searched(spark):
+    rng = random.Random(26)
+    noise = lambda n: " ".join(words(rng, n, 10**6))
+    han, thai = "今天的天气非常好我们一起去公园散步吧", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนกันเถอะ"
+    items = [(1, "Quixotic"), (2, "blue zebra"), (3, han), (4, thai), (None, "alpha beta gamma delta"), (None, "one two three four five"), (5, "naïve “coöperation” — façade")]
+    texts = [noise(9) + " quixotic, " + noise(4), "x Blue  zebra!", "前文。" + han[:8] + "，" + han[9:] + "后文", "ก" + thai + "ข",
+             noise(3) + " alpha beta gamma delta one two three four five", "naïve coöperation\u00a0façade", noise(30), "zebra blue 今天 วัน", ""]
+    got = sorted(((r.doc_id, r.item_id or 0) for r in matches(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (4, 0), (5, 5)]
+
+
 def test_decontamination_of_odd_rows(spark):
     df = odd(spark)
     bench = spark.createDataFrame([(1, "same text here now")], "item_id long, text string")

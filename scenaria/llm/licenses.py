@@ -6,12 +6,19 @@ hash-joined to the digests of the known licences; a match means that the whole t
 differences. The same is done for each line of a text, so that a licence notice of one line inside a longer text
 is found too.
 
+The known licences are the notices below and, by digest, the full texts in ``license_digests.csv`` (with and without the
+parts after the terms). Lines are digested only where they hold one of the signs: of each known text a word that its
+canonical form cannot do without.
+
 A null or blank text has the empty canonical form and matches nothing. Repeated rows are judged each. If two known
 texts are canonically equal, the smaller licence id is given.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +43,10 @@ COPYRIGHT = r"(?m)^[ \t>*/#-]*(?:[Cc]opyright|COPYRIGHT|\([cC]\)|©)[ \t]*(?:\([
 
 #: Everything but ASCII letters, digits and other scripts' characters; typographic spaces, dashes, quotes and bullets too.
 MARKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F\u00a0\u2010-\u2015\u2018-\u201f\u2022]+"
-#: A necessary sign of a known notice.
-SIGN = "(?i)licen[cs]e|permission|copyright"
+#: Full texts by digest: license_id, digest, sign.
+FULL = Path(__file__).with_name("license_digests.csv")
+#: More signs than this are not searched for; every line is digested then.
+MOST_SIGNS = 300
 
 
 def canonical(text: Column) -> Column:
@@ -55,18 +64,34 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def sign(canonical_text: Column) -> Column:
+    """A word that every text of this canonical form holds as it stands, whatever the case; null if there is none."""
+    made = sorted({w for _, b in SPELLINGS for w in b.split()})
+    own = F.filter(F.split(canonical_text, " "), lambda w: ~w.isin(made) & (w != ""))
+    return F.array_max(F.transform(own, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def license_ids(docs: DataFrame, known: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
     """(doc_id, digest, license_id, line_licenses): the licence that a document's whole text is, null if none, and
     the licences that lines of it are, sorted and comma-joined (empty if none)."""
     spark = docs.sparkSession
+    of_module = known is KNOWN
     if not isinstance(known, DataFrame):
         known = spark.createDataFrame(known, "license_id string, text string")
-    table = known.select("license_id", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    known = known.select("license_id", digest(F.col("text")).alias("digest"), sign(canonical(F.col("text"))).alias("sign"))
+    if of_module:
+        full = [tuple(x.split(",")) for x in FULL.read_text().splitlines()]
+        known = known.unionByName(spark.createDataFrame(full, "license_id string, digest string, sign string"))
+    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))  # a blank text is no licence
+    table = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    signs = [r.sign for r in known.select("sign").distinct().limit(MOST_SIGNS + 1).collect()]
+    holds = F.lit(True)
+    if None not in signs and len(signs) <= MOST_SIGNS:
+        holds = F.col("line").rlike("(?i)" + "|".join(sorted(map(re.escape, signs)))) if signs else F.lit(False)
     docs = id_text(docs)
     key = F.xxhash64("text").alias("text_key")
     # equal rows share one key, so repeated rows need no number of their own
-    lines = (docs.where(F.col("text").rlike(SIGN)).select("doc_id", key, F.explode(F.split("text", "\n")).alias("line"))
-             .where(F.col("line").rlike(SIGN)).select("doc_id", "text_key", digest(F.col("line")).alias("digest")))
+    lines = (docs.select("doc_id", key, F.explode(F.split("text", "\n")).alias("line")).where(holds).select("doc_id", "text_key", digest(F.col("line")).alias("digest")))
     found = (lines.join(table, "digest").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("k"))
              .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses")))
     whole = docs.select("doc_id", key, digest(F.col("text")).alias("digest")).join(table, "digest", "left")

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -185,6 +186,31 @@ def test_licenses_by_canonical_digest_and_sql(spark):
     assert license_ids(odd(spark)).count() == odd(spark).count() and license_ids(df.limit(0)).collect() == []
 
 
+def test_full_licence_texts_and_a_callers_own_notices_are_found(spark):
+    shipped = "/usr/share/common-licenses/"
+    names = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]
+    names = [x for x in names if os.path.exists(shipped + x[0])]
+    bsd = """Copyright (c) 2020, Some Body
+
+    Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution.
+    THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+    THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+    CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+    PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+    LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+    EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    texts = [bsd, *(open(shipped + f).read() for f, _ in names)]
+    got = {r.doc_id: r.license_id for r in license_ids(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["BSD-2-Clause", *(i for _, i in names)]
+    known = [("ARR", "All rights reserved."), ("0BSD", "SPDX: 0BSD"), ("CC0", "CC0 1.0 Universal"), ("PD", "Public domain"), ("L", "licence")]
+    notices = frame(spark, ["prose\n" + x.upper() + "\nmore" for _, x in known] + ["", "prose", "A\nLicense"])
+    got = {r.doc_id: r.line_licenses for r in license_ids(notices, known).collect()}
+    assert [got[i] for i in range(8)] == ["ARR", "0BSD", "CC0", "PD", "L", "", "", "L"]
+
+
 def test_trust_propagation_equals_matrices(spark):
     rng = np.random.default_rng(9)
     n = 30

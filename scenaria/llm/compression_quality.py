@@ -7,7 +7,8 @@ smaller size per byte (text that repeats itself shrinks to nothing under either)
 degree in both, fitted on other labelled texts and weighted to the labels' own balance, makes the score.
 
 Only the learning sample is bounded: at most ``per_label`` texts and ``sample_bytes`` bytes of each label, taken by
-smallest hash of the id. One half builds the dictionary, the other fits the curve. Every document is scored whole.
+smallest hash of the id. A text of more than ``sample_bytes`` / 64 characters is learned from by its first ones, so that a
+long text leaves room for others. One half builds the dictionary, the other fits the curve. Every document is scored whole.
 
 A label row without a document or with a null label is not used. A document with several label rows is
 learned from once for each. If a label has no text at all, every score is the share of label 1 with one
@@ -106,6 +107,7 @@ def learning_rows(labels: DataFrame, docs: DataFrame, per_label: int, sample_byt
         top = labels.where(F.col("quality") == q).orderBy(*order).limit(per_label)
         few = top if few is None else few.unionByName(top)
     size = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    docs = docs.withColumn("text", F.substring("text", 1, max(1, sample_bytes // 64)))  # at most a sixteenth in bytes
     return docs.join(F.broadcast(few), "doc_id").withColumn("so_far", size).where(F.col("so_far") <= sample_bytes).select("text", "quality")
 
 

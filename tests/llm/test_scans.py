@@ -101,6 +101,14 @@ def test_quality_of_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == df.count()
 
 
+def test_a_very_long_labelled_text_does_not_shut_out_its_label(spark):
+    rng = random.Random(36)
+    docs = frame(spark, [" ".join(words(rng, 4000 if i % 2 else 60)) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model, _ = Q.train(docs, labels, sample_bytes=8000)  # each text of label 1 is longer than the whole sample
+    assert model is not None
+
+
 def plain_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):

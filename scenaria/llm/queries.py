@@ -90,3 +90,17 @@ def op2(spark, sf_dir):
     from scenaria.llm.licenses import license_ids
 
     return license_ids(table(spark, sf_dir, "documents"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark, sf_dir):
+    from scenaria.llm.token_alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"))
+
+
+@query("op13_byte_bpe")
+def op13(spark, sf_dir):
+    from scenaria.llm.byte_tokens import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scenaria.llm.common import table
 from scenaria.llm.licenses import oracle_sql as license_sql
+from scenaria.llm.merkle import oracle_sql as merkle_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,6 +100,13 @@ def op11(spark, sf_dir):
     return alignment(table(spark, sf_dir, "documents"))
 
 
+@query("op12_merkle_manifest", merkle_sql())
+def op12(spark, sf_dir):
+    from scenaria.llm.merkle import tamper_report
+
+    return tamper_report(table(spark, sf_dir, "documents"))
+
+
 @query("op13_byte_bpe")
 def op13(spark, sf_dir):
     from scenaria.llm.byte_tokens import token_digests

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import store
+from scenaria.llm.common import discard, store
 
 WAYS = 16
 #: Levels of a block, and the leaves under it: a row of at most 262 KB for each level.
@@ -53,6 +53,7 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     keys = [F.col(group), *[F.col(c).asc_nulls_first() for c in order], F.col("tie")]
     rows = store(rows.withColumn("tie", F.monotonically_increasing_id()), name)  # ranges are drawn from a sample: read twice, not computed twice
     dealt = store(rows.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), f"{name}-dealt")
+    discard(rows)
     counts = dealt.groupBy(group, "part").agg(F.count("*").alias("m"))
     whole, before = Window.partitionBy(group), Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(group, "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(whole).alias("n"))
@@ -64,14 +65,17 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
 def _parents(level: Column) -> Column:
     """The level above a string of digests."""
     runs = F.sequence(F.lit(0), F.floor((F.length(level) - 1) / (WAYS * WIDTH)).cast("int"))
-    return F.array_join(F.transform(runs, lambda i: F.sha2(F.substr(level, i * (WAYS * WIDTH) + 1, F.lit(WAYS * WIDTH)), 256)), "")
+    return F.array_join(F.transform(runs, lambda i: F.sha2(_run(level, i), 256)), "")
 
 
-def _siblings(level: Column, i: Column) -> Column:
-    """The digests left and right of node ``i`` in its run."""
-    left = F.pmod(i, F.lit(WAYS))
-    return F.struct(F.substr(level, (i - left) * WIDTH + 1, left * WIDTH).alias("left"),
-                    F.substr(level, (i + 1) * WIDTH + 1, (F.lit(WAYS - 1) - left) * WIDTH).alias("right"))
+def _run(level: Column, i: Column) -> Column:
+    """Run ``i`` of a level."""
+    return F.substr(level, i * (WAYS * WIDTH) + 1, F.lit(WAYS * WIDTH))
+
+
+def _siblings(run: Column, place: Column) -> Column:
+    """The digests left and right of a place in its run."""
+    return F.struct(F.substr(run, F.lit(1), place * WIDTH).alias("left"), F.substr(run, (place + 1) * WIDTH + 1, F.lit(WAYS * WIDTH)).alias("right"))
 
 
 def _blocks(nodes: DataFrame, carried: list[str], name: str) -> DataFrame:
@@ -102,11 +106,16 @@ def _climb(nodes: DataFrame, carried: list[str], name: str) -> tuple[list[DataFr
 def _paths(rounds: list[DataFrame], upper: DataFrame, name: str) -> DataFrame:
     """The nodes of the first round, with ``path``; ``upper`` is the path (g, above, further columns) above each group."""
     def opened(blocks: DataFrame) -> DataFrame:
-        steps = [F.when(F.col("n") > WAYS**k, _siblings(F.col(f"level{k}"), F.floor(F.col("item.place") / WAYS**k).cast("int"))) for k in range(LEVELS)]
-        own = F.filter(F.array(*steps), lambda s: s.isNotNull())
+        # first the runs, then their nodes: no row but a block's own holds a whole level
         rest = [c for c in blocks.columns if c not in {"items", "n", "top", *[f"level{k}" for k in range(LEVELS)]}]
-        kept = blocks.select(*rest, "n", *[f"level{k}" for k in range(LEVELS)], F.explode("items").alias("item"))
-        return kept.select(*[c for c in rest if c != "above"], "item", F.concat(own, "above").alias("path"))
+        count = F.ceil(F.size("items") / WAYS).cast("int")
+        runs = blocks.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("run"))
+        runs = runs.select(*rest, "n", "run", F.slice("items", F.col("run") * WAYS + 1, F.lit(WAYS)).alias("items"),
+                           *[_run(F.col(f"level{k}"), F.floor(F.col("run") / WAYS**k).cast("int")).alias(f"run{k}") for k in range(LEVELS)])
+        nodes = runs.select(*rest, "n", *[f"run{k}" for k in range(LEVELS)], F.explode("items").alias("item"))
+        steps = [F.when(F.col("n") > WAYS**k, _siblings(F.col(f"run{k}"), F.floor(F.col("item.place") / WAYS**k).cast("int") % WAYS)) for k in range(LEVELS)]
+        own = F.filter(F.array(*steps), lambda s: s.isNotNull())
+        return nodes.select(*[c for c in rest if c != "above"], "item", F.concat(own, "above").alias("path"))
     further = [c for c in upper.columns if c not in ("g", "above")]
     above = upper
     for k in range(len(rounds) - 1, -1, -1):

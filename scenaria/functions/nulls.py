@@ -5,8 +5,8 @@ Spark's aggregates skip nulls. The panels we reproduce use two rules and every j
 * strict   — any null input makes the group result null (``sum(x)`` without ``na.rm``).
 * skip-null sum — nulls are skipped and an all-null group sums to 0 (``sum(x, na.rm = TRUE)``).
 
-All helpers are ordinary aggregate expressions, so they keep partial (map-side) aggregation and work
-both in ``groupBy().agg`` and over a window.
+Sums and means do not depend on the order of the rows (``functions.exact``). All helpers are aggregate expressions with
+partial (map-side) aggregation for ``groupBy().agg`` and grouping sets.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scenaria.functions.exact import exact_sum
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -28,13 +30,12 @@ def strict(agg: Callable[[Column], Column], c: str | Column) -> Column:
 
 
 def strict_sum(c: str | Column) -> Column:
-    return strict(F.sum, c)
+    return strict(exact_sum, c)
 
 
 def strict_mean(c: str | Column) -> Column:
-    # sum / count rather than avg: one division of the (often exact) sum, the same in every engine.
     c = _col(c)
-    return F.when(F.count(F.lit(1)) == F.count(c), F.try_divide(F.sum(c), F.count(c)))
+    return F.when(F.count(F.lit(1)) == F.count(c), F.try_divide(exact_sum(c), F.count(c)))
 
 
 def strict_min(c: str | Column) -> Column:
@@ -46,4 +47,4 @@ def strict_max(c: str | Column) -> Column:
 
 
 def skipna_sum(c: str | Column) -> Column:
-    return F.coalesce(F.sum(_col(c)), F.lit(0.0))
+    return F.coalesce(exact_sum(c), F.lit(0.0))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenaria.functions.exact import exact_mean
+from scenaria.operators.scan import ranked
+
 
 def sort_asc(df: DataFrame, *cols: str) -> DataFrame:
     """``arrange(c)``: ascending, nulls last."""
@@ -28,15 +31,13 @@ def as_levels(df: DataFrame, column: str, levels: Sequence[str], rank_col: str |
 
 def order_by_stat(df: DataFrame, category: str, value: str, rank_col: str = "order_rank",
                   descending_value: bool = True) -> DataFrame:
-    """``reorder(cat, -x)``: categories ranked by the mean of ``-x`` (ties by name); rank joined back.
+    """``reorder(cat, -x)``: categories ranked by the mean of ``-x`` (ties by name, null means and names last); rank joined back.
 
-    The ranking runs over the per-category aggregate, whose size is the number of categories.
+    The mean does not depend on the order of rows, and the categories are ranked over ranges (``operators.scan``), so that
+    neither a category nor their list lies in one task. ``df`` is read twice: store it if it is dear.
     """
     sign = -1.0 if descending_value else 1.0
-    stat = df.groupBy(category).agg(F.avg(F.col(value) * F.lit(sign)).alias("_stat"))
-    from pyspark.sql import Window
-
-    ranked = stat.withColumn(
-        rank_col, F.row_number().over(Window.orderBy(F.col("_stat").asc_nulls_last(), F.col(category)))
-    ).drop("_stat")
-    return df.join(ranked, category, "left")
+    stat = df.groupBy(category).agg(exact_mean(F.col(value) * F.lit(sign)).alias("_stat"))
+    rank = ranked(stat, [F.col("_stat").asc_nulls_last(), F.col(category).asc_nulls_last()], rank_col)
+    rank = rank.select(F.col(category).alias("_cat"), F.col(rank_col).cast("int").alias(rank_col))
+    return df.join(rank, df[category].eqNullSafe(rank["_cat"]), "left").drop("_cat")

@@ -9,10 +9,11 @@ Semantics (R's ``approx(x, y, xout = min(x):max(x))`` defaults):
 * a series with fewer than two non-null knots cannot be interpolated; all its years are null
   (R stops with an error; ``knot_count`` reports such series).
 
-Plan: one grouped average over (series, year) collapses tied knots, so each series holds at most one row
-per distinct year. The windows that find the previous and next non-null knot are partitioned by series
-key and therefore bounded by the number of years, whatever the skew of the input. Years between two
-rows are produced by ``explode(sequence(...))``; everything stays in JVM expressions.
+Plan: one grouped mean over (series, year) collapses tied knots (order-independent, ``functions.exact``). The knots are dealt by
+(series, year) to ranges, so that a long series is spread over tasks: the windows that find the knots on both sides run
+inside (range, series), and the last known knot before a range and the first one after it come from one summary row for each
+(range, series) (``operators.scan``). Years between two rows are produced by ``explode(sequence(...))``; everything stays in
+JVM expressions.
 """
 
 from __future__ import annotations
@@ -22,21 +23,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenaria.functions.exact import exact_mean
+from scenaria.operators.scan import RANGE, after, before, carried, dealt, whole
 
-def interpolate_linear(df: DataFrame, keys: Sequence[str], x: str, y: str, knot_count: str | None = None) -> DataFrame:
+
+def interpolate_linear(df: DataFrame, keys: Sequence[str], x: str, y: str, knot_count: str | None = None,
+                       partitions: int | None = None) -> DataFrame:
     keys = list(keys)
-    knots = df.groupBy(*keys, x).agg(F.avg(y).alias(y))  # ties averaged; all-null year stays null
-    w_all = Window.partitionBy(*keys)
-    w_upto = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_after = Window.partitionBy(*keys).orderBy(x).rowsBetween(1, Window.unboundedFollowing)
-    w_next = Window.partitionBy(*keys).orderBy(x)
     knot = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("kx"), F.col(y).alias("ky")))
+    knots = df.groupBy(*keys, x).agg(exact_mean(y).alias(y))  # ties averaged; an all-null year stays null
+    knots = dealt(knots.withColumn("_k", knot), [*[F.col(k) for k in keys], F.col(x)], "knots", partitions)
+    knots = carried(
+        knots, keys,
+        {"_n": F.count(y), "_first_x": F.min(x), "_first": F.min("_k"), "_last": F.max("_k")},  # structs order by year
+        {"_all": F.sum("_n").over(whole(keys)), "_after_x": F.last("_first_x").over(after(keys)),
+         "_before": F.last("_last", ignorenulls=True).over(before(keys)), "_after": F.last("_first", ignorenulls=True).over(after(keys))})
+    w = Window.partitionBy(RANGE, *keys).orderBy(x)
+    w_upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what follows is read backwards: a frame to the end would be gone through once for each row
+    w_after = Window.partitionBy(RANGE, *keys).orderBy(F.col(x).desc()).rowsBetween(Window.unboundedPreceding, -1)
     staged = knots.select(
-        *keys, x, y,
-        F.count(y).over(w_all).alias("_n"),
-        F.last(knot, ignorenulls=True).over(w_upto).alias("_p"),
-        F.first(knot, ignorenulls=True).over(w_after).alias("_q"),
-        F.lead(x).over(w_next).alias("_next_x"),
+        *keys, x, y, F.col("_all").alias("_n"),
+        F.coalesce(F.last("_k", ignorenulls=True).over(w_upto), "_before").alias("_p"),
+        F.coalesce(F.last("_k", ignorenulls=True).over(w_after), "_after").alias("_q"),
+        F.coalesce(F.lead(x).over(w), "_after_x").alias("_next_x"),
     )
     last_t = F.coalesce(F.col("_next_x") - F.lit(1), F.col(x))
     grid = staged.select("*", F.explode(F.sequence(F.col(x), last_t)).alias("_t"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenaria.functions.nulls import skipna_sum, strict_sum
 from scenaria.operators.aggregate import attach_group_stat
+from scenaria.operators.scan import running_sum
 
 
 def attach_net(df: DataFrame, group: str, value: str, out: str = "net") -> DataFrame:
@@ -35,12 +36,10 @@ def stack_offsets(df: DataFrame, bar: Sequence[str], level_rank: str, value: str
     """Offsets of stacked bars: positives stack upwards and negatives downwards, separately; the
     lowest level rank sits on top (farthest from zero), as in the default stacking of bar charts.
 
-    Input rows are chart rows (one per bar and fill level), so the window partitions are bar-sized.
+    The running totals are exact but for one rounding, and a bar of many rows is spread over tasks (``operators.scan``).
     """
-    sign = F.when(F.col(value) < 0, F.lit(-1)).otherwise(F.lit(1))
-    w = (Window.partitionBy(*bar, "_sign").orderBy(F.col(level_rank).desc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df.withColumn("_sign", sign).withColumn("_cum", F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(w))
+    signed = df.withColumn("_sign", F.when(F.col(value) < 0, F.lit(-1)).otherwise(F.lit(1)))
+    out = running_sum(signed, [*bar, "_sign"], [F.col(level_rank).desc_nulls_first()], F.coalesce(F.col(value), F.lit(0.0)), "_cum")
     return (
         out.withColumn(hi, F.when(F.col("_sign") > 0, F.col("_cum")).otherwise(F.col("_cum") - F.col(value)))
         .withColumn(lo, F.when(F.col("_sign") > 0, F.col("_cum") - F.col(value)).otherwise(F.col("_cum")))

@@ -1,19 +1,17 @@
 """Registered queries: one per operator / result table, each with the SQL statement of the same result.
 
-Every query reads the driver's tables (through ``bindings``) and runs over whole tables. Columns that
-come from order-dependent floating sums (means of non-integer values) are rounded half-up to 9
-significant digits at the end (``rnd_sig``), with the same formula on both sides; all money sums are exact (cents).
+Every query reads the driver's tables (through ``bindings``) and runs over whole tables. Sums and means do not depend on the
+order of rows (``functions.exact``), on both sides, so results are compared bit for bit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenaria.functions.arith import rnd_sig
 from scenaria.plans import bindings as B
 from scenaria.plans import gdp as G
 from scenaria.plans import investment as I
@@ -26,30 +24,21 @@ from scenaria.plans import stimulus as S
 class Entry:
     build: Callable[[SparkSession, str], DataFrame]
     sql: O.Stmt | str | None
-    round_cols: Sequence[str] = field(default_factory=tuple)
-    sig: int = 8
 
     def run(self, spark: SparkSession, d: str) -> DataFrame:
-        df = self.build(spark, d)
-        if self.round_cols:
-            df = df.withColumns({c: rnd_sig(F.col(f"`{c}`"), self.sig) for c in self.round_cols})
-        return df
+        return self.build(spark, d)
 
     def oracle(self) -> str | None:
-        if self.sql is None:
-            return None
-        text = self.sql.render() if isinstance(self.sql, O.Stmt) else self.sql
-        return O.rounded(text, self.round_cols, self.sig) if self.round_cols else text
+        return self.sql.render() if isinstance(self.sql, O.Stmt) else self.sql
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(key: str, sql, round_cols: Sequence[str] = ()):
-    """Register a query; ``round_cols`` come from order-dependent float sums and are rounded to 8
-    significant digits on both sides."""
+def register(key: str, sql):
+    """Register a query with the SQL statement of the same result."""
     def deco(fn):
-        REGISTRY[key] = Entry(fn, sql, tuple(round_cols))
+        REGISTRY[key] = Entry(fn, sql)
         return fn
     return deco
 
@@ -71,7 +60,7 @@ def q_stimulus_components(spark, d):
   FROM (SELECT l.stimulus, CASE WHEN l.country_code = 'EU' THEN 'High income' ELSE i.incomegroup END AS incomegroup
         FROM stim_long l LEFT JOIN income_dim i ON l.country_code = i.countrycode) j GROUP BY incomegroup) a
 CROSS JOIN (SELECT CASE WHEN count(*) = count(stimulus) THEN sum(stimulus) END AS g FROM stim_long) t""",
-                                      ["stim_long", "income_dim"]), ("share",))
+                                      ["stim_long", "income_dim"]))
 def q_stimulus_by_income(spark, d):
     return S.stimulus_by_income(B.stim_long(spark, d), B.income_dim(spark, d))
 
@@ -144,12 +133,12 @@ def q_investment_two_sector(spark, d):
     return B.invest(spark, d)
 
 
-@register("shift_annual", O.sql("SELECT * FROM shift_annual", ["shift_annual"]), ("1.5C", "CPol", "shift", "net"))
+@register("shift_annual", O.sql("SELECT * FROM shift_annual", ["shift_annual"]))
 def q_shift_annual(spark, d):
     return B.shift(spark, d, "mean")
 
 
-@register("shift_five_year", O.sql("SELECT * FROM shift_5y", ["shift_5y"]), ("1.5C", "CPol", "shift", "net"))
+@register("shift_five_year", O.sql("SELECT * FROM shift_5y", ["shift_5y"]))
 def q_shift_five_year(spark, d):
     return B.shift(spark, d, "sum")
 
@@ -164,7 +153,7 @@ O.cte("envelope", ["envelope_s1"], f"""SELECT scenario, region, variable, annual
   FROM envelope_s1 WHERE has_anchor = 1 GROUP BY 1, 2, 3) t WHERE has_rep = 1""")
 
 
-@register("investment_envelope", O.sql("SELECT * FROM envelope", ["envelope"]), ("annual", "annual_max", "annual_min"))
+@register("investment_envelope", O.sql("SELECT * FROM envelope", ["envelope"]))
 def q_investment_envelope(spark, d):
     return I.investment_envelope(B.invest(spark, d), 1995, 1999, 1995, B.ANCHOR)
 
@@ -172,8 +161,7 @@ def q_investment_envelope(spark, d):
 O.two_stage_sql("total_invest", 1995, 1999, 1995, "sum", "total", ("1.5C", "CPol"))
 
 
-@register("investment_total", O.sql("SELECT scenario, region, variable, total FROM total_invest", ["total_invest"]),
-          ("total",))
+@register("investment_total", O.sql("SELECT scenario, region, variable, total FROM total_invest", ["total_invest"]))
 def q_investment_total(spark, d):
     return I.investment_total(B.invest(spark, d), 1995, 1999, 1995, B.ANCHOR)
 
@@ -202,7 +190,7 @@ def q_gdp_by_country(spark, d):
   s.country, s.total, x.iso3 AS country_code, g.gdp, (s.total / g.gdp) * 1e11 AS gdp_share
 FROM (SELECT *, general_spending + health_sector_spending + liquidity_support AS total FROM stim_s1) s
 LEFT JOIN (SELECT lower(trim(country_name)) AS nm, min(iso3) AS iso3 FROM xwalk GROUP BY 1) x ON lower(trim(s.country)) = x.nm
-LEFT JOIN gdp_country g ON g.country_code = x.iso3""", ["stim_s1", "xwalk", "gdp_country"]), ("gdp_share",))
+LEFT JOIN gdp_country g ON g.country_code = x.iso3""", ["stim_s1", "xwalk", "gdp_country"]))
 def q_stimulus_gdp_table(spark, d):
     return SH.stimulus_gdp_table(B.stim_s1(spark, d), B.xwalk(spark, d), B.gdp_country(spark, d))
 
@@ -211,7 +199,7 @@ def q_stimulus_gdp_table(spark, d):
 FROM (SELECT country_code, CASE WHEN count(*) = count(stimulus) THEN sum(stimulus) END AS total_stim
       FROM stim_long GROUP BY 1) t
 JOIN (SELECT country_code, arg_min(region, component) AS region FROM stim_long GROUP BY 1) r USING (country_code)
-LEFT JOIN gdp_country g USING (country_code)""", ["stim_long", "gdp_country"]), ("pct_gdp",))
+LEFT JOIN gdp_country g USING (country_code)""", ["stim_long", "gdp_country"]))
 def q_stimulus_gdp_share(spark, d):
     return SH.stimulus_gdp_share(B.stim_long(spark, d), B.gdp_country(spark, d))
 
@@ -233,17 +221,17 @@ O.cte("shift_prep", ["shift_annual", "gdp_master"], _shift_prep_sql("shift_annua
 O.cte("shift_prep_5y", ["shift_5y", "gdp_master"], _shift_prep_sql("shift_5y", "Investment shift (5 years)"))
 
 
-@register("stimulus_prep", O.sql("SELECT * FROM stim_prep", ["stim_prep"]), ("pct_gdp",))
+@register("stimulus_prep", O.sql("SELECT * FROM stim_prep", ["stim_prep"]))
 def q_stimulus_prep(spark, d):
     return SH.stimulus_prep(B.stim_master(spark, d), B.gdp_master(spark, d), B.scenarios(spark))
 
 
-@register("shift_prep", O.sql("SELECT * FROM shift_prep", ["shift_prep"]), ("avg_invest", "pct_gdp"))
+@register("shift_prep", O.sql("SELECT * FROM shift_prep", ["shift_prep"]))
 def q_shift_prep(spark, d):
     return SH.shift_prep(B.shift(spark, d, "mean"), B.gdp_master(spark, d), B.scenarios(spark))
 
 
-@register("shift_prep_5y", O.sql("SELECT * FROM shift_prep_5y", ["shift_prep_5y"]), ("avg_invest", "pct_gdp"))
+@register("shift_prep_5y", O.sql("SELECT * FROM shift_prep_5y", ["shift_prep_5y"]))
 def q_shift_prep_5y(spark, d):
     return SH.shift_prep(B.shift(spark, d, "sum"), B.gdp_master(spark, d), B.scenarios(spark),
                          "Investment shift (5 years)")
@@ -265,18 +253,19 @@ FROM (
 ) u WHERE scenario = '1.5C'""")
 
 
+@B._memo
 def _gdp_shares(spark, d):
-    """Figure-1 table; the investment, region and GDP bases are built once and shared by all branches."""
+    """Figure-1 table, stored once (result-sized): the charts and orderings read it."""
     inv = B.invest(spark, d)
     gm = B.gdp_master(spark, d)
     sc = B.scenarios(spark)
     energy = I.energy_average(inv, 1995, 2000, 1995, B.ANCHOR)
-    return SH.gdp_shares(energy, gm, SH.stimulus_prep(B.stim_master(spark, d), gm, sc),
+    return B._materialize(SH.gdp_shares(energy, gm, SH.stimulus_prep(B.stim_master(spark, d), gm, sc),
                          SH.shift_prep(B.shift(spark, d, "mean"), gm, sc),
-                         SH.shift_prep(B.shift(spark, d, "sum"), gm, sc, "Investment shift (5 years)"))
+                         SH.shift_prep(B.shift(spark, d, "sum"), gm, sc, "Investment shift (5 years)")), "gdp-shares")
 
 
-@register("gdp_shares", O.sql("SELECT * FROM gdp_shares", ["gdp_shares"]), ("avg_invest", "pct_gdp"))
+@register("gdp_shares", O.sql("SELECT * FROM gdp_shares", ["gdp_shares"]))
 def q_gdp_shares(spark, d):
     return _gdp_shares(spark, d)
 
@@ -305,7 +294,7 @@ def q_map_gdp(spark, d):
   FROM (SELECT l.country_code, l.component, l.stimulus, m.region, g.gdp
         FROM stim_long l LEFT JOIN (SELECT DISTINCT country_code, region FROM map_dim) m ON l.country_code = m.country_code
         LEFT JOIN gdp_country g ON l.country_code = g.country_code) j) t""",
-                                         ["stim_long", "map_dim", "gdp_country"]), ("pct_gdp",))
+                                         ["stim_long", "map_dim", "gdp_country"]))
 def q_map_region_stimulus(spark, d):
     return SH.map_region_stimulus(B.stim_long(spark, d), B.map_dim(spark, d), B.gdp_country(spark, d))
 
@@ -313,7 +302,7 @@ def q_map_region_stimulus(spark, d):
 O.cte("spread_per_model", ["invest"], f"""SELECT region, variable, model, scenario, {O.strict_mean('investment')} AS annual_avg
 FROM invest GROUP BY 1, 2, 3, 4 HAVING max(CASE WHEN year = 1995 THEN 1 ELSE 0 END) = 1""")
 O.cte("model_spread", ["spread_per_model"], f"""SELECT model, region, variable, year, "1.5C", "CPol", shift,
-  CASE WHEN count(*) OVER w = count(shift) OVER w THEN sum(shift) OVER w / count(shift) OVER w END AS mean_shift,
+  CASE WHEN count(*) OVER w = count(shift) OVER w THEN {O.exact_mean('shift', ' OVER w')} END AS mean_shift,
   CASE WHEN count(*) OVER w = count(shift) OVER w THEN max(shift) OVER w END AS max_shift,
   CASE WHEN count(*) OVER w = count(shift) OVER w THEN min(shift) OVER w END AS min_shift
 FROM (SELECT region, variable, model, 1995 AS year, max(CASE WHEN scenario = '1.5C' THEN annual_avg END) AS "1.5C",
@@ -323,8 +312,7 @@ FROM (SELECT region, variable, model, 1995 AS year, max(CASE WHEN scenario = '1.
 WINDOW w AS (PARTITION BY region, variable)""")
 
 
-@register("model_spread_shift", O.sql("SELECT * FROM model_spread", ["model_spread"]),
-          ("1.5C", "CPol", "shift", "mean_shift", "max_shift", "min_shift"))
+@register("model_spread_shift", O.sql("SELECT * FROM model_spread", ["model_spread"]))
 def q_model_spread_shift(spark, d):
     return I.model_spread_shift(B.invest(spark, d), 1995)
 

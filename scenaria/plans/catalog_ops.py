@@ -249,7 +249,7 @@ O.two_stage_sql("part_anchor", 1995, 1999, 1995, "mean", src="invest_part_anchor
 
 
 @register("filter_anchor_member", O.sql("""SELECT region, variable, scenario, year, m AS member_mean FROM part_anchor_s1
-WHERE has_anchor = 1""", ["part_anchor_s1"]), ("member_mean",))
+WHERE has_anchor = 1""", ["part_anchor_s1"]))
 def q_filter_anchor_member(spark, d):
     """The anchor model has no rows in one region, whose groups drop out."""
     inv = B.invest(spark, d).filter(F.col("year").between(1995, 1999) & ~((F.col("model") == B.ANCHOR) & (F.col("region") == "ASIA")))
@@ -257,7 +257,7 @@ def q_filter_anchor_member(spark, d):
         "member_mean", "member_mean")
 
 
-@register("filter_repr_year", O.sql("SELECT region, variable, scenario, value FROM stage_mean", ["stage_mean"]), ("value",))
+@register("filter_repr_year", O.sql("SELECT region, variable, scenario, value FROM stage_mean", ["stage_mean"]))
 def q_filter_repr_year(spark, d):
     inv = B.invest(spark, d).filter(F.col("year").between(1995, 1999))
     return A.two_stage(inv, _INV_KEYS, "year", "model", "investment", B.ANCHOR, 1995)
@@ -355,12 +355,12 @@ O.two_stage_sql("mm_full", 1995, 2000, 1995, "mean")
 O.two_stage_sql("sm_full", 1995, 2000, 1995, "sum")
 
 
-@register("agg_mean_of_mean", O.sql("SELECT * FROM mm_full", ["mm_full"]), ("value",))
+@register("agg_mean_of_mean", O.sql("SELECT * FROM mm_full", ["mm_full"]))
 def q_agg_mean_of_mean(spark, d):
     return A.two_stage(B.invest(spark, d), _INV_KEYS, "year", "model", "investment", B.ANCHOR, 1995, "mean", "mean")
 
 
-@register("agg_sum_of_mean", O.sql("SELECT * FROM sm_full", ["sm_full"]), ("value",))
+@register("agg_sum_of_mean", O.sql("SELECT * FROM sm_full", ["sm_full"]))
 def q_agg_sum_of_mean(spark, d):
     return A.two_stage(B.invest(spark, d), _INV_KEYS, "year", "model", "investment", B.ANCHOR, 1995, "mean", "sum")
 
@@ -374,14 +374,14 @@ O.cte("env_full", ["env_full_s1"], f"""SELECT region, variable, scenario, annual
   FROM env_full_s1 WHERE has_anchor = 1 GROUP BY 1, 2, 3) t WHERE has_rep = 1""")
 
 
-@register("agg_envelope", O.sql("SELECT * FROM env_full", ["env_full"]), ("annual", "annual_max", "annual_min"))
+@register("agg_envelope", O.sql("SELECT * FROM env_full", ["env_full"]))
 def q_agg_envelope(spark, d):
     return A.envelope(B.invest(spark, d), _INV_KEYS, "year", "model", "investment", B.ANCHOR, 1995)
 
 
 @register("agg_share_of_total", O.sql(f"""SELECT component, group_sum, g AS global, group_sum / g AS share FROM (
   SELECT component, {O.strict('sum', 'stimulus')} AS group_sum FROM stim_long GROUP BY component) a
-CROSS JOIN (SELECT {O.strict('sum', 'stimulus')} AS g FROM stim_long) t""", ["stim_long"]), ("share",))
+CROSS JOIN (SELECT {O.strict('sum', 'stimulus')} AS g FROM stim_long) t""", ["stim_long"]))
 def q_agg_share_of_total(spark, d):
     return A.share_of_total(B.stim_long(spark, d), "component", "stimulus")
 
@@ -406,7 +406,7 @@ FROM spread_per_model GROUP BY 1, 2, 3""")
 
 @register("agg_spread_summary", O.sql(f"""SELECT region, variable, {O.strict('min', 'shift')} AS ymin,
   {O.strict('max', 'shift')} AS ymax, {O.strict_mean('shift')} AS y FROM model_spread_raw GROUP BY 1, 2""",
-                                      ["model_spread_raw"]), ("ymin", "ymax", "y"))
+                                      ["model_spread_raw"]))
 def q_agg_spread_summary(spark, d):
     ms = I.model_spread_shift(B.invest(spark, d), 1995)
     return A.spread_summary(ms, ["region", "variable"], "shift").drop("summary")
@@ -426,8 +426,8 @@ def q_win_global_stat(spark, d):
     return A.attach_global_stat(B.stim_long(spark, d), {"world": strict_sum("stimulus")})
 
 
-@register("win_net", O.sql("""SELECT *, CASE WHEN count(*) OVER w = count(total) OVER w THEN sum(total) OVER w END AS net
-FROM total_invest WINDOW w AS (PARTITION BY region, scenario)""", ["total_invest"]), ("total", "net"))
+@register("win_net", O.sql(f"""SELECT *, CASE WHEN count(*) OVER w = count(total) OVER w THEN {O.exact_sum('total', ' OVER w')} END AS net
+FROM total_invest WINDOW w AS (PARTITION BY region, scenario)""", ["total_invest"]))
 def q_win_net(spark, d):
     tot = I.investment_total(B.invest(spark, d), 1995, 1999, 1995, B.ANCHOR)
     return A.attach_group_stat(tot, ["region", "scenario"], {"net": strict_sum("total")})
@@ -448,12 +448,11 @@ def q_win_two_grains(spark, d):
                                "stimulus", "total_reg")
 
 
-def _stack_sql(src: str, bar: str, rank: str, value: str) -> str:
+def _stack_sql(src: str, bar: str, rank: str, value: str, grid: int = O.GRID) -> str:
     """Stacked-bar offsets in SQL (same rule as ``stack_offsets``)."""
     return f"""SELECT *, CASE WHEN sgn > 0 THEN cum ELSE cum - {value} END AS ymax,
   CASE WHEN sgn > 0 THEN cum - {value} ELSE cum END AS ymin FROM (
-  SELECT *, sum(coalesce({value}, 0.0)) OVER (PARTITION BY {bar}, sgn ORDER BY {rank} DESC NULLS FIRST
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM (
+  SELECT *, {O.exact_sum(f"coalesce({value}, 0.0)", f" OVER (PARTITION BY {bar}, sgn ORDER BY {rank} DESC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", grid)} AS cum FROM (
     SELECT *, CASE WHEN {value} < 0 THEN -1 ELSE 1 END AS sgn FROM ({src}) s0) s1) s2"""
 
 
@@ -482,8 +481,8 @@ def q_sort_asc(spark, d):
     return OR.sort_asc(B.stim_master(spark, d), "region", "component")
 
 
-@register("order_by_stat", O.sql("""SELECT invest_type, CAST(row_number() OVER (ORDER BY s, invest_type) AS INTEGER) AS order_rank FROM (
-  SELECT invest_type, avg(-pct_gdp) AS s FROM gdp_shares GROUP BY invest_type) t""", ["gdp_shares"]))
+@register("order_by_stat", O.sql(f"""SELECT invest_type, CAST(row_number() OVER (ORDER BY s, invest_type) AS INTEGER) AS order_rank FROM (
+  SELECT invest_type, {O.exact_mean('-pct_gdp')} AS s FROM gdp_shares GROUP BY invest_type) t""", ["gdp_shares"]))
 def q_order_by_stat(spark, d):
     from scenaria.plans.catalog import _gdp_shares
     gs = _gdp_shares(spark, d)
@@ -543,7 +542,7 @@ def q_str_strip_percent(spark, d):
 
 @register("num_arith", O.sql("""SELECT country_code, total - (((deferrals + health) + loans_guarantees) + non_health) AS residual,
   (total - (((deferrals + health) + loans_guarantees) + non_health)) / 2 AS half_residual,
-  CASE WHEN total = 0 THEN NULL ELSE health / total END AS health_ratio FROM stim_wide""", ["stim_wide"]), ("health_ratio",))
+  CASE WHEN total = 0 THEN NULL ELSE health / total END AS health_ratio FROM stim_wide""", ["stim_wide"]))
 def q_num_arith(spark, d):
     w = B.stim_wide(spark, d)
     resid = F.col("total") - (F.col("deferrals") + F.col("health") + F.col("loans_guarantees") + F.col("non_health"))
@@ -552,8 +551,7 @@ def q_num_arith(spark, d):
 
 
 @register("num_pct_of", O.sql("""SELECT l.country_code, l.component, (l.stimulus / g.gdp) * 100.0 AS pct
-FROM stim_long l LEFT JOIN gdp_country g ON l.country_code = g.country_code""", ["stim_long", "gdp_country"]),
-          ("pct",))
+FROM stim_long l LEFT JOIN gdp_country g ON l.country_code = g.country_code""", ["stim_long", "gdp_country"]))
 def q_num_pct_of(spark, d):
     j = B.stim_long(spark, d).join(B.gdp_country(spark, d), "country_code", "left")
     return j.select("country_code", "component", pct_of("stimulus", "gdp").alias("pct"))
@@ -609,7 +607,7 @@ def q_column_to_row(spark, d):
 
 
 @register("pivot_difference", O.sql("""SELECT region, variable, "1.5C", "CPol", shift FROM shift_annual""",
-                                    ["shift_annual"]), ("1.5C", "CPol", "shift"))
+                                    ["shift_annual"]))
 def q_pivot_difference(spark, d):
     inv = B.invest(spark, d).filter(F.col("year").between(1995, 1999))
     st = A.two_stage(inv, _INV_KEYS, "year", "model", "investment", B.ANCHOR, 1995)
@@ -639,7 +637,7 @@ FROM gdp_knots""")
        WHEN px IS NOT NULL AND qx IS NOT NULL THEN py + (qy - py) * (CAST(t - px AS DOUBLE) / CAST(qx - px AS DOUBLE))
   END AS DOUBLE) AS gdp, n AS knots
 FROM (SELECT *, unnest(generate_series(year, coalesce(next_x - 1, year))) AS t FROM gdp_interp_staged) g""",
-                                         ["gdp_interp_staged"]), ("gdp",))
+                                         ["gdp_interp_staged"]))
 def q_ts_interpolate_linear(spark, d):
     gw = B.gdp_wide(spark, d).filter(F.col("country_code") != "WLD")
     # a knot every second year holds the sum of its two years, so that every year counts
@@ -661,9 +659,9 @@ _REG1 = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDEAST", "World")
 _INV_ECON = ("ASIA", "EUROPE")
 
 
-def _stacked(src: str, bar: str, needs, level_case: str, value: str = "value") -> O.Stmt:
+def _stacked(src: str, bar: str, needs, level_case: str, value: str = "value", grid: int = O.GRID) -> O.Stmt:
     inner = f"SELECT *, {level_case} AS level_rank FROM ({src}) z"
-    return O.sql(_drop_sgn(_stack_sql(inner, bar, "level_rank", value)), needs)
+    return O.sql(_drop_sgn(_stack_sql(inner, bar, "level_rank", value, grid)), needs)
 
 
 _SECTOR_CASE = "CASE WHEN variable = 'Fossil fuels' THEN 1 WHEN variable = 'Low carbon sources' THEN 2 END"
@@ -694,19 +692,19 @@ def _fig_inv_sql(regions):
     return _stacked(src, "scenario, region", ["shift_annual"], _SECTOR_CASE)
 
 
-@register("fig_investment_regions", _fig_inv_sql(_REG1), ("value", "ymin", "ymax"))
+@register("fig_investment_regions", _fig_inv_sql(_REG1))
 def q_fig_investment_regions(spark, d):
     return FG.fig_investment(B.shift(spark, d, "mean"), _REG1)
 
 
-@register("fig_investment_economies", _fig_inv_sql(_INV_ECON), ("value", "ymin", "ymax"))
+@register("fig_investment_economies", _fig_inv_sql(_INV_ECON))
 def q_fig_investment_economies(spark, d):
     return FG.fig_investment(B.shift(spark, d, "mean"), _INV_ECON)
 
 
 @register("fig_shift", _stacked(f"""SELECT region, variable, shift AS value, net FROM shift_annual
 WHERE region IN {_in(_REG1)} AND variable IN ('Fossil fuels', 'Low carbon sources')""", "region", ["shift_annual"],
-                                _SECTOR_CASE), ("value", "net", "ymin", "ymax"))
+                                _SECTOR_CASE))
 def q_fig_shift(spark, d):
     return FG.fig_shift(B.shift(spark, d, "mean"), _REG1)
 
@@ -719,23 +717,23 @@ def _share_src(regions, measure, unit=None):
 
 @register("fig_gdp_shares_economies", _stacked(
     f"""SELECT s.*, r.type_rank FROM ({_share_src(B.ECONOMIES, 'pct_gdp')}) s JOIN (
-  SELECT invest_type, CAST(row_number() OVER (ORDER BY avg(-value), invest_type) AS INTEGER) AS type_rank
+  SELECT invest_type, CAST(row_number() OVER (ORDER BY {O.exact_mean('-value')}, invest_type) AS INTEGER) AS type_rank
   FROM ({_share_src(B.ECONOMIES, 'pct_gdp')}) t GROUP BY invest_type) r USING (invest_type)""",
-    "region, invest_type", ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"))
+    "region, invest_type", ["gdp_shares"], _LEVEL_CASE))
 def q_fig_gdp_shares_economies(spark, d):
     from scenaria.plans.catalog import _gdp_shares
     return FG.fig_gdp_shares_economies(_gdp_shares(spark, d), B.ECONOMIES)
 
 
 @register("fig_gdp_shares_panels", _stacked(_share_src(_REG1 + B.ECONOMIES, "pct_gdp"), "region, invest_type",
-                                            ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"))
+                                            ["gdp_shares"], _LEVEL_CASE))
 def q_fig_gdp_shares_panels(spark, d):
     from scenaria.plans.catalog import _gdp_shares
     return FG.fig_gdp_shares_panels(_gdp_shares(spark, d), _REG1 + B.ECONOMIES)
 
 
 @register("fig_usd_panels", _stacked(_share_src(_REG1 + B.ECONOMIES, "avg_invest", "1e9"), "region, invest_type",
-                                     ["gdp_shares"], _LEVEL_CASE), ("value", "ymin", "ymax"))
+                                     ["gdp_shares"], _LEVEL_CASE, grid=110))
 def q_fig_usd_panels(spark, d):
     from scenaria.plans.catalog import _gdp_shares
     return FG.fig_usd_panels(_gdp_shares(spark, d), _REG1 + B.ECONOMIES)
@@ -743,6 +741,6 @@ def q_fig_usd_panels(spark, d):
 
 @register("fig_model_spread", O.sql(f"""SELECT region, variable, {O.strict('min', 'shift')} AS ymin,
   {O.strict('max', 'shift')} AS ymax, {O.strict_mean('shift')} AS y, {O.strict_mean('shift')} AS bar
-FROM model_spread_raw WHERE region IN {_in(_REG1)} GROUP BY 1, 2""", ["model_spread_raw"]), ("ymin", "ymax", "y", "bar"))
+FROM model_spread_raw WHERE region IN {_in(_REG1)} GROUP BY 1, 2""", ["model_spread_raw"]))
 def q_fig_model_spread(spark, d):
     return FG.fig_model_spread(I.model_spread_shift(B.invest(spark, d), 1995), _REG1)

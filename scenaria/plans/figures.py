@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenaria.constants import FIG_ECONOMIES
-from scenaria.functions.nulls import strict_mean
 from scenaria.operators.aggregate import spread_summary
 from scenaria.operators.order import as_levels, order_by_stat
 from scenaria.operators.project import q
@@ -82,6 +81,4 @@ def fig_usd_panels(gdp_shares: DataFrame, regions: Sequence[str], unit: float =
 def fig_model_spread(model_spread: DataFrame, regions: Sequence[str]) -> DataFrame:
     """Mean bar and min-max range of the per-model shift, per region and sector."""
     rows = model_spread.filter(F.col("region").isin(list(regions)))
-    summ = spread_summary(rows, ["region", "variable"], "shift").drop("summary")
-    bar = rows.groupBy("region", "variable").agg(strict_mean("shift").alias("bar"))
-    return summ.join(bar, ["region", "variable"])
+    return spread_summary(rows, ["region", "variable"], "shift").drop("summary").withColumn("bar", F.col("y"))

@@ -57,34 +57,34 @@ def render(final: str, needs: Sequence[str] = ()) -> str:
     return f"WITH {parts}\n{final}"
 
 
-def rnd_sig(x: str, sig: int = 8) -> str:
-    """The SQL form of ``functions.arith.rnd_sig`` (same operations in the same order)."""
-    from scenaria.functions.arith import SIG_HALF
+#: Steps of 2**-GRID in which the SQL adds values, as whole numbers of 128 bits.
+GRID = 70
 
-    half = f"CAST({SIG_HALF!r} AS DOUBLE)"
-    e = f"({sig - 1} - floor(log10(abs({x}))))"
-    up = f"pow(CAST(10 AS DOUBLE), CAST({e} AS DOUBLE))"
-    down = f"pow(CAST(10 AS DOUBLE), CAST(-{e} AS DOUBLE))"
-    return (f"CASE WHEN {x} = 0 THEN {x} WHEN {e} >= 0 THEN floor({x} * {up} + {half}) / {up} "
-            f"ELSE floor({x} / {down} + {half}) * {down} END")
 
+def exact_sum(x: str, over: str = "", grid: int = GRID) -> str:
+    """The sum of ``x``, rounded once, as ``functions.exact.exact_sum`` gives it, for sums below 2**56 of values that are
+    whole steps of 2**-GRID; a finer grid holds smaller sums."""
+    t = f"sum(CAST(({x}) * CAST({2**grid} AS DOUBLE) AS HUGEINT)){over}"
+    shift = f"greatest(CAST(floor(log2(CAST(abs({t}) AS DOUBLE))) AS INTEGER) - 55, 0)"
+    step = f"(CAST(1 AS HUGEINT) << CAST({shift} AS HUGEINT))"
+    lead = f"(CAST(abs({t}) // {step} AS BIGINT) | CASE WHEN abs({t}) % {step} <> 0 THEN 1 ELSE 0 END)"
+    return (f"CASE WHEN {t} = 0 THEN CAST(0 AS DOUBLE) ELSE sign({t}) * CAST({lead} AS DOUBLE) * pow(CAST(2 AS DOUBLE), {shift} - {grid}) END")
 
-def rounded(statement: str, cols: Sequence[str], sig: int = 8) -> str:
-    """Round the listed columns to ``sig`` significant digits, as the Spark query does."""
-    reps = ", ".join(f'{rnd_sig(chr(34) + c + chr(34), sig)} AS "{c}"' for c in cols)
-    return f"SELECT * REPLACE ({reps}) FROM (\n{statement}\n) _r"
+
+def exact_mean(x: str, over: str = "") -> str:
+    return f"({exact_sum(x, over)}) / count({x}){over}"
 
 
 def strict(fn: str, x: str) -> str:
-    return f"CASE WHEN count(*) = count({x}) THEN {fn}({x}) END"
+    return f"CASE WHEN count(*) = count({x}) THEN {exact_sum(x) if fn == 'sum' else f'{fn}({x})'} END"
 
 
 def strict_mean(x: str) -> str:
-    return f"CASE WHEN count(*) = count({x}) THEN sum({x}) / count({x}) END"
+    return f"CASE WHEN count(*) = count({x}) THEN {exact_mean(x)} END"
 
 
 def skipna_sum(x: str) -> str:
-    return f"coalesce(sum({x}), 0.0)"
+    return f"coalesce({exact_sum(x)}, 0.0)"
 
 
 # --- bindings ------------------------------------------------------------------------------------------
@@ -205,7 +205,7 @@ FROM invest_sheet WHERE "Variable" IN ('A', 'N', 'R')""")
 cte("invest_prep", ["invest_sheet"], _prep_year(1995) + "\nUNION ALL\n" + _prep_year(2000))
 
 _K = "scenario, model, region, variable"
-cte("interp_knots", ["invest_prep"], f"SELECT {_K}, year, avg(investment) AS y FROM invest_prep GROUP BY {_K}, year")
+cte("interp_knots", ["invest_prep"], f"SELECT {_K}, year, {exact_mean('investment')} AS y FROM invest_prep GROUP BY {_K}, year")
 cte("interp_staged", ["interp_knots"], f"""SELECT {_K}, year, y,
   count(y) OVER (PARTITION BY {_K}) AS n,
   last_value(CASE WHEN y IS NOT NULL THEN year END IGNORE NULLS) OVER (PARTITION BY {_K} ORDER BY year
@@ -258,7 +258,7 @@ def shift_sql(name: str, stage: str) -> None:
 FROM {stage} GROUP BY 1, 2""")
     cte(name, [f"{name}_diff"], f"""SELECT region, variable, year, "1.5C", "CPol", "1.5C" - "CPol" AS shift,
   CASE WHEN count(*) OVER (PARTITION BY region) = count("1.5C" - "CPol") OVER (PARTITION BY region)
-       THEN sum("1.5C" - "CPol") OVER (PARTITION BY region) END AS net
+       THEN {exact_sum('"1.5C" - "CPol"', " OVER (PARTITION BY region)")} END AS net
 FROM {name}_diff""")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,31 +105,19 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
                    partitions: int | None = None) -> DataFrame:
     """A consecutive 1-based index in ``order_by`` order (ties broken by the other columns).
 
-    The frame is range-partitioned and checkpointed (written to the shared checkpoint folder), so its
-    partitions are fixed; each partition numbers its own rows; the per-partition counts (one row per
-    partition, broadcast) give each partition its offset.
+    Ranges number their own rows, and the rows of the ranges before are added (``operators.scan.ranked``). The rows are
+    stored before, as range partitioning samples its input: read twice rather than computed twice.
     """
-    from scenaria.session import checkpoint_root, scratch_path
+    from scenaria.operators.scan import ranked
+    from scenaria.session import scratch_path
 
-    checkpoint_root(df.sparkSession)
     order_by = list(order_by)
     rest = [c for c in df.columns if c not in order_by]
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_by + rest]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(df.sparkSession, "to-index")
-    df.write.parquet(path)  # range partitioning samples its input: read it twice rather than compute it twice
+    df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
-    staged = stored.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
-    local = staged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys))
-    )
-    counts = staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0))
-    ).drop("_n")
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.select((F.col("_off") + F.col("_local")).cast("long").alias(name), *[F.col(f"`{c}`") for c in df.columns])
+    return ranked(stored, keys, name, partitions).select(name, *[F.col(f"`{c}`") for c in df.columns])
 
 
 def export_indexed(df: DataFrame, path: str, order_by: Sequence[str], fmt: str = "csv",

@@ -1,7 +1,8 @@
 """Wide <-> long reshaping with explicit value lists.
 
 * ``unpivot`` is Spark's Expand: no shuffle.
-* ``pivot_wide`` is one grouped aggregate with one conditional cell per listed value (partial
+* ``pivot_wide`` finds the values itself if none are listed (a bounded distinct pass), then
+  is one grouped aggregate with one conditional cell per value (partial
   aggregation keeps hot id groups cheap). A second row for the same cell raises, as the source does.
 * ``densify`` adds the absent (ids, key) combinations as null rows: distinct ids times distinct keys, and a
   null-safe left join.
@@ -43,7 +44,7 @@ def unpivot_range(
 
 
 def _cell(key: str, value: str, v, check_unique: bool) -> Column:
-    hit = F.col(key) == F.lit(v)
+    hit = F.col(key).eqNullSafe(F.lit(v))
     cell = F.max(F.when(hit, F.col(value)))
     if not check_unique:
         return cell
@@ -51,13 +52,27 @@ def _cell(key: str, value: str, v, check_unique: bool) -> Column:
     return F.when(n > 1, F.raise_error(F.lit(f"duplicate cell for {key}={v}"))).otherwise(cell)
 
 
+def key_values(df: DataFrame, key: str, most: int = 1000) -> list:
+    """The distinct values of a key column in the order in which ``spread`` makes columns of them: numbers by size, text by
+    letters first and then small before capital ones, null last. More than ``most`` values stop the job."""
+    found = [r[0] for r in df.select(key).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{key} has more than {most} values; list those wanted")
+    order = (lambda v: (v.casefold(), v.swapcase())) if any(isinstance(v, str) for v in found) else (lambda v: v)
+    return sorted((v for v in found if v is not None), key=order) + [v for v in found if v is None]
+
+
 def pivot_wide(
-    df: DataFrame, ids: Sequence[str], key: str, value: str, values: Sequence, names: Sequence[str] | None = None,
-    check_unique: bool = True,
+    df: DataFrame, ids: Sequence[str], key: str, value: str, values: Sequence | None = None, names: Sequence[str] | None = None,
+    check_unique: bool = True, most: int = 1000,
 ) -> DataFrame:
-    """One column per listed key value; absent cells are null; a duplicated cell is an error."""
-    names = [str(v) for v in values] if names is None else list(names)
+    """One column per key value; absent cells are null; a duplicated cell is an error. Without ``values`` the columns
+    are those that occur (``key_values``; a null key's is called ``<NA>``)."""
+    values = key_values(df, key, most) if values is None else values
+    names = ["<NA>" if v is None else str(v) for v in values] if names is None else list(names)
     cells = [_cell(key, value, v, check_unique).alias(n) for v, n in zip(values, names)]
+    if not cells:
+        return df.select(*ids).distinct()
     return df.groupBy(*ids).agg(*cells)
 
 

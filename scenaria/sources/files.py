@@ -1,9 +1,10 @@
 """File sources and sinks.
 
-* CSV with several missing-value markers: every column is read as text with a declared schema (no
-  inference pass), markers become null, numbers go through ``try_cast`` (bad text -> null).
-* CSV with preamble lines: read with a fixed positional schema; lines up to the header line are dropped, told by
-  their content. No line counting, so the file stays splittable across tasks.
+* CSV with several missing-value markers: each file's columns are bound by that file's own header, all are read as text
+  (no inference pass), markers become null, numbers go through ``try_cast`` (bad text -> null). Lines that do not fit
+  their header are kept apart, with their file, and counted.
+* CSV with preamble lines: read with a fixed positional schema; lines up to the header line are told by
+  their content. No line counting, so the file stays splittable across tasks. What is not read is counted, too.
 * Sheet tables: a workbook sheet exported as CSV or Parquet, read by sheet name with a declared schema.
 * Indexed export: a consecutive row index in an explicit order, computed per partition with offsets from
   a per-partition count table; no step funnels the rows through one task.
@@ -28,26 +29,80 @@ def with_source_order(df: DataFrame, name: str = "source_order") -> DataFrame:
     )
 
 
+#: Most different headers in one folder; each is a branch of the reading expression.
+MOST_HEADERS = 200
+
+
+class Lines:
+    """The lines of CSV files, with each file's header: what ``read_csv_na_tokens`` reads, and what it leaves.
+
+    ``fit`` holds the read columns as text, ``rejects`` (file, line, reason) the lines that do not fit their file's header.
+    The number of lines and of rejects is observed whenever ``fit`` is run and then stands in ``counts()``."""
+
+    def __init__(self, spark: SparkSession, path: str, columns: Sequence[str], order_col: str | None = None):
+        from pyspark.sql import Observation
+
+        text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                            F.monotonically_increasing_id().alias("pos"), "value").where("trim(value) <> ''")
+        # a file's first line lies in its first block; one line for each file leaves a task
+        heads = text.where("at = 0").groupBy("file").agg(F.min_by("value", "pos").alias("head"))
+        self.headers = [r["head"] for r in heads.select("head").distinct().limit(MOST_HEADERS + 1).collect()]
+        if len(self.headers) > MOST_HEADERS:
+            raise ValueError(f"{path}: more than {MOST_HEADERS} different headers")
+        names = {h: self._names(h) for h in self.headers}
+        for h, own in names.items():
+            missing = [c for c in columns if c not in own]
+            if missing:
+                file = heads.where(F.col("head") == h).agg(F.min("file")).first()[0]
+                raise ValueError(f"{path}: no column {missing} in the header {own} of {file}")
+        lines = text.join(heads.withColumnRenamed("file", "of"), F.col("file") == F.col("of")).where("value <> head")
+        row = F.lit(None)
+        for h, own in names.items():
+            schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(own))] + [T.StructField("_bad", T.StringType())])
+            got = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+            cells = [got[f"c{own.index(c)}"].alias(f"v{i}") for i, c in enumerate(columns)]
+            row = F.when(F.col("head") == h, F.struct(*cells, got["_bad"].isNotNull().alias("bad"))).otherwise(row)
+        self._seen = Observation()
+        parsed = lines.withColumn("row", row) if names else lines.withColumn("row", F.struct(*[F.lit("").alias(f"v{i}") for i in range(len(columns))], F.lit(False).alias("bad")))
+        kept = parsed.observe(self._seen, F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("row.bad"), 1)).alias("rejected")).where("not row.bad")
+        out = [F.col(f"row.v{i}").alias(c) for i, c in enumerate(columns)]
+        if order_col:
+            out.append(F.struct("file", "pos").alias(order_col))
+        self.fit = kept.select(*out)
+        self.rejects = parsed.where("row.bad").select("file", F.col("value").alias("line"), F.lit("number of fields differs from the header's").alias("reason"))
+
+    @staticmethod
+    def _names(header: str) -> list[str]:
+        import csv
+
+        return next(csv.reader([header.lstrip("\ufeff")], escapechar="\\"))
+
+    def counts(self) -> dict[str, int]:
+        """Lines read (headers apart) and rejected in the first run of ``fit``; waits for it."""
+        return self._seen.get
+
+
 def read_csv_na_tokens(
     spark: SparkSession, path: str, columns: Sequence[str], numeric: Sequence[str] = (),
     na_tokens: Sequence[str] = NA_TOKENS, header: bool = True, normalise: bool = True, order_col: str | None = None,
 ) -> DataFrame:
     """CSV with a header; ``columns`` are the header names to read, in any order (all read as text).
 
-    Columns are bound by the header's names; a name that the header lacks is an error. Names are normalised to snake case; ``numeric`` columns (normalised names) become doubles.
+    The files of a folder may have their columns in different orders, or further columns: each is bound by its own header. A
+    header without one of ``columns`` is an error that names its file. Lines with more or fewer fields than their header
+    are left out; the result's attribute ``lines`` (``Lines``) has them as a table, and their number after the first run.
+    A line equal to its file's header is a header again. Names are normalised to snake case; ``numeric`` columns (normalised
+    names) become doubles. The headers are found in a pass over the lines that sends one line for each file.
     """
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+    lines = None
     if header:
-        # inferSchema is off: only the first line is read for the names, all columns are text
-        whole = spark.read.csv(path, header=True, inferSchema=False)
-        missing = [c for c in columns if c not in whole.columns]
-        if missing:
-            raise ValueError(f"{path}: no column {missing} in the header {whole.columns}")
-        df = whole.select(*[F.col(f"`{c}`") for c in columns])
+        lines = Lines(spark, path, columns, order_col)
+        df = lines.fit
     else:
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
         df = spark.read.csv(path, header=False, schema=schema, enforceSchema=True)
-    if order_col:
-        df = with_source_order(df, order_col)
+        if order_col:
+            df = with_source_order(df, order_col)
     if normalise:
         df = df.toDF(*[normalise_header(c) if c != order_col else c for c in df.columns])
     numeric = set(numeric)
@@ -60,7 +115,9 @@ def read_csv_na_tokens(
         else:
             s = F.trim(F.col(c))
             out.append(F.when(s.isin(*na_tokens), F.lit(None)).otherwise(F.col(c)).alias(c))
-    return df.select(*out)
+    result = df.select(*out)
+    result.lines = lines
+    return result
 
 
 def read_csv_skip_preamble(
@@ -71,14 +128,22 @@ def read_csv_skip_preamble(
 
     ``columns`` is the positional schema; lines with fewer fields are padded with nulls by the reader. Lines whose
     ``key`` field does not match ``key_pattern`` are the preamble, the header, or bad data: with ``rejects`` these
-    lines are returned instead of the others, so that nothing vanishes unseen.
+    lines are returned instead of the others. Else the result's attribute ``observed`` counts them in its first run
+    (``observed.get`` gives ``lines`` and ``rejected``), so that nothing vanishes unseen.
     """
+    from pyspark.sql import Observation
+
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     df = spark.read.csv(path, header=False, schema=schema, mode="PERMISSIVE")
     fits = F.coalesce(F.col(key).rlike(key_pattern), F.lit(False))
-    df = df.filter(~fits if rejects else fits)
     numeric = set(numeric)
-    return df.select(*[to_number(c).alias(c) if c in numeric else F.col(c) for c in columns])
+    out = [to_number(c).alias(c) if c in numeric else F.col(c) for c in columns]
+    if rejects:
+        return df.filter(~fits).select(*out)
+    seen = Observation()
+    result = df.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(F.when(~fits, 1)).alias("rejected")).filter(fits).select(*out)
+    result.observed = seen
+    return result
 
 
 def read_sheet_table(

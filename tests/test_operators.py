@@ -141,3 +141,17 @@ def test_row_index_consecutive(spark):
 def test_column_range(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int")
     assert column_range(df, "b", "d") == ["b", "c", "d"]
+
+
+def test_pivot_finds_its_values(spark):
+    df = spark.createDataFrame([(1, "b", 1.0), (1, "B", 2.0), (1, "a", 3.0), (2, None, 4.0), (2, "C", 5.0)], "id int, k string, v double")
+    wide = pivot_wide(df, ["id"], "k", "v")
+    assert wide.columns == ["id", "a", "b", "B", "C", "<NA>"]
+    assert {tuple(r) for r in wide.collect()} == {(1, 3.0, 1.0, 2.0, None, None), (2, None, None, None, 5.0, 4.0)}
+    listed = pivot_wide(df.where("k is not null"), ["id"], "k", "v", ["a", "b", "B", "C"])
+    assert {tuple(r) for r in pivot_wide(df.where("k is not null"), ["id"], "k", "v").collect()} == {tuple(r) for r in listed.collect()}
+    years = spark.createDataFrame([(1, 2020, 1.0), (1, 200, 2.0), (1, 30, 3.0)], "id int, k int, v double")
+    assert pivot_wide(years, ["id"], "k", "v").columns == ["id", "30", "200", "2020"]
+    assert pivot_wide(df.limit(0), ["id"], "k", "v").collect() == []
+    with pytest.raises(ValueError, match="more than 2 values"):
+        pivot_wide(df, ["id"], "k", "v", most=2)

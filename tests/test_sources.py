@@ -30,3 +30,32 @@ def test_na_tokens_and_order(spark):
     assert df.columns == ["country_code", "total", "non_health", "src"]
     assert [(r.country_code, r.total, r.non_health) for r in rows] == [
         ("AFG", 637030150.0, None), ("AGO", None, None), ("ALB", 1.06e11, None), ("AFG", 1.0, 2.0)]
+
+
+def test_each_file_is_bound_by_its_own_header(spark):
+    import pytest
+
+    path = scratch_path(spark, "two-headers")
+    for lines in (["code,total", "AFG,1", "AGO,-", '"A, B",3'], ["total,code,note", "2,ALB,x", "total,code,note", "5,AND", "6,ARE,y,z", "", "7,,"]):
+        spark.createDataFrame([(ln,) for ln in lines], "value string").coalesce(1).write.mode("append").text(path)
+    df = read_csv_na_tokens(spark, path, ["code", "total"], ["total"], order_col="src")
+    assert {(r.code, r.total) for r in df.collect()} == {("AFG", 1.0), ("AGO", None), ("A, B", 3.0), ("ALB", 2.0), (None, 7.0)}
+    assert df.lines.counts() == {"lines": 7, "rejected": 2}
+    assert {r.line for r in df.lines.rejects.collect()} == {"5,AND", "6,ARE,y,z"}
+    assert len({r.file for r in df.lines.rejects.collect()}) == 1
+    with pytest.raises(ValueError, match="no column .'note'"):
+        read_csv_na_tokens(spark, path, ["code", "note"])
+
+
+def test_empty_files_and_folders_of_headers(spark):
+    path = _write_text(spark, ["code,total"], "head-only")
+    df = read_csv_na_tokens(spark, path, ["code", "total"], ["total"])
+    assert df.collect() == [] and df.lines.counts() == {"lines": 0, "rejected": 0}
+
+
+def test_lines_left_out_of_a_preamble_file_are_counted(spark):
+    path = _write_text(spark, ["made by,", '"Country Code","x"', "ABW,1", "not a code,2", "WLD,3"], "pre-count")
+    df = read_csv_skip_preamble(spark, path, ["code", "x"], "code", numeric=["x"])
+    assert df.count() == 2 and df.observed.get == {"lines": 5, "rejected": 3}
+    left = read_csv_skip_preamble(spark, path, ["code", "x"], "code", rejects=True)
+    assert {r.code for r in left.collect()} == {"made by", "Country Code", "not a code"}

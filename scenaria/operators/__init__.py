@@ -27,6 +27,7 @@ from scenaria.operators.joins import (
     rollup_bloc,
     xwalk_code_to_name,
     xwalk_name_to_code,
+    xwalk_pattern_to_code,
 )
 from scenaria.operators.order import as_levels, order_by_stat, sort_asc
 from scenaria.operators.project import (

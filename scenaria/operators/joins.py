@@ -63,6 +63,44 @@ def xwalk_name_to_code(
         out.withColumn(out_col, F.col("_xw_code")).drop("_xw_code"))
 
 
+def pattern_matches(names: DataFrame, name_col: str, patterns: DataFrame) -> DataFrame:
+    """(name, codes): the normalised distinct names with the sorted codes of all patterns that match them.
+
+    ``patterns`` has ``pattern`` (a regular expression for part of a normalised name), ``unless`` (one that must not match, or
+    null), ``code``, and ``words``: words (small letters) that the name must hold, too. A name meets only the patterns whose
+    rarest word, by the number of names that hold it, is among its own words: no name is tried against every pattern. The
+    names are made distinct first, so a name that a third of the rows carry is matched once.
+    """
+    p = patterns.select(F.xxhash64("pattern", "unless", "code").alias("_id"), "pattern", "unless", "code", "words").dropDuplicates(["_id"])
+    listed = p.select("_id", F.explode_outer("words").alias("word"))
+    listed = listed.withColumn("word", F.coalesce("word", F.raise_error(F.lit("a pattern without words cannot be looked up"))))
+    known = names.select(normalise_name(name_col).alias("name")).where("name is not null").distinct()
+    known = known.withColumn("of", F.array_distinct(F.split("name", r"[^\p{L}\p{N}]+")))
+    held = known.select("name", "of", F.explode("of").alias("word")).join(listed.select("word").distinct(), "word", "left_semi")
+    often = held.groupBy("word").count()
+    rarest = (listed.join(often, "word", "left").groupBy("_id")
+              .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word"))["word"].alias("word")))
+    tried = held.join(rarest.join(p, "_id"), "word")
+    hits = tried.where((F.size(F.array_except("words", "of")) == 0) & F.regexp_like("name", F.col("pattern")) & ~F.coalesce(F.regexp_like("name", F.col("unless")), F.lit(False)))
+    return hits.groupBy("name").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+
+
+def xwalk_pattern_to_code(
+    df: DataFrame, name_col: str, patterns: DataFrame, out_col: str = "country_code", candidates: str | None = None,
+) -> DataFrame:
+    """Free-text name -> code through patterns (``pattern_matches``). A name that patterns of several codes match is
+    ambiguous and gets none, like a name without match; ``candidates`` names a column with all matching codes."""
+    found = pattern_matches(df, name_col, patterns).withColumnRenamed("name", "_xw_name")
+    out = df.drop(out_col).join(found, normalise_name(name_col) == F.col("_xw_name"), "left").drop("_xw_name")
+    out = out.withColumn(out_col, F.when(F.size("codes") == 1, F.col("codes")[0]))
+    return out.withColumnRenamed("codes", candidates) if candidates else out.drop("codes")
+
+
+def ambiguous_names(df: DataFrame, name_col: str, patterns: DataFrame) -> DataFrame:
+    """(name, codes) of the normalised names that patterns of several codes match."""
+    return pattern_matches(df, name_col, patterns).where(F.size("codes") > 1)
+
+
 def xwalk_code_to_name(
     df: DataFrame, code_col: str, xwalk: DataFrame, out_col: str = "country", default: str | None = None,
     name_key: str = "country_name", code_key: str = "iso3",

@@ -297,6 +297,29 @@ def q_xwalk_name_to_code(spark, d):
     return J.xwalk_name_to_code(B.stim_s1(spark, d).select("country"), "country", B.xwalk(spark, d), "country_code")
 
 
+_NAME_PATTERNS = (  # pattern, what must not match, code, words that a match holds
+    (r"^(red|blue) .*bolt", None, "BOLT-C", ("bolt",)), (r"\bbolt\b", r"^(red|blue) ", "BOLT", ("bolt",)),
+    (r"\b(ring|widget)\b.*#1\b", None, "ONE", ("1",)), (r"^small ring\b", None, "RING-S", ("small", "ring")),
+    (r"\bgizmo\b", r"#2", "GIZMO", ("gizmo",)), (r"\bgear\b", None, "GEAR", ("gear",)))
+
+
+def _part_names(p):
+    return F.concat_ws(" ", p["p_name"], F.concat(F.lit("#"), p["p_size"].cast("string")), p["p_brand"])
+
+
+@register("xwalk_pattern_to_code", O.sql("""SELECT name, CASE WHEN count(DISTINCT code) = 1 THEN min(code) END AS code,
+  count(DISTINCT code) AS n_codes, any_value(n_parts) AS n_parts
+FROM (SELECT p_name || ' #' || p_size || ' ' || p_brand AS name, count(*) AS n_parts FROM part GROUP BY 1) n LEFT JOIN (VALUES """ + ", ".join(
+    "(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row[:3]) + ")" for row in _NAME_PATTERNS) + """) t(pattern, unless, code)
+  ON regexp_matches(lower(name), pattern) AND NOT coalesce(regexp_matches(lower(name), unless), false) GROUP BY name"""))
+def q_xwalk_pattern_to_code(spark, d):
+    p = B.table(spark, d, "part")
+    names = p.groupBy(_part_names(p).alias("name")).agg(F.count("*").alias("n_parts"))
+    patterns = spark.createDataFrame([(*row[:3], list(row[3])) for row in _NAME_PATTERNS], "pattern string, unless string, code string, words array<string>")
+    out = J.xwalk_pattern_to_code(names, "name", patterns, "code", "codes")
+    return out.select("name", "code", F.coalesce(F.size("codes"), F.lit(0)).cast("bigint").alias("n_codes"), "n_parts")
+
+
 @register("xwalk_code_to_name", O.sql("""SELECT l.country_code, l.component, coalesce(x.nm, 'European Union') AS country
 FROM stim_long l LEFT JOIN (SELECT iso3, min(country_name) AS nm FROM xwalk WHERE iso3 <> 'N07' GROUP BY iso3) x ON l.country_code = x.iso3""",
                                       ["stim_long", "xwalk"]))

@@ -50,7 +50,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     executors, and gives the planner the true size of the table."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables. What was made from them must be stored itself by then, or need them no more:
+    a lost task can then be run again without them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:
@@ -114,6 +124,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     both = store(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                  .where("a <> b").distinct(), f"{name}-edges")
     labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{name}-0")
+    before = labels
     for k in range(1, most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         low = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
@@ -123,7 +134,10 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         moved = (low.join(up, "low").select("node", "root", F.least("low", "above").alias("to"))
                  .join(hook, "node", "left").select("node", F.col("root").alias("was"), F.least("to", "hook").alias("root")))
         moved = store(moved, f"{name}-{k}")
-        labels = moved.select("node", "root")
+        discard(before)
+        before, labels = moved, moved.select("node", "root")
         if moved.where("was <> root").isEmpty():
+            discard(both)
+            labels.stored_at = moved.stored_at
             return labels
     raise RuntimeError("components: rounds used up")

@@ -14,9 +14,10 @@ in its own band and in each larger band that a partner can lie in.
 4. Buckets of three or more nodes that still hold different components are compared by whole sketches in square
    cells of bounded size that may run anywhere; what is left is verified exactly. No link between different sets is lost.
 
-An empty block is equal in most sets and tells nothing. It is keyed only in size bands where a linked pair might have no
-other equal block: the chance that all common members fall into blocks that differ is computed for each band, and
-where it is below LOSS (larger sets) empty blocks are left out.
+An empty block is equal in most sets and tells nothing, so only blocks with members are keyed. Small sets are dealt to
+blocks several times over, with independent hashes, until the chance that a linked pair has only empty blocks in common
+in every deal is below LOSS. Large sets have far more equal blocks than the one that the pigeonhole promises; of
+theirs only as many are keyed as keep the chance of missing a pair below LOSS (about 60 instead of D + 1).
 
 Null or blank texts have an empty set and link with nothing, each its own component. Null doc_ids are
 carried; a component whose ids are all null has a null component_id. Repeated rows are equal sets.
@@ -24,7 +25,9 @@ carried; a component whose ids are all null has a null component_id. Repeated ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import NULL_ID, bit_map, components, id_text, in_map, store, text_chunks, unpacked, without
+from scenaria.llm.common import NULL_ID, bit_map, components, discard, id_text, in_map, store, text_chunks, unpacked, without
 from scenaria.llm.shingles import buffers, distinct, mix, shingles, words
 
 #: Ratio of a size band's ends.
 BAND_RATIO = 1.4
 #: Rows of one side of a comparison cell.
 CELL = 1024
-#: Chance, for a linked pair, of having only empty blocks in common, below which they are not keyed.
+#: Chance, for a linked pair at the threshold, of having no keyed block with members in common.
 LOSS = 1e-12
 #: Words of the sketch by which whole sets are compared.
 WORDS = 32
@@ -65,23 +68,26 @@ def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
     return out
 
 
-_known: dict[tuple[int, int, int], bool] = {}
+@lru_cache(None)
+def keyed(low: int, blocks: int, percent: int) -> tuple[int, int]:
+    """(independent deals, blocks keyed of each) of a band whose sets have ``low`` members or more.
 
-
-def empty_blocks_matter(low: int, blocks: int, percent: int) -> bool:
-    """Whether a linked pair whose larger set has ``low`` members or more may share only empty blocks, with chance
-    LOSS or more: at most blocks - 1 members differ, and all common members would have to fall into the blocks they hit."""
-    if low >= 1000:
-        return False
-    if (low, blocks, percent) in _known:
-        return _known[low, blocks, percent]
+    Of many blocks only so many are keyed that a linked pair has an equal one with members among them but for a chance below
+    LOSS: ``blocks`` - 1 members differ, the common ones are the rest, and a block is equal if none of the former is in it
+    and one of the latter is. Of few blocks, all are keyed, of as many deals as it takes that a pair has only empty
+    blocks in common in all deals with a chance below LOSS."""
+    common = low * percent // 100
+    whole = (1 - 1 / blocks) ** (blocks - 1) * (1 - (1 - 1 / blocks) ** common)
+    enough = math.ceil(math.log(LOSS) / math.log(1 - whole))
+    if enough < blocks:
+        return 1, enough
     hit = np.zeros(blocks + 1)  # distribution of the number of blocks hit
     hit[0] = 1.0
     n = np.arange(blocks + 1)
     for _ in range(blocks - 1):
         hit = hit * n / blocks + np.concatenate([[0.0], hit[:-1] * (blocks - n[:-1]) / blocks])
-    _known[low, blocks, percent] = float((hit * (n / blocks) ** (low * percent // 100)).sum()) >= LOSS
-    return _known[low, blocks, percent]
+    alone = float((hit * (n / blocks) ** common).sum())
+    return math.ceil(math.log(LOSS) / math.log(min(alone, 0.5))), blocks
 
 
 def _sketch(sets: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,15 +101,20 @@ def _sketch(sets: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> tuple[np.nd
     return out, base
 
 
-def _block_sums(sets: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """XOR of the full hashes in each block of each set, dealt as in ``_sketch``."""
-    count = np.diff(at)
-    base = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
-    h = mix(sets ^ _U(0xA0761D6478BD642F))
-    block = ((h >> _U(32)) * np.repeat(blocks, count).astype(_U)) >> _U(32)
-    out = np.zeros(base[-1], dtype=_U)
-    np.bitwise_xor.at(out, np.repeat(base[:-1], count) + block.astype(np.int64), h * _U(0xE7037ED1A0B428DB))
-    return out
+def _block_values(sets: np.ndarray, at: np.ndarray, blocks: int, kept: int, deal: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, whether it has members) of the first ``kept`` of ``blocks`` blocks of each set: the XOR of its members' full
+    hashes mixed with their parity bits. Each deal throws the members into blocks anew."""
+    n, count = len(at) - 1, np.diff(at)
+    h = mix(sets ^ _U((0xA0761D6478BD642F + deal * 0x9E3779B97F4A7C15) % 2**64))
+    block = (((h >> _U(32)) * _U(blocks)) >> _U(32)).astype(np.int64)
+    which = np.flatnonzero(block < kept) if kept < blocks else slice(None)
+    h = h[which]
+    place = np.repeat(np.arange(n) * kept, count)[which] + block[which]
+    parity, total, full = np.zeros(n * kept, _U), np.zeros(n * kept, _U), np.zeros(n * kept, bool)
+    np.bitwise_xor.at(parity, place, _U(1) << (h & _U(63)))
+    np.bitwise_xor.at(total, place, h * _U(0xE7037ED1A0B428DB))
+    full[place] = True
+    return mix(parity) ^ total, full
 
 
 def _sets(chunk: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,21 +167,18 @@ def _take(sets: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarr
 
 
 def _keys(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of each set: a hash of (band, block, value) for each block."""
+    """Bucket keys of each set: a hash of (band, deal, block, value) for each keyed block with members."""
     n = len(at) - 1
     parts, owner = [], []
-    empty = mix(np.zeros(1, _U))[0]  # the value of a block without members
     for own, band, blocks, low in _band_entries(np.diff(at), percent):
-        part, many = _take(sets, at, own), np.full(len(own), blocks)
-        s, base = _sketch(*part, many)
-        s = mix(s) ^ _block_sums(*part, many)
-        place = np.arange(base[-1], dtype=_U) % _U(blocks)
-        key = mix(mix(s ^ _U(0x8BB84B93962EACC9)) + place * _U(0x9E3779B97F4A7C15) + _U(band + 1))
-        of = np.repeat(own, blocks)
-        if not empty_blocks_matter(low, blocks, percent):
-            key, of = key[s != empty], of[s != empty]
-        parts.append(key)
-        owner.append(of)
+        part = _take(sets, at, own)
+        deals, kept = keyed(low, blocks, percent)
+        for deal in range(deals):
+            value, full = _block_values(*part, blocks, kept, deal)
+            place = np.tile(np.arange(kept, dtype=_U) + _U(deal * kept), len(own))
+            key = mix(mix(value ^ _U(0x8BB84B93962EACC9)) + place * _U(0x9E3779B97F4A7C15) + _U(band + 1))
+            parts.append(key[full])
+            owner.append(np.repeat(own, kept)[full])
     if not parts:
         return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
     key, owner = np.concatenate(parts), np.concatenate(owner)
@@ -242,7 +250,7 @@ def _cells(percent: int):
 
 
 def _verified(pairs: DataFrame, members: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets have the asked similarity: by whole sketches, then by exact intersection."""
+    """The pairs (a, b) whose sets have the asked similarity, stored: by whole sketches, then by exact intersection."""
     def side(c: str, what: str) -> DataFrame:
         return members.select(F.col("node").alias(c), F.col(what).alias(f"{what}_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
@@ -250,7 +258,9 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int, name: str) ->
     near = store(pairs.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a")
                  .where(apart * (100 + percent) <= total * (100 - percent)).select("a", "b"), f"{name}-near")
     both = F.size(F.array_intersect("members_a", "members_b"))
-    return near.join(side("b", "members"), "b").join(side("a", "members"), "a").where(100 * both >= percent * (total - both)).select("a", "b")
+    out = store(near.join(side("b", "members"), "b").join(side("a", "members"), "a").where(100 * both >= percent * (total - both)).select("a", "b"), name)
+    discard(near)
+    return out
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_col: str = "doc_id",
@@ -267,45 +277,55 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_co
 
 def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
     """(doc_id, digest, n_shingles, component_id) from stored ``rows`` (PROFILE) of the texts in ``source``: sets that share
-    a key are candidates, links are verified exactly."""
+    a key are candidates, links are verified exactly. The result is stored; ``rows`` and all tables between are deleted."""
     ids = F.coalesce("doc_id", F.lit(NULL_ID))
     full = (rows.select("node", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
             .where("a < z").select("bucket"))
     full = store(full, "parity-full")
     shared = store(rows.select("node", "keys").mapInArrow(_entries(bit_map(full, "bucket")), "bucket long, node long")
-                   .join(full, "bucket").select("bucket", "node").distinct(), "parity-shared")
+                   .join(full, "bucket").select("bucket", "node").distinct(), "parity-entries")
     # the middle of a bucket is its node with most company over all its buckets: in a group of near copies, the least edited
     company = shared.groupBy("bucket").agg(F.count("*").alias("m"))
     score = shared.join(company, "bucket").groupBy("node").agg(F.sum("m").alias("score"))
     middle = shared.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("middle"))
-    shared = store(shared.join(middle, "bucket"), "parity-middles")
+    entries, shared = shared, store(shared.join(middle, "bucket"), "parity-shared")
+    discard(full, entries)
     reps = rows.groupBy("node").agg(F.min(ids).alias("rep")).join(shared.select("node").distinct(), "node", "left_semi")
     members = store(source.mapInArrow(_fetch(width, bit_map(reps, "rep")), "node long, n_shingles long, members array<long>, sketch array<long>")
                     .where("n_shingles > 0"), "parity-members")
 
     star = shared.where("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
-    links = store(_verified(star, members, percent, "parity-star"), "parity-links")
+    links = _verified(star, members, percent, "parity-star")
     label = components(links, "parity-star")
 
     bucket_root = shared.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     bucket_root = store(bucket_root, "parity-roots")
+    discard(shared)
     mixed = (bucket_root.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"))
              .where("r0 < r1 and m > 2").select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("chunks")))
     mixed_rows = (bucket_root.join(mixed, "bucket")
                   .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
                   .select("bucket", "node", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")))
-    more = (mixed_rows.join(members.select("node", "n_shingles", "sketch"), "node").groupBy("bucket", "low", "high")
+    # cells are small in bytes and long in work: dealt to a fixed number of tasks, which are not merged by their bytes
+    tasks = 4 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = (mixed_rows.join(members.select("node", "n_shingles", "sketch"), "node").repartition(tasks, "bucket", "low", "high").groupBy("bucket", "low", "high")
             .applyInPandas(_cells(percent), "a long, b long").distinct())
-    found = store(_verified(more, members, percent, "parity-rest"), "parity-more")
+    found = _verified(more, members, percent, "parity-rest")
+    discard(members, bucket_root)
     if not found.isEmpty():
-        label = components(links.union(found), "parity-all")
+        first, label = label, components(links.union(found), "parity-all")
+        discard(first)
+    discard(links, found)
     by_node = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(label, "node", "left")
     by_node = by_node.select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = by_node.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = by_node.join(smallest, "root").select("node", "component_id")
-    return (rows.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
-            .select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    out = store(rows.select("doc_id", "digest", "n_shingles", "node").join(named, "node", "left")
+                .select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")),
+                "parity-classes")
+    discard(rows, label)
+    return out
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -313,7 +333,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
 
     Rows that share id and text are one document. Rows that share the smallest id with different texts all stay, and so
     do the rows of a component in which every id is null."""
-    found = store(jaccard_components(docs, percent, width), "parity-found")
+    found = jaccard_components(docs, percent, width)
     kept = without(docs, found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))))
     twice = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "digest").count().where("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

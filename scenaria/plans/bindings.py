@@ -8,7 +8,8 @@ Roles
 -----
 country          a nation; code ``N`` + two-digit nation key, name ``n_name``, region ``r_name``
 stimulus parts   order totals per nation by priority (status F/O); international aid = status P orders;
-                 total = all F/O orders, so the 5-LOW orders are the unallocated residual
+                 total = all F/O orders, so the 5-LOW orders are the unallocated residual; the bloc has a
+                 row of its own (code EU): the status P orders of its members
 region sheet     (nation name such as Nation_6, region name) plus an ``European Union`` row; one nation is dropped
 investment       line revenue by (part type = model, supplier region = region, line status = scenario,
                  return flag = technology, ship year)
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenaria.functions.recode import recode
+from scenaria.operators.skew import join_skewed
 from scenaria.plans import gdp as G
 from scenaria.plans import investment as I
 from scenaria.plans import shares as SH
@@ -158,13 +160,18 @@ def stim_wide(spark: SparkSession, d: str) -> DataFrame:
     """country_code, health, non_health, loans_guarantees, deferrals, international_aid, total (cents)."""
     j = _orders_by_nation(spark, d)
     alloc = F.col("o_orderstatus") != F.lit("P")
-    parts = [F.sum(F.when(alloc & (F.col("o_orderpriority") == F.lit(p)), F.col("cents"))).cast("double").alias(n)
-             for n, p in PRIORITY_PARTS.items()]
-    return _materialize(j.groupBy("country_code").agg(
-        *parts,
+    def parts(taken):
+        return [F.sum(F.when(taken & (F.col("o_orderpriority") == F.lit(p)), F.col("cents"))).cast("double").alias(n)
+                for n, p in PRIORITY_PARTS.items()]
+    own = j.groupBy("country_code").agg(
+        *parts(alloc),
         F.sum(F.when(~alloc, F.col("cents"))).cast("double").alias("international_aid"),
         F.sum(F.when(alloc, F.col("cents"))).cast("double").alias("total"),
-    ), "stim-wide")
+    )
+    # the bloc's own package: the status P orders of its members, all allocated
+    bloc = j.filter(~alloc & F.col("country_code").isin(list(BLOC_MEMBERS))).groupBy(F.lit("EU").alias("country_code")).agg(
+        *parts(F.lit(True)), F.lit(None).cast("double").alias("international_aid"), F.sum("cents").cast("double").alias("total"))
+    return _materialize(own.unionByName(bloc), "stim-wide")
 
 
 @_memo
@@ -220,7 +227,7 @@ def invest_cells_plan(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     nat = nations(spark, d).select("n_nationkey", "region")
     sup_region = s.join(nat, s.s_nationkey == nat.n_nationkey).select("s_suppkey", "region")
-    j = li.join(p, li.l_partkey == p.p_partkey).join(sup_region, li.l_suppkey == sup_region.s_suppkey)
+    j = join_skewed(join_skewed(li, p, "l_partkey", "p_partkey"), sup_region, "l_suppkey", "s_suppkey")
     return j.groupBy(
         F.col("p_type").alias("model"), F.concat(F.lit("R5"), F.col("region")).alias("region"),
         F.col("l_linestatus").alias("scenario"), F.col("l_returnflag").alias("variable"), "year",

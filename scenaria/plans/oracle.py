@@ -121,7 +121,10 @@ cte("stim_wide", ["orders_nat"], f"""SELECT country_code,
   {_part('4-NOT SPECIFIED')} AS deferrals,
   CAST(sum(CASE WHEN o_orderstatus = 'P' THEN cents END) AS DOUBLE) AS international_aid,
   CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN cents END) AS DOUBLE) AS total
-FROM orders_nat GROUP BY country_code""")
+FROM orders_nat GROUP BY country_code
+UNION ALL SELECT 'EU', {_part('1-URGENT', "o_orderstatus = 'P'")}, {_part('2-HIGH', "o_orderstatus = 'P'")}, {_part('3-MEDIUM', "o_orderstatus = 'P'")},
+  {_part('4-NOT SPECIFIED', "o_orderstatus = 'P'")}, CAST(NULL AS DOUBLE), CAST(sum(cents) AS DOUBLE)
+FROM orders_nat WHERE o_orderstatus = 'P' AND country_code IN ('N00','N01','N02','N03','N04') GROUP BY ()  HAVING count(*) > 0""")
 
 cte("stim_cat", ["stim_wide", "region_dim"], """SELECT w.country_code, d.region,
   coalesce(health, 0.0) AS h, coalesce(non_health, 0.0) AS nh, coalesce(loans_guarantees, 0.0) AS lg,

@@ -10,7 +10,8 @@ country          a nation; code ``N`` + two-digit nation key, name ``n_name``, r
 stimulus parts   order totals per nation by priority (status F/O); international aid = status P orders;
                  total = all F/O orders, so the 5-LOW orders are the unallocated residual; the bloc has a
                  row of its own (code EU): the status P orders of its members
-region sheet     (nation name such as Nation_6, region name) plus an ``European Union`` row; one nation is dropped
+region sheet     (nation name such as Nation_6, region name) plus an ``European Union`` row; one nation is dropped,
+                 two are listed twice with different regions
 investment       line revenue by (part type = model, supplier region = region, line status = scenario,
                  return flag = technology, ship year)
 investment sheet two knots as text, 1995 (all ship years before 2000) and 2000 (all later ones), and 2001 on its
@@ -34,6 +35,7 @@ from scenaria.plans import stimulus as S
 # Fixed values of the binding (parameters of the result tables when run on the test tables).
 DROPPED_COUNTRY = "Nation_24"
 BLOC_SHEET_REGION = "BLOC"
+LISTED_AGAIN = (("Nation_8", "ASIA", -1), ("Nation_7", "AFRICA", 1007))
 REGION_RECODE = {"MIDDLE EAST": "MIDEAST"}
 STIM_REGION_RECODE = {"BLOC": "EUROPE"}
 BLOC_MEMBERS = ("N00", "N01", "N02", "N03", "N04", "EU")
@@ -135,9 +137,11 @@ def xwalk(spark: SparkSession, d: str) -> DataFrame:
 
 @_memo
 def region_sheet(spark: SparkSession, d: str) -> DataFrame:
-    nat = nations(spark, d).select("country", "region")
-    eu = spark.range(1).select(F.lit("European Union").alias("country"), F.lit(BLOC_SHEET_REGION).alias("region"))
-    return nat.unionByName(eu)
+    """country, region, sheet_order: the nations by key, the bloc, and two countries listed twice with another region, one
+    further up in the sheet (it wins where the first row of a code counts) and one further down (it does not)."""
+    nat = nations(spark, d).select("country", "region", F.col("n_nationkey").cast("int").alias("sheet_order"))
+    more = spark.createDataFrame([("European Union", BLOC_SHEET_REGION, 1000), *LISTED_AGAIN], "country string, region string, sheet_order int")
+    return nat.unionByName(more)
 
 
 @_memo

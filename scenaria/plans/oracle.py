@@ -95,11 +95,12 @@ FROM nation JOIN region ON n_regionkey = r_regionkey""")
 
 cte("xwalk", ["nat"], "SELECT country AS country_name, country_code AS iso3 FROM nat")
 
-cte("region_sheet", ["nat"], "SELECT country, region FROM nat UNION ALL SELECT 'European Union', 'BLOC'")
+cte("region_sheet", ["nat"], """SELECT country, region, CAST(n_nationkey AS INTEGER) AS sheet_order FROM nat
+UNION ALL SELECT 'European Union', 'BLOC', 1000 UNION ALL SELECT 'Nation_8', 'ASIA', -1 UNION ALL SELECT 'Nation_7', 'AFRICA', 1007""")
 
-cte("region_dim", ["region_sheet", "xwalk"], """SELECT country, region, CASE WHEN c1 = 'EUM' THEN 'NAM' ELSE c1 END AS country_code
+cte("region_dim", ["region_sheet", "xwalk"], """SELECT country, region, sheet_order, CASE WHEN c1 = 'EUM' THEN 'NAM' ELSE c1 END AS country_code
 FROM (
-  SELECT s.country, """ + _case_recode("s.region", {"MIDDLE EAST": "MIDEAST"}) + """ AS region,
+  SELECT s.country, s.sheet_order, """ + _case_recode("s.region", {"MIDDLE EAST": "MIDEAST"}) + """ AS region,
          regexp_replace(coalesce(x.iso3, 'NA'), 'NA', 'EU') AS c1
   FROM region_sheet s
   LEFT JOIN (SELECT lower(trim(regexp_replace(country_name, '\\s+', ' ', 'g'))) AS nm, min(iso3) AS iso3
@@ -108,6 +109,9 @@ FROM (
 ) t
 WHERE NOT (country = 'Nation_24')""")
 
+cte("region_first", ["region_dim"], """SELECT country_code, region FROM (
+  SELECT *, row_number() OVER (PARTITION BY country_code ORDER BY sheet_order, country, region) AS rn FROM region_dim) t WHERE rn = 1""")
+
 cte("orders_nat", ["nat"], f"""SELECT o_orderpriority, o_orderstatus, {CENTS.format(c='o_totalprice')} AS cents, nat.country_code
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nat ON c_nationkey = nat.n_nationkey""")
 
@@ -126,10 +130,10 @@ UNION ALL SELECT 'EU', {_part('1-URGENT', "o_orderstatus = 'P'")}, {_part('2-HIG
   {_part('4-NOT SPECIFIED', "o_orderstatus = 'P'")}, CAST(NULL AS DOUBLE), CAST(sum(cents) AS DOUBLE)
 FROM orders_nat WHERE o_orderstatus = 'P' AND country_code IN ('N00','N01','N02','N03','N04') GROUP BY ()  HAVING count(*) > 0""")
 
-cte("stim_cat", ["stim_wide", "region_dim"], """SELECT w.country_code, d.region,
+cte("stim_cat", ["stim_wide", "region_first"], """SELECT w.country_code, d.region,
   coalesce(health, 0.0) AS h, coalesce(non_health, 0.0) AS nh, coalesce(loans_guarantees, 0.0) AS lg,
   coalesce(deferrals, 0.0) AS df, coalesce(total, 0.0) AS tot
-FROM stim_wide w LEFT JOIN region_dim d ON w.country_code = d.country_code""")
+FROM stim_wide w LEFT JOIN region_first d ON w.country_code = d.country_code""")
 
 cte("stim_long", ["stim_cat"], """SELECT country_code, region, 'Health sector spending' AS component, h AS stimulus FROM stim_cat
 UNION ALL SELECT country_code, region, 'General spending', (nh + (tot - (((df + h) + lg) + nh))) + df FROM stim_cat
@@ -281,13 +285,13 @@ cte("gdp_wide", ["gdp_nat"], "SELECT country AS country_name, country_code, 'GDP
     "'NY.GDP.MKTP.CD', " + ", ".join(f"CAST(sum(CASE WHEN year = {y} THEN cents END) AS DOUBLE)" for y in _Y)
     + " FROM gdp_nat")
 
-cte("gdp_by_region", ["gdp_wide", "region_dim"], """SELECT region, gdp FROM (
+cte("gdp_by_region", ["gdp_wide", "region_first"], """SELECT region, gdp FROM (
   SELECT d.region, coalesce(sum(g.x2000), 0.0) AS gdp
-  FROM gdp_wide g LEFT JOIN region_dim d ON g.country_code = d.country_code
+  FROM gdp_wide g LEFT JOIN region_first d ON g.country_code = d.country_code
   WHERE NOT (d.region = 'BLOC') GROUP BY d.region) r
 UNION ALL SELECT 'World', coalesce(sum(gdp), 0.0) FROM (
   SELECT coalesce(sum(g.x2000), 0.0) AS gdp
-  FROM gdp_wide g LEFT JOIN region_dim d ON g.country_code = d.country_code
+  FROM gdp_wide g LEFT JOIN region_first d ON g.country_code = d.country_code
   WHERE NOT (d.region = 'BLOC') GROUP BY d.region) w""")
 cte("gdp_selected", ["gdp_wide"], """SELECT 'EU' AS region, CAST(1.55e13 AS DOUBLE) AS gdp
 UNION ALL SELECT country_code, x2000 FROM gdp_wide WHERE country_code IN ('N05', 'N10', 'N15')""")

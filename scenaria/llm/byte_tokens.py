@@ -194,8 +194,11 @@ class Encoder(dict):
         self.size = np.array(automaton.size, np.int64)
         self.start = np.cumsum(self.size) - self.size
 
+    def cut(self, word: str) -> list[int]:
+        return self.automaton.encode_word(word.encode())
+
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.automaton.encode_word(word.encode()), "<u4").tobytes()
+        out = np.array(self.cut(word), "<u4").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -111,7 +111,7 @@ _MASTER_SCHEMA = "row_index long, region string, component string, stimulus doub
 def q_export_indexed(spark, d):
     path = scratch_path(spark, "export")
     SRC.export_indexed(B.stim_master(spark, d), path, ["region", "component"])
-    return spark.read.csv(path, header=True, schema=_MASTER_SCHEMA)
+    return SRC.read_published(spark, path, _MASTER_SCHEMA)
 
 
 @register("normalise_headers", O.sql("""SELECT "Model" AS model, "Region" AS region, "Scenario" AS scenario,
@@ -732,6 +732,13 @@ def q_fig_shift(spark, d):
     return FG.fig_shift(B.shift(spark, d, "mean"), _REG1)
 
 
+@register("fig_shift_economies", _stacked(f"""SELECT region, variable, shift AS value, net FROM shift_annual
+WHERE region IN {_in(_INV_ECON)} AND variable IN ('Fossil fuels', 'Low carbon sources')""", "region", ["shift_annual"],
+                                          _SECTOR_CASE))
+def q_fig_shift_economies(spark, d):
+    return FG.fig_shift(B.shift(spark, d, "mean"), _INV_ECON)
+
+
 def _share_src(regions, measure, unit=None):
     val = f"{measure} / {unit}" if unit else measure
     return (f"SELECT region, invest_type, variable, {val} AS value FROM gdp_shares "

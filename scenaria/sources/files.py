@@ -7,7 +7,7 @@
   their content. No line counting, so the file stays splittable across tasks. What is not read is counted, too.
 * Sheet tables: a workbook sheet exported as CSV or Parquet, read by sheet name with a declared schema.
 * Indexed export: a consecutive row index in an explicit order, computed per partition with offsets from
-  a per-partition count table; no step funnels the rows through one task.
+  per-partition counts; no step funnels the rows through one task. Exports are published by one rename.
 """
 
 from __future__ import annotations
@@ -185,9 +185,73 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
     return ranked(stored, keys, name, partitions).select(name, *[F.col(f"`{c}`") for c in df.columns])
 
 
+MANIFEST = "_manifest.json"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(Hadoop path, its file system) of a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of an export: the folder that holds it, its format and number of rows; None before the first one."""
+    import json
+
+    p, fs = _hadoop(spark, f"{path.rstrip('/')}/{MANIFEST}")
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        return json.loads(bytes(source.readAllBytes()))
+    finally:
+        source.close()
+
+
+def publish(df: DataFrame, path: str, fmt: str = "csv") -> dict:
+    """Write ``df`` as the export at ``path``: into a folder of its own first, then a new manifest that names it takes the old
+    one's place by one rename. A job that is killed on the way leaves the old export whole, and readers see the old or the
+    new one. Folders that the new manifest and the one before do not name are deleted afterwards."""
+    import json
+    import uuid
+
+    from pyspark.sql import Observation
+
+    spark, root = df.sparkSession, path.rstrip("/")
+    before = published(spark, root)
+    data, seen = f"data-{uuid.uuid4().hex}", Observation()
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{root}/{data}", fmt)
+    manifest = {"data": data, "format": fmt, "rows": seen.get["rows"]}
+    staged, fs = _hadoop(spark, f"{root}/{MANIFEST}-{uuid.uuid4().hex}")
+    out = fs.create(staged)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark._sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context.rename(staged, _hadoop(spark, f"{root}/{MANIFEST}")[0], how)
+    for s in fs.listStatus(staged.getParent()):
+        name = s.getPath().getName()
+        if name.startswith("data-") and name not in (data, (before or {}).get("data")):
+            fs.delete(s.getPath(), True)
+    return manifest
+
+
+def read_published(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The export at ``path`` as its manifest has it now."""
+    m = published(spark, path)
+    if m is None:
+        raise FileNotFoundError(f"no export at {path}")
+    reader = spark.read.schema(schema)
+    at = f"{path.rstrip('/')}/{m['data']}"
+    return reader.csv(at, header=True) if m["format"] == "csv" else reader.parquet(at)
+
+
 def export_indexed(df: DataFrame, path: str, order_by: Sequence[str], fmt: str = "csv",
                    name: str = "row_index") -> DataFrame:
-    """``write.csv(df)``: a header and a leading row-number column. Returns the indexed frame."""
+    """``write.csv(df)``: a header and a leading row-number column, published at ``path`` at once (``publish``;
+    ``read_published`` reads it). Returns the indexed frame. Numbering stores the rows twice before (``with_row_index``)."""
     indexed = with_row_index(df, order_by, name)
-    write_table(indexed, path, fmt)
+    publish(indexed, path, fmt)
     return indexed

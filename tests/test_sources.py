@@ -59,3 +59,34 @@ def test_lines_left_out_of_a_preamble_file_are_counted(spark):
     assert df.count() == 2 and df.observed.get == {"lines": 5, "rejected": 3}
     left = read_csv_skip_preamble(spark, path, ["code", "x"], "code", rejects=True)
     assert {r.code for r in left.collect()} == {"made by", "Country Code", "not a code"}
+
+
+def test_exports_are_published_at_once(spark):
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from scenaria.sources.files import export_indexed, published, read_published
+
+    path, schema = scratch_path(spark, "published"), "row_index long, k string"
+    with pytest.raises(FileNotFoundError):
+        read_published(spark, path, schema)
+
+    def export(keys, df=None):
+        export_indexed(df if df is not None else spark.createDataFrame([(k,) for k in keys], "k string"), path, ["k"])
+
+    def read():
+        return sorted(tuple(r) for r in read_published(spark, path, schema).collect())
+    export("ba")
+    assert read() == [(1, "a"), (2, "b")] and published(spark, path)["rows"] == 2
+    broken = spark.createDataFrame([("x",), ("y",)], "k string").withColumn("k", F.when(F.col("k") == "y", F.raise_error(F.lit("killed"))).otherwise(F.col("k")))
+    with pytest.raises(Exception, match="killed"):
+        export("", broken)
+    assert read() == [(1, "a"), (2, "b")], "the old export stays whole"
+    held = read_published(spark, path, schema)
+    export("c")
+    assert read() == [(1, "c")] and held.count() == 2, "who reads the old one may finish"
+    export("d")
+    local = path.removeprefix("file:")
+    assert len([x for x in os.listdir(local) if x.startswith("data-")]) == 2

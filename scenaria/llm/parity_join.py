@@ -42,6 +42,8 @@ from scenaria.llm.shingles import buffers, distinct, mix, shingles, words
 BAND_RATIO = 1.4
 #: Rows of one side of a comparison cell.
 CELL = 1024
+#: Rows of whole cells that one call compares, about.
+PACK = 16_384
 #: Chance, for a linked pair at the threshold, of having no keyed block with members in common.
 LOSS = 1e-12
 #: Words of the sketch by which whole sets are compared.
@@ -196,8 +198,8 @@ def _profile(width: int, percent: int):
     return run
 
 
-def _fetch(width: int, wanted: bytes):
-    """Sets and sketches of the documents whose id is in the bit map, each node once a task."""
+def _fetch(width: int, wanted: bytes, sketches: bool):
+    """Sketches, or else whole sets, of the documents whose id is in the bit map, each node once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpacked(wanted)
         seen: set[int] = set()
@@ -206,17 +208,24 @@ def _fetch(width: int, wanted: bytes):
             batch = batch.filter(pa.array(in_map(bits, ids)))
             for s, e, chunk in text_chunks(batch):
                 sets, at = _sets(chunk, width)
-                sketch, base = _sketch(sets, at, np.full(e - s, WORDS))
                 node = set_digest(sets, at)
                 fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
+                values, base = _sketch(sets, at, np.full(e - s, WORDS)) if sketches else (sets, at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array(np.diff(at)),
-                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(sketch.view(np.int64)))],
-                    names=["node", "n_shingles", "members", "sketch"]).filter(pa.array(fresh))
+                    [pa.array(node), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(values.view(np.int64)))],
+                    names=["node", "n_shingles", "held"]).filter(pa.array(fresh))
     return run
 
 
+def _held(source: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, sketches: bool, name: str) -> DataFrame:
+    """(node, n_shingles, held) of ``nodes``, and of some others, stored: their sketches or their whole sets. The texts are
+    read again, by the smallest id that has the node, so that no set is kept or shuffled that no pair asks for."""
+    ids = F.coalesce("doc_id", F.lit(NULL_ID))
+    reps = rows.groupBy("node").agg(F.min(ids).alias("rep")).join(nodes, "node", "left_semi")
+    return store(source.mapInArrow(_fetch(width, bit_map(reps, "rep"), sketches), "node long, n_shingles long, held array<long>")
+                 .where("n_shingles > 0"), name)
+
+
 def _entries(full: bytes):
     """(bucket, node) of the stored keys that may lie in a bucket of several nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,36 +239,51 @@ def _entries(full: bytes):
     return run
 
 
+def _near_in_cell(node, root, size, sketch, first: int, percent: int) -> np.ndarray:
+    """Pairs of nodes of different components in one cell that whole sketches don't rule out: each of the rows before
+    ``first`` with each from ``first`` on, or, with ``first`` 0, every two rows."""
+    found = []
+    for i in range(first or len(node) - 1):
+        rest = slice(first or i + 1, None)
+        apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        ok = (apart <= most_apart(size[i] + size[rest], percent)) & (root[rest] != root[i])
+        if ok.any():
+            other = node[rest][ok]
+            found.append(np.stack([np.minimum(node[i], other), np.maximum(node[i], other)], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
 def _cells(percent: int):
-    """Pairs of different components in one cell of a bucket that whole sketches don't rule out."""
+    """The near pairs of all cells of a pack of cells."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(rows.low.iloc[0]), int(rows.high.iloc[0])
-        left, right = rows[rows.chunk == low], rows[rows.chunk == high]
-        (na, ra, za), (nb, rb, zb) = [[x[c].to_numpy(np.int64) for c in ("node", "root", "n_shingles")] for x in (left, right)]
-        sa, sb = [np.array([np.asarray(v, np.int64) for v in x.sketch], np.int64).reshape(len(x), WORDS).view(_U) for x in (left, right)]
-        found = []
-        for i in range(len(left)):
-            apart = np.bitwise_count(sb ^ sa[i]).sum(axis=1, dtype=np.int64)
-            ok = (apart <= most_apart(za[i] + zb, percent)) & (rb != ra[i])
-            if low == high:
-                ok[: i + 1] = False
-            found.append(np.stack([np.minimum(na[i], nb[ok]), np.maximum(na[i], nb[ok])], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        bucket, low, high, chunk = (rows[c].to_numpy(np.int64) for c in ("bucket", "low", "high", "chunk"))
+        order = np.lexsort((chunk, high, low, bucket))
+        node, root, size = (rows[c].to_numpy(np.int64)[order] for c in ("node", "root", "n_shingles"))
+        sketch = np.concatenate(rows["held"].to_list()).reshape(len(rows), WORDS).view(_U)[order]
+        bucket, low, high, chunk = bucket[order], low[order], high[order], chunk[order]
+        new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        found = [np.zeros((0, 2), np.int64)]
+        for s, e in zip([0, *new.tolist()], [*new.tolist(), len(node)]):
+            first = 0 if low[s] == high[s] else int(np.searchsorted(chunk[s:e], high[s]))
+            if first < e - s:  # else one side of the cell is empty
+                found.append(_near_in_cell(node[s:e], root[s:e], size[s:e], sketch[s:e], first, percent) if first or low[s] == high[s] else found[0])
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
     return run
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, rows: DataFrame, sketches: DataFrame, percent: int, width: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets have the asked similarity, stored: by whole sketches, then by exact intersection."""
-    def side(c: str, what: str) -> DataFrame:
-        return members.select(F.col("node").alias(c), F.col(what).alias(f"{what}_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    def side(of: DataFrame, c: str) -> DataFrame:
+        return of.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    apart = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     total = F.col("n_a") + F.col("n_b")
-    near = store(pairs.join(side("b", "sketch"), "b").join(side("a", "sketch"), "a")
+    near = store(pairs.join(side(sketches, "b"), "b").join(side(sketches, "a"), "a")
                  .where(apart * (100 + percent) <= total * (100 - percent)).select("a", "b"), f"{name}-near")
-    both = F.size(F.array_intersect("members_a", "members_b"))
-    out = store(near.join(side("b", "members"), "b").join(side("a", "members"), "a").where(100 * both >= percent * (total - both)).select("a", "b"), name)
-    discard(near)
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _held(source, rows, nodes, width, False, f"{name}-sets")
+    both = F.size(F.array_intersect("held_a", "held_b"))
+    out = store(near.join(side(sets, "b"), "b").join(side(sets, "a"), "a").where(100 * both >= percent * (total - both)).select("a", "b"), name)
+    discard(near, sets)
     return out
 
 
@@ -278,7 +302,6 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_co
 def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -> DataFrame:
     """(doc_id, digest, n_shingles, component_id) from stored ``rows`` (PROFILE) of the texts in ``source``: sets that share
     a key are candidates, links are verified exactly. The result is stored; ``rows`` and all tables between are deleted."""
-    ids = F.coalesce("doc_id", F.lit(NULL_ID))
     full = (rows.select("node", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
             .where("a < z").select("bucket"))
     full = store(full, "parity-full")
@@ -290,29 +313,29 @@ def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -
     middle = shared.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("middle"))
     entries, shared = shared, store(shared.join(middle, "bucket"), "parity-shared")
     discard(full, entries)
-    reps = rows.groupBy("node").agg(F.min(ids).alias("rep")).join(shared.select("node").distinct(), "node", "left_semi")
-    members = store(source.mapInArrow(_fetch(width, bit_map(reps, "rep")), "node long, n_shingles long, members array<long>, sketch array<long>")
-                    .where("n_shingles > 0"), "parity-members")
+    sketches = _held(source, rows, shared.select("node").distinct(), width, True, "parity-sketches")
 
     star = shared.where("node <> middle").select(F.least("node", "middle").alias("a"), F.greatest("node", "middle").alias("b")).distinct()
-    links = _verified(star, members, percent, "parity-star")
+    links = _verified(star, source, rows, sketches, percent, width, "parity-star")
     label = components(links, "parity-star")
 
     bucket_root = shared.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     bucket_root = store(bucket_root, "parity-roots")
     discard(shared)
     mixed = (bucket_root.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"))
-             .where("r0 < r1 and m > 2").select("bucket", F.ceil(F.col("m") / CELL).cast("int").alias("chunks")))
-    mixed_rows = (bucket_root.join(mixed, "bucket")
+             .where("r0 < r1 and m > 2").select("bucket", "m", F.ceil(F.col("m") / CELL).cast("int").alias("chunks")))
+    mixed_rows = (bucket_root.join(mixed.select("bucket", "chunks"), "bucket")
                   .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
                   .select("bucket", "node", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")))
-    # cells are small in bytes and long in work: dealt to a fixed number of tasks, which are not merged by their bytes
-    tasks = 4 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = (mixed_rows.join(members.select("node", "n_shingles", "sketch"), "node").repartition(tasks, "bucket", "low", "high").groupBy("bucket", "low", "high")
+    # many small cells make one pack, whole cells of about PACK rows together; packs are as many as the rows ask for
+    packs = 1 + mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("chunks")), F.lit(0))).first()[0] // PACK
+    pack = F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(packs)).alias("pack")
+    tasks = int(min(packs, 4 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    more = (mixed_rows.join(sketches, "node").select("*", pack).repartition(tasks, "pack").groupBy("pack")
             .applyInPandas(_cells(percent), "a long, b long").distinct())
-    found = _verified(more, members, percent, "parity-rest")
-    discard(members, bucket_root)
+    found = _verified(more, source, rows, sketches, percent, width, "parity-rest")
+    discard(sketches, bucket_root)
     if not found.isEmpty():
         first, label = label, components(links.union(found), "parity-all")
         discard(first)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(run: Callable) -> Callable:
+    """``run``, a function over batches, that hands its memory back to the system when its task ends. Workers are kept for
+    later tasks, and what their allocators hold counts against the executor until then."""
+    def tidy(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+        if trim is not None:
+            trim(0)
+    return tidy
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:
     """Slices of a batch's texts with about ``most`` bytes each (a longer text comes alone), as (from, to, texts)."""
     texts = batch.column(column)
@@ -97,7 +112,7 @@ def bit_map(df: DataFrame, column: str) -> bytes:
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "word"])
     out = np.zeros(MAP_BITS // 64, dtype=np.int64)
-    got = df.select(column).mapInArrow(local, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    got = df.select(column).mapInArrow(released(local), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     out[got["at"].to_numpy()] = got["word"].to_numpy()
     return out.tobytes()
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import id_text
+from scenaria.llm.common import id_text, released
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,7 @@ def scored(docs: DataFrame, model: Model | None, share: float) -> DataFrame:
     docs = id_text(docs)
     if model is None or math.isnan(sum(model.weights)):
         return docs.select("doc_id", F.lit(share).alias("score"))
-    return docs.mapInArrow(_scorer(model), "doc_id long, score double")
+    return docs.mapInArrow(released(_scorer(model)), "doc_id long, score double")
 
 
 def held_out(column: str = "doc_id"):
@@ -163,4 +163,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         sizes = _Sizes(model.dictionaries, model.piece, model.level)
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, sizes, batch.column("text")) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

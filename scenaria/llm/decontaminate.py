@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import bit_map, id_text, in_map, store, text_chunks, unpacked, without
+from scenaria.llm.common import bit_map, id_text, in_map, released, store, text_chunks, unpacked, without
 from scenaria.llm.shingles import buffers, mix, shingles, words
 
 #: Score of a matching word; a word replaced, left out or put in costs 1.
@@ -144,14 +144,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: fl
     xxhash64 of its text) with each item, where the score reaches ``threshold``. ``common`` and ``floor`` are accepted
     from earlier callers and have no effect: no seed is dropped for its frequency."""
     source = id_text(benchmark, item_col).withColumn("item", F.xxhash64("text")).distinct()
-    named = store(source.mapInArrow(_items(width), "item_id long, item long, width int, words array<long>, seeds array<long>"), "leak-items")
+    named = store(source.mapInArrow(released(_items(width)), "item_id long, item long, width int, words array<long>, seeds array<long>"), "leak-items")
     # equal texts are searched for once
     items = named.groupBy("item").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds"))
     seeds = store(items.select("item", F.explode("seeds").alias("seed")).distinct(), "leak-seeds")
     margin = named.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     widths = sorted(r.width for r in named.select("width").where("width > 0").distinct().collect()) or [width]
     source = id_text(docs, id_col).withColumn("digest", F.xxhash64("text"))
-    stretches = store(source.mapInArrow(_stretches(widths, margin, bit_map(seeds, "seed")),
+    stretches = store(source.mapInArrow(released(_stretches(widths, margin, bit_map(seeds, "seed"))),
                                         "doc_id long, digest long, start long, words array<long>, hits array<long>")
                       .withColumn("stretch", F.xxhash64("words")), "leak-stretches")
     # equal words have equal hits
@@ -160,7 +160,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: fl
     pairs = hits.join(seeds, "seed").select("stretch", "item").distinct()
     rows = (pairs.join(items.select("item", F.col("words").alias("item_words")), "item")
             .join(texts.drop("hits"), "stretch").select("stretch", "item", "item_words", "words"))
-    found = store(rows.mapInArrow(_align(threshold), "stretch long, item long, score double, begin long, end long"), "leak-found")
+    found = store(rows.mapInArrow(released(_align(threshold)), "stretch long, item long, score double, begin long, end long"), "leak-found")
     found = (stretches.select("doc_id", "digest", "start", "stretch").join(found, "stretch")
              .select("doc_id", "digest", "item", "score", (F.col("start") + F.col("begin")).alias("first_word"),
                      (F.col("start") + F.col("end")).alias("end_word"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import NULL_ID, bit_map, components, discard, id_text, in_map, store, text_chunks, unpacked, without
+from scenaria.llm.common import NULL_ID, bit_map, components, discard, id_text, in_map, released, store, text_chunks, unpacked, without
 from scenaria.llm.shingles import buffers, distinct, mix, shingles, words
 
 #: Ratio of a size band's ends.
@@ -222,7 +222,7 @@ def _held(source: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, sket
     read again, by the smallest id that has the node, so that no set is kept or shuffled that no pair asks for."""
     ids = F.coalesce("doc_id", F.lit(NULL_ID))
     reps = rows.groupBy("node").agg(F.min(ids).alias("rep")).join(nodes, "node", "left_semi")
-    return store(source.mapInArrow(_fetch(width, bit_map(reps, "rep"), sketches), "node long, n_shingles long, held array<long>")
+    return store(source.mapInArrow(released(_fetch(width, bit_map(reps, "rep"), sketches)), "node long, n_shingles long, held array<long>")
                  .where("n_shingles > 0"), name)
 
 
@@ -295,7 +295,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, id_co
     component_id is the smallest doc_id reachable by links, the document's own included.
     """
     source = id_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
-    rows = store(source.mapInArrow(_profile(width, percent), PROFILE), "parity-rows")
+    rows = store(source.mapInArrow(released(_profile(width, percent)), PROFILE), "parity-rows")
     return link_classes(source, rows, percent, width)
 
 
@@ -305,7 +305,7 @@ def link_classes(source: DataFrame, rows: DataFrame, percent: int, width: int) -
     full = (rows.select("node", F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z"))
             .where("a < z").select("bucket"))
     full = store(full, "parity-full")
-    shared = store(rows.select("node", "keys").mapInArrow(_entries(bit_map(full, "bucket")), "bucket long, node long")
+    shared = store(rows.select("node", "keys").mapInArrow(released(_entries(bit_map(full, "bucket"))), "bucket long, node long")
                    .join(full, "bucket").select("bucket", "node").distinct(), "parity-entries")
     # the middle of a bucket is its node with most company over all its buckets: in a group of near copies, the least edited
     company = shared.groupBy("bucket").agg(F.count("*").alias("m"))

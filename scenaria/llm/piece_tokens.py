@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenaria.llm.common import released
 from scenaria.llm.shingles import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -427,12 +428,12 @@ def encoded(docs: DataFrame, model_file: str = MODEL, seed: int = 1, dropout: fl
     rest = docs.drop(column)
     v = Vocabulary(model_file)
     schema = rest.select("*", F.lit(None).cast("array<int>").alias("tokens")).schema
-    return rest.mapInArrow(_encode(v, seed, dropout, variants, rest.columns, False), schema).withColumnRenamed("tokens", column)
+    return rest.mapInArrow(released(_encode(v, seed, dropout, variants, rest.columns, False)), schema).withColumnRenamed("tokens", column)
 
 
 def token_digests(docs: DataFrame, model_file: str = MODEL, seed: int = 1, dropout: float = 0.1, variants: int = 4) -> DataFrame:
     """(doc_id, n_chars, n_tokens, tokens_sha256, lossless) of every document; lossless: decoding gave the text back.
     The digest is over the ids as little-endian 32-bit integers."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(_encode(Vocabulary(model_file), seed, dropout, variants, ["doc_id"], True),
+    return source.mapInArrow(released(_encode(Vocabulary(model_file), seed, dropout, variants, ["doc_id"], True)),
                              "doc_id long, n_chars long, n_tokens long, tokens_sha256 string, lossless boolean")

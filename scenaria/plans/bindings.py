@@ -164,16 +164,18 @@ def stim_wide(spark: SparkSession, d: str) -> DataFrame:
     """country_code, health, non_health, loans_guarantees, deferrals, international_aid, total (cents)."""
     j = _orders_by_nation(spark, d)
     alloc = F.col("o_orderstatus") != F.lit("P")
+    member = F.col("country_code").isin(list(BLOC_MEMBERS))
+
     def parts(taken):
         return [F.sum(F.when(taken & (F.col("o_orderpriority") == F.lit(p)), F.col("cents"))).cast("double").alias(n)
                 for n, p in PRIORITY_PARTS.items()]
     own = j.groupBy("country_code").agg(
         *parts(alloc),
-        F.sum(F.when(~alloc, F.col("cents"))).cast("double").alias("international_aid"),
+        F.sum(F.when(~alloc & ~member, F.col("cents"))).cast("double").alias("international_aid"),
         F.sum(F.when(alloc, F.col("cents"))).cast("double").alias("total"),
     )
-    # the bloc's own package: the status P orders of its members, all allocated
-    bloc = j.filter(~alloc & F.col("country_code").isin(list(BLOC_MEMBERS))).groupBy(F.lit("EU").alias("country_code")).agg(
+    # the bloc's own package: the status P orders of its members, which then are no aid of theirs
+    bloc = j.filter(~alloc & member).groupBy(F.lit("EU").alias("country_code")).agg(
         *parts(F.lit(True)), F.lit(None).cast("double").alias("international_aid"), F.sum("cents").cast("double").alias("total"))
     return _materialize(own.unionByName(bloc), "stim-wide")
 

@@ -123,7 +123,7 @@ def _part(prio: str, status_pred: str = "o_orderstatus <> 'P'") -> str:
 cte("stim_wide", ["orders_nat"], f"""SELECT country_code,
   {_part('1-URGENT')} AS health, {_part('2-HIGH')} AS non_health, {_part('3-MEDIUM')} AS loans_guarantees,
   {_part('4-NOT SPECIFIED')} AS deferrals,
-  CAST(sum(CASE WHEN o_orderstatus = 'P' THEN cents END) AS DOUBLE) AS international_aid,
+  CAST(sum(CASE WHEN o_orderstatus = 'P' AND country_code NOT IN ('N00','N01','N02','N03','N04') THEN cents END) AS DOUBLE) AS international_aid,
   CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN cents END) AS DOUBLE) AS total
 FROM orders_nat GROUP BY country_code
 UNION ALL SELECT 'EU', {_part('1-URGENT', "o_orderstatus = 'P'")}, {_part('2-HIGH', "o_orderstatus = 'P'")}, {_part('3-MEDIUM', "o_orderstatus = 'P'")},

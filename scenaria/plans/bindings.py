@@ -362,6 +362,12 @@ def map_dim(spark: SparkSession, d: str) -> DataFrame:
     return SH.map_region_dimension(map_sheet(spark, d), xwalk(spark, d))
 
 
+@_memo
+def map_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Country rows by map region, stored once: the map's statistics are taken from them and attached to them."""
+    return _materialize(SH.map_region_rows(stim_long(spark, d), map_dim(spark, d), gdp_country(spark, d)), "map-rows")
+
+
 def scenarios(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("1.5C",), ("CPol",)], "scenario string")
 

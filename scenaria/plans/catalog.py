@@ -296,7 +296,7 @@ def q_map_gdp(spark, d):
         LEFT JOIN gdp_country g ON l.country_code = g.country_code) j) t""",
                                          ["stim_long", "map_dim", "gdp_country"]))
 def q_map_region_stimulus(spark, d):
-    return SH.map_region_stimulus(B.stim_long(spark, d), B.map_dim(spark, d), B.gdp_country(spark, d))
+    return SH.map_region_stats(B.map_rows(spark, d))
 
 
 O.cte("spread_per_model", ["invest"], f"""SELECT region, variable, model, scenario, {O.strict_mean('investment')} AS annual_avg

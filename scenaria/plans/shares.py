@@ -83,12 +83,22 @@ def map_region_dimension(sheet: DataFrame, xwalk: DataFrame, bloc_name: str = "E
     return first_per_key(d, ["country_code", "region"], [c for c in ("sheet_order", "country") if c in d.columns])
 
 
-def map_region_stimulus(long: DataFrame, map_dim: DataFrame, gdp_country: DataFrame) -> DataFrame:
-    """Every country row with regional stimulus per component, regional GDP, regional total and ratio."""
-    j = join_fanout(long.drop("region"), map_dim, "country_code", "region").join(gdp_country, "country_code", "left")
-    j = attach_two_grains(j, ["region"], "component", {"stim_reg": strict_sum("stimulus"), "gdp_reg": skipna_sum("gdp")},
+def map_region_rows(long: DataFrame, map_dim: DataFrame, gdp_country: DataFrame) -> DataFrame:
+    """Every country row in each region the country belongs to, with the country's GDP."""
+    return join_fanout(long.drop("region"), map_dim, "country_code", "region").join(gdp_country, "country_code", "left")
+
+
+def map_region_stats(rows: DataFrame) -> DataFrame:
+    """``map_region_rows`` with regional stimulus per component, regional GDP, regional total and ratio. The rows are read once
+    for the statistics and once to attach them: store them if they are dear."""
+    j = attach_two_grains(rows, ["region"], "component", {"stim_reg": strict_sum("stimulus"), "gdp_reg": skipna_sum("gdp")},
                           "stimulus", "total_stim_reg")
     return j.withColumn("pct_gdp", F.try_divide(F.col("total_stim_reg"), F.col("gdp_reg")))
 
 
+def map_region_stimulus(long: DataFrame, map_dim: DataFrame, gdp_country: DataFrame) -> DataFrame:
+    """``map_region_stats`` of ``map_region_rows``."""
+    return map_region_stats(map_region_rows(long, map_dim, gdp_country))
+
+
 __all__ = ["CATEGORIES"]

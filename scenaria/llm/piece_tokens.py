@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenaria.llm.common import released
+from scenaria.llm.common import released, text_chunks
 from scenaria.llm.shingles import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -398,14 +398,8 @@ def _encode(v: Vocabulary, seed: int, dropout: float, variants: int, names: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v, seed, dropout, variants)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                end, total = at, 0
-                while end < len(texts) and (end == at or total + len(texts[end] or "") <= 1 << 20):
-                    total += len(texts[end] or "")
-                    end += 1
-                part = [t or "" for t in texts[at:end]]
+            for at, end, texts in text_chunks(batch):  # never a whole batch as Python strings
+                part = texts.to_pylist()
                 ids = encoder.encode(part)
                 base = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(base), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -418,7 +412,6 @@ def _encode(v: Vocabulary, seed: int, dropout: float, variants: int, names: list
                 else:
                     columns["tokens"] = tokens
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-                at = end
     return run
 
 

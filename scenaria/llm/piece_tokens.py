@@ -342,7 +342,8 @@ def spelled(v: Vocabulary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Encoder:
     """``variants`` is accepted from earlier callers and has no effect: every occurrence is drawn on its own."""
 
-    def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int = 4):
+    def __init__(self, vocabulary: Vocabulary, seed: int, dropout: float, variants: int = 4, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.v, self.dropout = vocabulary, dropout
         self.salt = hashlib.blake2b(f"pieces:{seed}".encode(), digest_size=16).digest()
         self.own = vocabulary.bytes[list(MARK.encode())].astype(np.int32)
@@ -366,7 +367,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text."""
-        if len(self.traces) > REMEMBERED:
+        if len(self.traces) > self.remembered:
             self.traces = _Traces(self.v)
         cut = [self.units(t) for t in texts]
         counts = np.array([len(u) for u in cut], np.int64)
@@ -394,9 +395,9 @@ def decode(v: Vocabulary, ids: np.ndarray) -> str:
     return whole[1:].decode()  # without the leading mark
 
 
-def _encode(v: Vocabulary, seed: int, dropout: float, variants: int, names: list[str], check: bool):
+def _encode(v: Vocabulary, seed: int, dropout: float, variants: int, names: list[str], check: bool, remembered: int = REMEMBERED):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v, seed, dropout, variants)
+        encoder = Encoder(v, seed, dropout, variants, remembered)
         for batch in batches:
             for at, end, texts in text_chunks(batch):  # never a whole batch as Python strings
                 part = texts.to_pylist()
@@ -416,12 +417,13 @@ def _encode(v: Vocabulary, seed: int, dropout: float, variants: int, names: list
 
 
 def encoded(docs: DataFrame, model_file: str = MODEL, seed: int = 1, dropout: float = 0.1, variants: int = 4,
-            column: str = "tokens") -> DataFrame:
-    """``docs`` with its text's piece ids in ``column`` (an input column of that name gives way). ``variants`` has no effect."""
+            column: str = "tokens", remembered: int = 250_000) -> DataFrame:
+    """``docs`` with its text's piece ids in ``column`` (an input column of that name gives way). ``variants`` has no effect;
+    ``remembered`` bounds a worker's memory (traces kept in a task) and costs time only."""
     rest = docs.drop(column)
     v = Vocabulary(model_file)
     schema = rest.select("*", F.lit(None).cast("array<int>").alias("tokens")).schema
-    return rest.mapInArrow(released(_encode(v, seed, dropout, variants, rest.columns, False)), schema).withColumnRenamed("tokens", column)
+    return rest.mapInArrow(released(_encode(v, seed, dropout, variants, rest.columns, False, remembered)), schema).withColumnRenamed("tokens", column)
 
 
 def token_digests(docs: DataFrame, model_file: str = MODEL, seed: int = 1, dropout: float = 0.1, variants: int = 4) -> DataFrame:

@@ -23,21 +23,25 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenaria.llm.common import released, text_chunks
-from scenaria.llm.shingles import mix
+from scenaria.llm.shingles import buffers, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 _U = np.uint64
 _NONE = np.int64(2**62)
+_ALL = 2**64 - 1
 #: Units of more characters are encoded one by one.
 LONG = 48
 #: Traces remembered in a task; at more, all are forgotten.
@@ -77,13 +81,29 @@ class Vocabulary:
         self.rank = np.full(n, _NONE)
         self.rank[list(rank)] = list(rank.values())
         self.by_rank = np.array([*order, -1], np.int64)
-        self.single = np.array(sorted((ord(p), i) for p, i in normal.items() if len(p) == 1), np.int64).reshape(-1, 2)
+        single = {ord(p): i for p, i in normal.items() if len(p) == 1}
+        self.single = np.arange(max(single, default=0) + 2) + n
+        self.single[list(single)] = list(single.values())
+        # ranks by pair, the rows of a table of pairs laid over one another: a pair's cell is its left side's shift + its right side
+        left, right = self.pair // n, self.pair % n
+        order = np.argsort(-np.bincount(left, minlength=n)[left], kind="stable")
+        packed, sides = left << 32 | self.rank[self.merged], np.split(order, np.flatnonzero(np.diff(left[order])) + 1)
+        self.shift, cells, room = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64), 3 * len(self.pair)
+        rng = np.random.default_rng(0)
+        for side in sides if len(order) else ():
+            places, shift = right[side], 0
+            while (cells[shift + places] >= 0).any():
+                shift = int(rng.integers(room))
+                room += 8  # so that a place is found in the end
+                if shift + n >= len(cells):
+                    cells = np.concatenate([cells, np.full(shift + n + 1 - len(cells), -1, np.int64)])
+            cells[shift + places] = packed[side]
+            self.shift[left[side[0]]] = shift
+        self.cells = cells
 
     def symbols(self, code_points: np.ndarray) -> np.ndarray:
         """Piece ids of characters; size + code point where there is none."""
-        at = np.minimum(np.searchsorted(self.single[:, 0], code_points), len(self.single) - 1)
-        known = self.single[at, 0] == code_points
-        return np.where(known, self.single[at, 1], self.size + code_points)
+        return np.where(code_points < len(self.single), self.single[np.minimum(code_points, len(self.single) - 1)], self.size + code_points)
 
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece made of two neighbours, -1 if there is none."""
@@ -92,14 +112,29 @@ class Vocabulary:
         return np.where(self.pair[at] == key, self.merged[at], -1)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of the piece made of two neighbours, the number of ranks if there is none."""
-        made = self.merge(left.astype(np.int64), right.astype(np.int64))
-        return np.where(made >= 0, self.rank[made], len(self.by_rank) - 1)
+        """The rank of the piece made of two neighbours, the number of ranks if there is none; symbols are not negative."""
+        left = np.minimum(left, self.size)
+        found = self.cells[self.shift[left] + np.minimum(right, self.size)]
+        return np.where(found >> 32 == left, found & 0xFFFFFFFF, len(self.by_rank) - 1)
 
+    def rank_of_one(self, left: int, right: int) -> int:
+        """pair_ranks of a single pair."""
+        found = int(self.cells[self.shift[left] + right]) if left < self.size and right < self.size else -1
+        return found & 0xFFFFFFFF if found >> 32 == left else len(self.by_rank) - 1
 
-def _skips(unit: np.ndarray, place: np.ndarray, piece: np.ndarray, key: int | np.ndarray, dropout: float) -> np.ndarray:
-    h = mix(unit + np.asarray(key, _U) + mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + piece.astype(_U)))
-    return (h >> _U(11)).astype(np.float64) * 2.0**-53 < dropout
+
+def _salt(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + piece.astype(_U))
+
+
+def _least(dropout: float) -> int:
+    """The least of the 53 leading bits of a hash that does not skip."""
+    return math.ceil(min(1.0, max(0.0, dropout)) * 2.0**53)
+
+
+def _skips(unit: np.ndarray, salt: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether a pair is skipped; ``unit`` is the unit's hash and the occurrence's key in one, ``salt`` the pair's."""
+    return mix(unit + salt) >> _U(11) < _U(_least(dropout))
 
 
 def _unit_hash(points: np.ndarray) -> np.ndarray:
@@ -134,91 +169,132 @@ def _cut_many(v: Vocabulary, units: list[str], key: int | np.ndarray, dropout: f
     """(symbols of all units, number of each); all agendas advance together, one pair of each unit a round."""
     points, size = _points(units)
     points = _rows(points, np.cumsum(size) - size, size)
-    unit, key = _unit_hash(points), np.broadcast_to(np.asarray(key, _U), len(units))
-    return _cut_rows(v, points, lambda turn, rows, place, piece: _skips(unit[rows], place, piece, key[rows], dropout))
+    unit = _unit_hash(points) + np.asarray(key, _U)
+    return _cut_rows(v, points, lambda turn, rows, place, piece: _skips(unit[rows], _salt(place, piece), dropout))
 
 
 def _cut_rows(v: Vocabulary, points: np.ndarray, skips) -> tuple[np.ndarray, np.ndarray]:
     """_cut_many of rows of code points; ``skips`` (round, rows, places, pieces) tells the pairs to skip."""
     n, width = points.shape
-    # symbols, places and the ranks of pairs with the right neighbour, which tell the pieces
-    sym, place, rank = state = np.zeros((3, n, width), np.int32)
-    none = np.int32(len(v.by_rank) - 1)
-    fill = np.array([-1, 0, none], np.int32)[:, None]
-    sym[:] = np.where(points >= 0, v.symbols(points), -1)
-    place[:] = np.arange(width)
-    rank[:] = none
-    rank[:, :-1] = v.pair_ranks(sym[:, :-1], sym[:, 1:])
-    rows = np.arange(n)
-    cols = np.arange(width - 1)
+    # a row for each place, one more at both ends. A merged pair stays at its left place, so places never move; what is
+    # on either side of a symbol is told by before and after, and the best pair by the least of rank and place in one number
+    bits = (width + 1).bit_length()
+    none = len(v.by_rank) - 1 << bits
+    fill, gone = np.iinfo(np.int32).max, -1
+    sym = np.full((width + 2, n), fill, np.int32)
+    sym[1:-1] = np.where(points >= 0, v.symbols(points), fill).T
+    agenda = np.full((width + 1, n), none, np.int32 if none < 2**31 - 2**bits else np.int64)
+    agenda[1:] = (v.pair_ranks(sym[1:-1], sym[2:]) << bits) + np.arange(1, width + 1)[:, None]
+    after = np.arange(n, (width + 3) * n)
+    before = np.arange(-n, (width + 1) * n)
+    flat, pairs = sym.reshape(-1), agenda.reshape(-1)
     turn = 0
-    while len(rows):
-        now = rank[rows]
-        j = now.argmin(axis=1)
-        best = now[np.arange(len(rows)), j]
-        open_ = best < none
-        rows, j, best = rows[open_], j[open_], best[open_]
-        if not len(rows):
+    while True:
+        best = agenda.min(axis=0)
+        row = np.flatnonzero(best < none)
+        if not len(row):
             break
-        piece = v.by_rank[best]
-        skip = skips(turn, rows, place[rows, j], piece)
+        best = best[row].astype(np.int64)
+        piece, place = v.by_rank[best >> bits], best & (1 << bits) - 1
+        at = place * n + row
+        skip = skips(turn, row, place - 1, piece)
         turn += 1
-        rank[rows[skip], j[skip]] = none
-        r, k = rows[~skip], j[~skip]
-        if len(r):
-            sym[r, k] = piece[~skip]
-            # what is right of the merged pair moves along; the two pairs it is part of are looked up anew
-            x = state[:, r]
-            np.copyto(x[:, :, :-1], x[:, :, 1:], where=cols > k[:, None])
-            x[:, :, -1] = fill
-            state[:, r] = x
-            for side in (0, -1):
-                at = k + side
-                ok = (at >= 0) & (at < width - 1)
-                rr, aa = r[ok], at[ok]
-                rank[rr, aa] = v.pair_ranks(sym[rr, aa], sym[rr, aa + 1])
-    keep = sym >= 0
-    return sym[keep].astype(np.int64), keep.sum(axis=1)
+        if skip is not None and skip.any():
+            pairs[at[skip]] = none
+            go = np.flatnonzero(~skip)
+            piece, place, at = piece[go], place[go], at[go]
+        lost, left = after[at], before[at]
+        right = after[lost]
+        flat[at] = piece
+        flat[lost] = gone
+        pairs[lost] = none
+        after[at] = right
+        before[right] = at
+        # the two pairs the merged one is part of are looked up anew
+        pairs[at] = (v.pair_ranks(piece, flat[right]) << bits) + place
+        pairs[left] = (v.pair_ranks(flat[left], piece) << bits) + left // n
+    out = sym[1:-1].T
+    keep = (out != gone) & (out != fill)
+    return out[keep].astype(np.int64), keep.sum(axis=1)
+
+
+def _mix_one(h: int) -> int:
+    """mix of a single number."""
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & _ALL
+    return h ^ h >> 31
 
 
 def _cut_one(v: Vocabulary, unit: str, key: int, dropout: float) -> np.ndarray:
     """Symbols of one unit of any length, by an agenda on a heap; the same result as _cut_many."""
     points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    h = _unit_hash(points[None, :])
-    sym = v.symbols(points).tolist()
+    own = 0  # _unit_hash of a single unit
+    for c in points.tolist():
+        own = _mix_one(own + c + 0x632BE59BD9B4E019 & _ALL)
+    own = own + key & _ALL
+    least = _least(dropout) << 11
+    points = v.symbols(points)
+    sym = points.tolist()
     after = [*range(1, len(sym)), -1]
     before = list(range(-1, len(sym) - 1))
-    stamp = [0] * len(sym)
-    first = v.merge(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64)) if len(sym) > 1 else np.zeros(0, np.int64)
-    heap = [(int(v.rank[m]), i, 0, 0, int(m)) for i, m in enumerate(first) if m >= 0]
+    none, ranks, by_rank = len(v.by_rank) - 1, v.rank_of_one, v.by_rank.tolist()
+    first = v.pair_ranks(points, np.append(points[1:], v.size)).tolist()
+    # a pair that no longer stands has a side that is gone or another piece
+    heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(first) if r < none]
     heapq.heapify(heap)
-    def enter(i):
-        j = after[i]
-        if j >= 0:
-            m = int(v.merge(np.array([sym[i]]), np.array([sym[j]]))[0])
-            if m >= 0:
-                heapq.heappush(heap, (int(v.rank[m]), i, stamp[i], stamp[j], m))
     while heap:
-        _, i, si, sj, m = heapq.heappop(heap)
-        j = after[i] if sym[i] is not None else -1
-        if sym[i] is None or j < 0 or stamp[i] != si or stamp[j] != sj or sym[j] is None:
+        r, i, one, two = heapq.heappop(heap)
+        j = after[i]
+        if sym[i] != one or j < 0 or sym[j] != two:
             continue
-        if _skips(h, np.array([i]), np.array([m]), key, dropout)[0]:
+        m = by_rank[r]
+        if _mix_one(own + _mix_one(i * 0x9E3779B97F4A7C15 + m & _ALL) & _ALL) < least:
             continue
         sym[i] = m
-        stamp[i] += 1
         sym[j] = None
-        stamp[j] += 1
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        enter(i)
-        if before[i] >= 0:
-            enter(before[i])
+        after[i] = k = after[j]
+        if k >= 0:
+            before[k] = i
+            r = ranks(m, sym[k])
+            if r < none:
+                heapq.heappush(heap, (r, i, m, sym[k]))
+        k = before[i]
+        if k >= 0:
+            r = ranks(sym[k], m)
+            if r < none:
+                heapq.heappush(heap, (r, k, sym[k], m))
     return np.array([s for s in sym if s is not None], np.int64)
 
 
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+def _large(texts: list[str] | pa.Array) -> pa.Array:
+    return texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+
+
+def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(units of all texts, number of each text's), word marks written as spaces; a mark that stands in the text itself is a unit."""
+    some = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+    counts = np.zeros(len(texts), np.int64)
+    if not some.any():
+        return pa.array([], pa.large_string()), counts
+    space = pa.scalar(" ", pa.large_string())
+    data, ends = buffers(pa.compute.binary_join_element_wise(space, texts.filter(pa.array(some)), pa.scalar("", pa.large_string())))
+    begins = np.zeros(len(data) + 1, bool)
+    is_space = data == 32
+    begins[1:-1] = is_space[1:] & ~is_space[:-1]
+    begins[ends[:-1]] = True
+    own = MARK.encode()
+    mark = np.flatnonzero((data[:-2] == own[0]) & (data[1:-1] == own[1]) & (data[2:] == own[2]))
+    begins[mark] = begins[mark + 3] = True
+    begins[-1] = False
+    start = np.flatnonzero(begins)
+    counts[some] = np.diff(np.searchsorted(start, ends))
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data)), counts
+
+
+def _marked(units: pa.Array) -> list[str]:
+    """The strings of units, with word marks; cut out of one string."""
+    whole = buffers(units)[0].tobytes().decode().replace(" ", MARK)
+    return [whole[a:b] for a, b in pairwise([0, *np.cumsum(pa.compute.utf8_length(units).to_numpy(zero_copy_only=False)).tolist()])]
 
 
 class _Column:
@@ -251,13 +327,13 @@ class _Traces:
         self.parent, self.turn = _Column(np.int64), _Column(np.int64)
         self.start, self.count = _Column(np.int64), _Column(np.int64)
         self.at, self.length = _Column(np.int64), _Column(np.int64)
-        self.place, self.piece, self.child, self.ids = _Column(np.int16), _Column(np.int32), _Column(np.int32), _Column(np.int32)
+        self.salt, self.child, self.ids = _Column(_U), _Column(np.int32), _Column(np.int32)
 
     def __len__(self) -> int:
         return self.parent.n
 
     def _learn(self, unit: np.ndarray, size: np.ndarray, parent: np.ndarray, turn: np.ndarray) -> np.ndarray:
-        """Numbers of the new traces that leave ``parent`` (-1: none) when the pair before ``turn`` is skipped."""
+        """Numbers of the new traces that leave ``parent`` (-1: none, and so for all) when the pair before ``turn`` is skipped."""
         number = np.zeros(len(unit), np.int64)
         order = np.argsort(size, kind="stable")
         bound = np.searchsorted(size[order], (0, 6, 8, 10, 12, 16, 24, LONG), "right")
@@ -277,10 +353,15 @@ class _Traces:
             up, last = self.parent[up], self.turn[up]
         log: list = []
 
+        leaves = parent[0] >= 0
+
         def skips(k, rows, place, piece):
+            if not leaves:
+                log.append((rows, place, piece))
+                return None
             later = turn[rows] <= k
             log.append((rows[later], place[later], piece[later]))
-            return forced[rows, k] if k < forced.shape[1] else np.zeros(len(rows), bool)
+            return forced[rows, k] if k < forced.shape[1] else None
         points = _rows(self.points.held, unit, size)
         flat, length = _cut_rows(self.v, points, skips)
         row, place, piece = (np.concatenate([x[c] for x in log]) if log else np.zeros(0, np.int64) for c in range(3))
@@ -288,29 +369,30 @@ class _Traces:
         count = np.bincount(row, minlength=n)
         ids, wide = spelled(self.v, flat)
         first = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(length)])]
-        for column, values in ((self.unit, unit), (self.size, size), (self.hash, _unit_hash(points)), (self.parent, parent), (self.turn, turn),
-                               (self.start, self.place.n + np.cumsum(count) - count), (self.count, count), (self.at, self.ids.n + first[:-1]),
-                               (self.length, np.diff(first)), (self.place, place[order]), (self.piece, piece[order]),
+        known = self.hash[parent] if leaves else _unit_hash(points)
+        for column, values in ((self.unit, unit), (self.size, size), (self.hash, known), (self.parent, parent), (self.turn, turn),
+                               (self.start, self.salt.n + np.cumsum(count) - count), (self.count, count), (self.at, self.ids.n + first[:-1]),
+                               (self.length, np.diff(first)), (self.salt, _salt(place[order], piece[order])),
                                (self.child, np.full(len(order), -1, np.int32)), (self.ids, ids)):
             column.add(values)
         return np.arange(new, new + n)
 
-    def walk(self, units: list[str], keys: np.ndarray, dropout: float) -> np.ndarray:
-        """The trace at which each occurrence ends; the same pieces as _cut_many with its key."""
-        new = list(set(units).difference(self.root))
+    def walk(self, units: list[str], which: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
+        """The trace at which each occurrence (of the distinct ``units``, by number) ends; the same pieces as _cut_many with its key."""
+        new = [x for x in units if x not in self.root]
         if new:
             points, size = _points(new)
             begin = self.points.n + np.cumsum(size) - size
             self.points.add(points)
             self.root.update(zip(new, self._learn(begin, size, np.full(len(new), -1), np.zeros(len(new), np.int64)).tolist()))
-        node = np.fromiter(map(self.root.__getitem__, units), np.int64, len(units))
-        who = np.arange(len(units) if dropout > 0 else 0)
+        node = np.fromiter(map(self.root.__getitem__, units), np.int64, len(units))[which]
+        who = np.arange(len(which) if dropout > 0 else 0)
         while len(who):
             at = node[who]
             count = self.count[at]
             pair = _ragged(self.start[at], count)
             mine = np.repeat(np.arange(len(who)), count)
-            hit = np.flatnonzero(_skips(self.hash[at][mine], self.place[pair], self.piece[pair], keys[who][mine], dropout))
+            hit = np.flatnonzero(_skips((self.hash[at] + keys[who])[mine], self.salt[pair], dropout))
             first = np.ones(len(hit), bool)
             first[1:] = mine[hit[1:]] != mine[hit[:-1]]
             hit = hit[first]
@@ -351,42 +433,47 @@ class Encoder:
 
     def units(self, text: str) -> list[str | None]:
         """The text's units; None for a mark that stands in the text itself."""
-        if not text:
-            return []
-        if MARK not in text:
-            return _UNIT.findall(MARK + text.replace(" ", MARK))
-        out: list[str | None] = []
-        for i, run in enumerate(text.split(MARK)):
-            out += ([None] if i else []) + _UNIT.findall(("" if i else MARK) + run.replace(" ", MARK))
-        return out
-
-    def keys(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
+        units, _ = _units(pa.array([text], pa.large_string()))
+        return [None if x == MARK else x.replace(" ", MARK) for x in units.to_pylist()]
+
+    def keys(self, texts: list[str] | pa.Array, counts: np.ndarray) -> np.ndarray:
         """A key for each unit: of the seed, its text and its number there."""
-        of = np.array([int.from_bytes(hashlib.blake2b(t.encode(), key=self.salt, digest_size=8).digest(), "little") for t in texts], _U)
+        data, ends = buffers(_large(texts))
+        of = np.array([int.from_bytes(hashlib.blake2b(data[s:e], key=self.salt, digest_size=8).digest(), "little") for s, e in pairwise(ends.tolist())], _U)
         return mix(np.repeat(of, counts) + _ragged(np.ones(len(counts), np.int64), counts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Piece ids of each text."""
+        ids, ends = self.encode_whole(texts)
+        return [ids[s:e] for s, e in pairwise(ends.tolist())]
+
+    def encode_whole(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids of all texts, where each text's begin and the last one's end)."""
         if len(self.traces) > self.remembered:
             self.traces = _Traces(self.v)
-        cut = [self.units(t) for t in texts]
-        counts = np.array([len(u) for u in cut], np.int64)
+        texts = _large(texts)
+        units, counts = _units(texts)
         keys = self.keys(texts, counts)
-        units = [x for u in cut for x in u]
-        alone = np.fromiter((x is None or len(x) > LONG for x in units), bool, len(units))
-        start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
-        node = self.traces.walk([x for x, a in zip(units, alone.tolist()) if not a] if alone.any() else units, keys[~alone], self.dropout)
-        start[~alone], length[~alone] = self.traces.at[node], self.traces.length[node]
+        units = units.dictionary_encode()
+        which, units = units.indices.to_numpy(zero_copy_only=False), units.dictionary
+        # a mark of the text itself, and what is encoded one by one
+        own = pa.compute.equal(units, MARK).to_numpy(zero_copy_only=False)
+        alone = own | (pa.compute.utf8_length(units).to_numpy() > LONG)
+        number = np.cumsum(~alone) - 1
+        short = units.filter(pa.array(~alone)) if alone.any() else units
+        mine = np.flatnonzero(~alone[which]) if alone.any() else np.arange(len(which))
+        start, length = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        node = self.traces.walk(_marked(short), number[which[mine]], keys[mine], self.dropout)
+        start[mine], length[mine] = self.traces.at[node], self.traces.length[node]
         ids = [self.traces.ids.held[:self.traces.ids.n]]
         at = len(ids[0])
-        for i in np.flatnonzero(alone).tolist():
-            x = units[i]
-            ids.append(self.own if x is None else spelled(self.v, _cut_one(self.v, x, int(keys[i]), self.dropout))[0])
+        for i in np.flatnonzero(alone[which]).tolist() if alone.any() else ():
+            k = int(which[i])
+            ids.append(self.own if own[k] else spelled(self.v, _cut_one(self.v, units[k].as_py().replace(" ", MARK), int(keys[i]), self.dropout))[0])
             start[i], length[i] = at, len(ids[-1])
             at += len(ids[-1])
         whole = (np.concatenate(ids) if len(ids) > 1 else ids[0])[_ragged(start, length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
-        return [whole[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return whole, np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])]
 
 
 def decode(v: Vocabulary, ids: np.ndarray) -> str:
@@ -395,23 +482,33 @@ def decode(v: Vocabulary, ids: np.ndarray) -> str:
     return whole[1:].decode()  # without the leading mark
 
 
+def _lossless(pieces: pa.Array, ids: np.ndarray, ends: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Whether each text's ids decode to it; ``pieces`` holds the bytes of all pieces."""
+    back, place = buffers(pieces.take(pa.array(ids)))
+    data, own = buffers(texts)
+    place = place[ends]
+    size = np.diff(place) - (np.diff(place) > 0)  # without the leading mark
+    out = size == np.diff(own)
+    for i in np.flatnonzero(out).tolist():
+        out[i] = np.array_equal(back[place[i + 1] - size[i]: place[i + 1]], data[own[i]: own[i + 1]])
+    return out
+
+
 def _encode(v: Vocabulary, seed: int, dropout: float, variants: int, names: list[str], check: bool, remembered: int = REMEMBERED):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v, seed, dropout, variants, remembered)
+        pieces = pa.array(v.spelled, pa.large_binary())
         for batch in batches:
-            for at, end, texts in text_chunks(batch):  # never a whole batch as Python strings
-                part = texts.to_pylist()
-                ids = encoder.encode(part)
-                base = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(base), pa.array(np.concatenate(ids).astype(np.int32)))
+            for at, end, texts in text_chunks(batch):  # tables of a megabyte's units, never of a whole batch's
+                ids, ends = encoder.encode_whole(texts)
                 columns = {n: batch.column(n).slice(at, end - at) for n in names}
                 if check:
-                    columns["n_chars"] = pa.array([len(t) for t in part], pa.int64())
-                    columns["n_tokens"] = pa.array(np.diff(base).astype(np.int64))
-                    columns["tokens_sha256"] = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids])
-                    columns["lossless"] = pa.array([decode(v, x) == t for x, t in zip(ids, part)])
+                    columns["n_chars"] = pa.compute.utf8_length(texts).cast(pa.int64())
+                    columns["n_tokens"] = pa.array(np.diff(ends))
+                    columns["tokens_sha256"] = pa.array([hashlib.sha256(ids[s:e]).hexdigest() for s, e in pairwise(ends.tolist())])
+                    columns["lossless"] = pa.array(_lossless(pieces, ids, ends, texts))
                 else:
-                    columns["tokens"] = tokens
+                    columns["tokens"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return run
 

@@ -66,6 +66,31 @@ def test_each_occurrence_of_a_word_is_drawn_on_its_own(vocabulary):
             assert ids.tolist() == [i for x in parts for i in x.tolist()]
 
 
+def test_ranks_of_pairs_are_those_of_the_sorted_pairs(vocabulary):
+    v = vocabulary
+    rng = np.random.default_rng(4)
+    left, right = np.concatenate([[v.pair // v.size, v.pair % v.size], rng.integers(0, v.size + 40, (2, 200_000))], axis=1)
+    made = v.merge(left, right)
+    want = np.where(made >= 0, v.rank[made], len(v.by_rank) - 1)
+    assert (v.pair_ranks(left, right) == want).all()
+    assert [v.rank_of_one(*p) for p in zip(left[::50].tolist(), right[::50].tolist())] == want[::50].tolist()
+    assert len(v.cells) < 20 * len(v.pair)
+
+
+def test_work_goes_by_distinct_units_and_long_units_take_no_array_a_pair(vocabulary, monkeypatch):
+    seen, mixed = [], []
+    walk, mix = P._Traces.walk, P.mix
+    monkeypatch.setattr(P._Traces, "walk", lambda self, units, *rest: seen.append(len(units)) or walk(self, units, *rest))
+    monkeypatch.setattr(P, "mix", lambda h: mixed.append(1) or mix(h))
+    ids = P.Encoder(vocabulary, 1, 0.1).encode(["the responsibility " * 500])[0]
+    assert P.decode(vocabulary, ids) == "the responsibility " * 500
+    assert seen == [3]  # two words and the mark at the end
+    mixed.clear()
+    text = "the\nresponsibility\n" * 500  # only spaces end a unit
+    assert P.decode(vocabulary, P.Encoder(vocabulary, 1, 0.1).encode([text])[0]) == text
+    assert len(mixed) < 20
+
+
 def test_tokens_of_odd_rows(spark, vocabulary):
     df = odd(spark)
     got = P.token_digests(df).collect()

@@ -174,3 +174,37 @@ def test_whole_alignment_in_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(T, "CHUNK", 20_000)
     df = spark.createDataFrame(rows).repartition(3)
     assert Counter(map(tuple, T.alignment(df).collect())) == want
+
+
+def test_long_texts_are_aligned_by_windows(spark, monkeypatch):
+    from scenaria.llm import token_alignment as T
+
+    words = sorted({w for r in spark.read.parquet(f"{SF}/documents.parquet").limit(5).collect() for w in r.text.split()})
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices(words, k=n)) for n in (900, 3, 1, 400)] + ["", None, "▁ mark" * 200, "x" * 3000, "漢字 é" * 300, "a\n b  c" * 300]
+    df = frame(spark, texts)
+    want = brute_alignment([(r.doc_id, r.text) for r in df.collect()])
+    monkeypatch.setattr(T, "WINDOW", 200)
+    assert Counter(map(tuple, T.alignment(df).collect())) == want
+
+
+def test_a_chunk_is_aligned_in_little_memory(tools):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from scenaria.llm import token_alignment as T
+
+    with open(T.PIECE_MODEL, "rb") as f:
+        a, b = T.encoder(tools[0].automaton), T.Pieces(f.read())
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(3000)]
+    texts = pa.array([" ".join(draw.choices(words, k=500)) for _ in range(T.CHUNK // 3300)], pa.large_string())
+    digits = T._digits(max(len(a.size), len(b.size)))
+    tracemalloc.start()
+    try:
+        row = T.align(a, b, pa.array(range(len(texts))), texts, digits)
+        assert row["n_links"].sum() > 1_000_000
+        assert tracemalloc.get_traced_memory()[1] < 40 * T.CHUNK
+    finally:
+        tracemalloc.stop()
